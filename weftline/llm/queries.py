@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import mojibake
+from weftline.llm import mojibake, sitelines, splitter
 from weftline.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p5_found": lambda spark, d: splitter.found(table(spark, d, "slices"), table(spark, d, "versions")),
+    "p5_pieces": lambda spark, d: splitter.pieces(table(spark, d, "slices"), table(spark, d, "versions")),
+    "p6_found": lambda spark, d: sitelines.found(table(spark, d, "versions")),
+    "p6_cleaned": lambda spark, d: sitelines.cleaned(table(spark, d, "versions")),
     "p7_found": lambda spark, d: mojibake.found(table(spark, d, "versions")),
     "p7_restored": lambda spark, d: mojibake.restored(table(spark, d, "versions")),
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p5_found": """
+        WITH latest AS (SELECT doc_id, max(version) AS version FROM versions GROUP BY doc_id)
+        SELECT DISTINCT s.request_id
+        FROM slices s JOIN latest l ON l.doc_id = s.doc_id
+        JOIN versions v ON v.doc_id = s.doc_id AND v.version = coalesce(s.version, l.version)
+        WHERE length(v.markdown) > greatest(1, coalesce(s.max_chars, 24000))
+    """,
+}
