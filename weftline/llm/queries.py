@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import mojibake, sitelines, splitter
+from weftline.llm import mojibake, residue, sitelines, splitter
 from weftline.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": lambda spark, d: residue.found(table(spark, d, "versions")),
+    "p3_labels": lambda spark, d: residue.labelled(table(spark, d, "versions")),
     "p5_found": lambda spark, d: splitter.found(table(spark, d, "slices"), table(spark, d, "versions")),
     "p5_pieces": lambda spark, d: splitter.pieces(table(spark, d, "slices"), table(spark, d, "versions")),
     "p6_found": lambda spark, d: sitelines.found(table(spark, d, "versions")),
