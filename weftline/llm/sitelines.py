@@ -11,10 +11,18 @@ with partial aggregation on (site, form, document), so a site with a third of al
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
+
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.urls import site_of
+from weftline.session import cut
+
 LEAST_DOCUMENTS, LEAST_SHARE = 5, 0.25
 # Month names in the languages of the corpus.
 MONTHS = (
@@ -25,41 +33,52 @@ MONTHS = (
     "stycznia lutego marca kwietnia maja czerwca lipca sierpnia września października listopada grudnia "
     "января февраля марта апреля мая июня июля августа сентября октября ноября декабря"
 )
+_MONTH_SET = frozenset(MONTHS.split())
+_UPPER = "".join(map(chr, (c for c in range(65, 0x530) if unicodedata.category(chr(c)) == "Lu")))
+_LOWER = "".join(map(chr, (c for c in range(97, 0x530) if unicodedata.category(chr(c)) == "Ll")))
 _PLACE = "(?:Bay|Port|Lake|Mount|River|Island|City|Street)"
 #: exactly two capitalised words in a row
-NAME = rf"(?<![\p{{Lu}}\p{{Ll}}])(?<!\p{{Ll}}\s)(?!{_PLACE}\b)\p{{Lu}}\p{{Ll}}+\s+(?!{_PLACE}\b)\p{{Lu}}\p{{Ll}}+(?![\p{{Lu}}\p{{Ll}}])(?!\s+\p{{Lu}}\p{{Ll}})"
+NAME = re.compile(rf"(?<![{_UPPER}{_LOWER}])(?!{_PLACE}\b)[{_UPPER}][{_LOWER}]+\s+(?!{_PLACE}\b)[{_UPPER}][{_LOWER}]+(?![{_UPPER}{_LOWER}])(?!\s+[{_UPPER}][{_LOWER}])")
+_CAPITAL, _SMALL = re.compile(f"[{_UPPER}]"), re.compile(f"[{_LOWER}]")
+_WORD = re.compile(r"[^\W\d_]+")
+_TARGET = re.compile(r"\]\([^)\s]*\)")
+_FENCE = re.compile(r"\s*(?:```|~~~)")
 
 
-def _plain(line: Column) -> Column:
-    """Lower case, no month names, letters of any script only, single spaces."""
-    words = "|".join(sorted(set(MONTHS.split()), key=lambda w: (-len(w), w)))
-    text = F.regexp_replace(F.lower(line), r"\]\([^)\s]*\)", " ")
-    text = F.regexp_replace(text, r"[^\p{L}\p{M}]+", " ")
-    return F.trim(F.regexp_replace(text, rf"(?<![^ ])(?:(?:{words})(?: |$))+", ""))
+def _words(text: str) -> list[str]:
+    return [w for w in _WORD.findall(text.lower()) if w not in _MONTH_SET]
 
 
-def forms(line: Column) -> Column:
-    """Array of the forms of a line: one, or for a line in capitals, in which names cannot be seen, one for each pair of words left out as well."""
-    named = _plain(F.regexp_replace(line, NAME.replace(r"(?<!\p{Ll}\s)", ""), " "))
-    plain = _plain(line)
-    capital = line.rlike(r"\p{Lu}.*\p{Lu}") & ~line.rlike(r"\p{Ll}")
-    parts = F.split(plain, " ")
-    less = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))),
-        lambda i: F.concat_ws(" ", F.slice(parts, F.lit(1), i - 1), F.slice(parts, i + 2, F.greatest(F.size(parts) - i - 1, F.lit(0)))),
-    )
-    out = F.when(capital & (F.size(parts) > 2), F.array_distinct(F.concat(F.array(plain), less))).otherwise(F.array(F.when(named != "", named).otherwise(plain)))
-    return F.filter(out, lambda x: x != "")
+def forms(line: str) -> list[str]:
+    """The forms of a line: one, or for a line in capitals, in which names cannot be seen, one for each pair of words left out as well.
 
+    A line without a letter and a code fence have none.
+    """
+    if _FENCE.match(line) or not _WORD.search(line):
+        return []
+    line = _TARGET.sub("]", line) if "](" in line else line
+    if len(_CAPITAL.findall(line)) > 1 and not _SMALL.search(line):
+        words = _words(line)
+        less = [" ".join(words[:i] + words[i + 2 :]) for i in range(len(words) - 1)] if len(words) > 2 else []
+        return [x for x in dict.fromkeys([" ".join(words), *less]) if x]
+    words = _words(NAME.sub(" ", line)) or _words(line)
+    return [" ".join(words)] if words else []
 
-def site_lines(versions: DataFrame) -> DataFrame:
-    """(site, doc_id, version, line_no, form): hashed forms of every line that holds a letter and is no code fence. Null texts and sites have none."""
-    from weftline.functions.urls import site_of
 
-    v = versions.select("doc_id", "version", site_of(F.col("final_url")).alias("site"), "markdown").where("site IS NOT NULL AND markdown IS NOT NULL")
-    lines = v.select("site", "doc_id", "version", F.posexplode(F.split("markdown", "\n")).alias("pos", "line"))
-    lines = lines.where(F.col("line").rlike(r"\p{L}") & ~F.col("line").rlike(r"^\s*(?:```|~~~)"))
-    return lines.select("site", "doc_id", "version", (F.col("pos") + 1).alias("line_no"), F.transform(forms(F.col("line")), lambda x: F.xxhash64(x)).alias("forms"))
+def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for site, doc, version, text in batch[["site", "doc_id", "version", "markdown"]].itertuples(index=False):
+            for n, line in enumerate(text.split("\n"), 1):
+                for form in forms(line):
+                    out.append((site, doc, version, n, xxhash.xxh3_64_intdigest(form) - 2**63))
+        yield pd.DataFrame(out, columns=["site", "doc_id", "version", "line_no", "form"])
+
+
+def site_lines(versions: DataFrame) -> DataFrame:
+    """(site, doc_id, version, line_no, form): hashed forms of every line. Null texts and sites have none."""
+    v = versions.select("doc_id", "version", _site(), "markdown").where("site IS NOT NULL AND markdown IS NOT NULL")
+    return v.mapInPandas(_lines, "site STRING, doc_id STRING, version INT, line_no INT, form BIGINT")
 
 
 def _components(group: pd.DataFrame) -> pd.DataFrame:
@@ -84,29 +103,23 @@ def _components(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"site": group["site"].iloc[0], "form": nodes, "block": [root(x) for x in nodes]})
 
 
-def boilerplate(versions: DataFrame, least: int = LEAST_DOCUMENTS, share: float = LEAST_SHARE) -> DataFrame:
-    """(site, form, block, documents, site_documents) of each repeated form of each site."""
-    lines = site_lines(versions)
-    total = versions.select("doc_id", _site(versions)).where("site IS NOT NULL").distinct().groupBy("site").agg(F.count("*").alias("site_documents"))
-    one = lines.select("site", "doc_id", F.explode("forms").alias("form")).distinct()
-    support = one.groupBy("site", "form").agg(F.count("*").alias("documents")).where(F.col("documents") >= least)
-    nodes = support.join(total, "site").where(F.col("documents") >= F.col("site_documents") * share)
-    return nodes
-
+def _site() -> Column:
+    return site_of(F.col("final_url")).alias("site")
 
-def _site(versions: DataFrame) -> Column:
-    from weftline.functions.urls import site_of
 
-    return site_of(F.col("final_url")).alias("site")
+def boilerplate(lines: DataFrame, versions: DataFrame, least: int = LEAST_DOCUMENTS, share: float = LEAST_SHARE) -> DataFrame:
+    """(site, form, documents, site_documents) of each form that stands in enough of its site's documents."""
+    total = versions.select("doc_id", _site()).where("site IS NOT NULL").distinct().groupBy("site").agg(F.count("*").alias("site_documents"))
+    one = lines.select("site", "doc_id", "form").distinct()
+    support = one.groupBy("site", "form").agg(F.count("*").alias("documents")).where(F.col("documents") >= least)
+    return support.join(total, "site").where(F.col("documents") >= F.col("site_documents") * share)
 
 
 def occurrences(versions: DataFrame, least: int = LEAST_DOCUMENTS, share: float = LEAST_SHARE) -> DataFrame:
     """(site, doc_id, version, line_no, form, documents, site_documents, block): every line of a boilerplate block; repeated rows count once."""
-    from weftline.session import cut
-
-    nodes = cut(boilerplate(versions, least, share))
-    lines = site_lines(versions)
-    held = lines.select("*", F.explode("forms").alias("form")).drop("forms").join(nodes, ["site", "form"])
+    lines = cut(site_lines(versions))
+    nodes = cut(boilerplate(lines, versions, least, share))
+    held = lines.join(nodes, ["site", "form"])
     held = cut(held.groupBy("site", "doc_id", "version", "line_no").agg(F.max_by("form", F.struct("documents", "form")).alias("form"), F.max("documents").alias("documents"), F.first("site_documents").alias("site_documents")))
     # an edge joins kept lines with only blank lines between: each line of a version that is kept has a rank among its non-blank lines
     ahead = held.select("site", "doc_id", "version", (F.col("line_no") - 1).alias("line_no"), F.col("form").alias("other"))
