@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import mojibake, residue, sitelines, splitter
+from weftline.llm import leakage, mojibake, residue, sitelines, splitter
 from weftline.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -17,6 +17,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": lambda spark, d: sitelines.found(table(spark, d, "versions")),
     "p6_cleaned": lambda spark, d: sitelines.cleaned(table(spark, d, "versions")),
     "p7_found": lambda spark, d: mojibake.found(table(spark, d, "versions")),
+    "p8_found": lambda spark, d: leakage.found(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "p8_report": lambda spark, d: leakage.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "p7_restored": lambda spark, d: mojibake.restored(table(spark, d, "versions")),
 }
 
