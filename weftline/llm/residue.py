@@ -29,11 +29,12 @@ SHINGLE, SIMILAR, HAMMING, SITES, SHORT = 5, 0.8, 16, 3, 400
 _FENCE = re.compile(r"(?ms)^[ \t]*(?:```|~~~).*?(?:^[ \t]*(?:```|~~~)[ \t]*$|\Z)")
 _INLINE = re.compile(r"`+[^`\n]+`+")
 _TARGET = re.compile(r"\]\([^)\s]*\)")
+# each alternative begins with its first character, so that the search skips to one of them
 PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{0,60}\}\}|\{%[^%\n]{1,60}%\}|<%[^%\n]{1,60}%>|[$#]\{[^{}\n]{1,60}\}|\{[$@]?[A-Za-z_][\w. ]{0,40}\}|\{\d\}"
+    r"\{\{[^{}\n]{0,60}\}\}|\{%[^%\n]{1,60}%\}|<%[^%\n]{1,60}%>|\$\{[^{}\n]{1,60}\}|#\{[^{}\n]{1,60}\}|\{[$@]?[A-Za-z_][\w. ]{0,40}\}|\{\d\}"
     r"|\[\[[^\[\]\n]{1,40}\]\]|\[[A-Z]+(?:[_ .][A-Z]+)*_HERE\]|\[[A-Z]+(?:_[A-Z]+)+\](?!\()|\[(?:Your|Insert|Enter|your|insert|enter) [^\]\n]{1,40}\](?!\()"
-    r"|%%\w+%%|(?<!\w)%[A-Z_]{2,}%|%\([a-z_]\w*\)[sd]|(?<!\S)%(?:\d\$)?[sd](?!\w)|(?<!\w)__[A-Z][A-Z_]+__(?!\w)|@@\w+@@|<(?:insert|enter|your|Insert|Enter|Your) [^>\n]{1,40}>"
-    r"|(?<![\w~])~[a-z_.]{3,30}~(?!~)|\[object Object\]|(?<![\w.])undefined(?![\w(])|(?<![\w.])NaN(?!\w)"
+    r"|%%\w+%%|%(?<!\w%)[A-Z_]{2,}%|%\([a-z_]\w*\)[sd]|%(?<!\S%)(?:\d\$)?[sd](?!\w)|__(?<!\w__)[A-Z][A-Z_]+__(?!\w)|@@\w+@@|<(?:insert|enter|your|Insert|Enter|Your) [^>\n]{1,40}>"
+    r"|~(?<![\w~]~)[a-z_.]{3,30}~(?!~)|\[object Object\]|u(?<![\w.]u)ndefined(?![\w(])|N(?<![\w.]N)aN(?!\w)"
 )
 # Wording of messages that stand in place of content, by kind.
 MESSAGE = re.compile(
@@ -49,8 +50,10 @@ MESSAGE = re.compile(
 FILLER = re.compile(r"insert (?:content|text) here|sample (?:heading|paragraph|text)|words belong here|(?:write|for) your own\b|your own text|made by the site builder|click to edit|write copy for|^\W*tbd\W*$|coming soon|lorem ipsum", re.I)
 # Words of the usual filler text; two of the first three must stand in it.
 _LOREM = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim laborum".split())
-_TOKEN = re.compile(r"[぀-ヿ一-鿿々ー]|[^\W_]+")
-_IDENT = re.compile(r"\S*(?:\d|\w[_./:]\w|/\w|…)\S*")
+_TOKEN = re.compile(r"[぀-ヿ一-鿿々ー]|\d+|[^\W\d_]+")
+_DENSE = re.compile(r"[぀-ヿ一-鿿]")
+_IDENT = re.compile(r"\d|\w[_./:]\w|/\w|…")
+_HASHES: dict[str, int] = {}
 
 
 def prose(text: str) -> str:
@@ -61,8 +64,15 @@ def prose(text: str) -> str:
 def masked(text: str, site: str | None, name: str | None) -> list[str]:
     """Lower-case tokens: what varies between copies of a message (identifiers, numbers, the site's name) is ``#``."""
     own = {w for w in re.split(r"[\W_]+", f"{site or ''} {name or ''}".lower()) if len(w) > 2} - {"www", "the", "hub", "com"}
-    words = _TOKEN.findall(_IDENT.sub(" 0 ", text.lower()))
-    return ["#" if w in own or w == "0" else w for w in words]
+    words = []
+    for part in text.lower().split():
+        if part.isascii() and part.isalpha():
+            words.append("#" if part in own else part)
+        elif _DENSE.search(part) or not _IDENT.search(part):
+            words += ["#" if w in own or w.isdigit() else w for w in _TOKEN.findall(part)]
+        else:
+            words.append("#")
+    return words
 
 
 def trusted(text: str, words: list[str]) -> str | None:
@@ -92,7 +102,14 @@ def shingles(words: list[str]) -> np.ndarray:
     """Distinct 64-bit hashes of the five-word shingles; fewer words are one shingle."""
     if not words:
         return np.zeros(0, np.uint64)
-    ids = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    if len(_HASHES) > 500_000:
+        _HASHES.clear()
+    ids = np.empty(len(words), np.uint64)
+    for i, w in enumerate(words):
+        known = _HASHES.get(w)
+        if known is None:
+            known = _HASHES[w] = xxhash.xxh3_64_intdigest(w)
+        ids[i] = known
     n = max(1, len(ids) - SHINGLE + 1)
     out = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
