@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import leakage, mojibake, residue, sitelines, splitter
+from weftline.llm import boilerplate, leakage, mojibake, residue, sitelines, splitter
 from weftline.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": lambda spark, d: boilerplate.found(table(spark, d, "versions"), table(spark, d, "fetch_log"), table(spark, d, "blocks")),
+    "p2_main_bodies": lambda spark, d: boilerplate.main_bodies(table(spark, d, "fetch_log")),
     "p3_found": lambda spark, d: residue.found(table(spark, d, "versions")),
     "p3_labels": lambda spark, d: residue.labelled(table(spark, d, "versions")),
     "p5_found": lambda spark, d: splitter.found(table(spark, d, "slices"), table(spark, d, "versions")),
