@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import boilerplate, leakage, mojibake, residue, sitelines, splitter
+from weftline.llm import boilerplate, langid, leakage, mojibake, residue, sitelines, splitter
 from weftline.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,6 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_main_bodies": lambda spark, d: boilerplate.main_bodies(table(spark, d, "fetch_log")),
     "p3_found": lambda spark, d: residue.found(table(spark, d, "versions")),
     "p3_labels": lambda spark, d: residue.labelled(table(spark, d, "versions")),
+    "p4_found": lambda spark, d: langid.found(*(table(spark, d, x) for x in ("versions", "documents", "fetch_log", "blocks"))),
+    "p4_segments": lambda spark, d: langid.identified(*(table(spark, d, x) for x in ("versions", "documents", "fetch_log", "blocks")), each=True),
     "p5_found": lambda spark, d: splitter.found(table(spark, d, "slices"), table(spark, d, "versions")),
     "p5_pieces": lambda spark, d: splitter.pieces(table(spark, d, "slices"), table(spark, d, "versions")),
     "p6_found": lambda spark, d: sitelines.found(table(spark, d, "versions")),
