@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import boilerplate, langid, leakage, mojibake, residue, sitelines, splitter
+from weftline.llm import boilerplate, langid, leakage, mixing, mojibake, residue, sitelines, splitter, subjects
 from weftline.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,6 +24,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": lambda spark, d: leakage.found(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "p8_report": lambda spark, d: leakage.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "p7_restored": lambda spark, d: mojibake.restored(table(spark, d, "versions")),
+    "p9_plan": lambda spark, d: mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets")),
+    "p9_shares": lambda spark, d: mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets")),
+    "p10_found": lambda spark, d: subjects.found(*(table(spark, d, x) for x in ("documents", "subjects", "subject_labels"))),
+    "p10_shares": lambda spark, d: subjects.assigned(*(table(spark, d, x) for x in ("documents", "subjects", "subject_labels"))),
 }
 
 SQL: dict[str, str] = {
