@@ -12,3 +12,44 @@ def site_of(url: Column) -> Column:
     host = F.lower(F.regexp_replace(authority, r"^.*@|:\d*$|\.(?=:\d*$|$)", ""))
     host = F.regexp_replace(F.regexp_replace(host, r":\d*$", ""), r"^www\.", "")
     return F.when(host != "", host)
+
+
+# Query parameters that only track.
+TRACKING = r"^(?:utm_[^=]*|fbclid|gclid|mc_cid|mc_eid|_hsenc|_hsmi|ref_src)(?:=|$)"
+_PARTS = r"^\s*([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
+# Extensions of files that are no pages.
+ASSET = r"(?i)\.(?:png|jpe?g|gif|webp|svg|ico|bmp|tiff?|mp[34]|m4a|webm|ogg|wav|avi|mov|mkv|zip|gz|tgz|bz2|xz|7z|rar|tar|exe|dmg|msi|deb|rpm|apk|iso|woff2?|ttf|otf|eot|css|js|mjs|map|wasm)$"
+
+
+def normalize_url(url: Column) -> Column:
+    """A URL in its normal form: scheme and host in lower case, no default port, fragment or tracking parameters, ``/`` for an empty path."""
+    scheme = F.lower(F.regexp_extract(url, _PARTS, 1))
+    host = F.lower(F.regexp_extract(url, _PARTS, 2))
+    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
+    path = F.regexp_extract(url, _PARTS, 3)
+    kept = F.filter(F.split(F.regexp_extract(url, _PARTS, 4), "&"), lambda p: (p != "") & ~p.rlike(TRACKING))
+    query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
+    return F.when(scheme != "", F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), query))
+
+
+def origin_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^\s*([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1))
+
+
+def path_of(url: Column) -> Column:
+    return F.regexp_extract(url, _PARTS, 3)
+
+
+def glob_to_regex(pattern: str) -> str:
+    """A path pattern as an anchored regular expression: ``**`` any text, ``*`` within a segment, ``?`` one character of one.
+
+    ``/body/flags`` is an unanchored regular expression where the flags are among i, m and s and the body has a character that only expressions have.
+    """
+    import re
+
+    m = re.fullmatch(r"/(.+)/([ims]*)", pattern)
+    if m and re.search(r"[\\^$()|+\[\]{}]|\.\*", m.group(1)):
+        return (f"(?{m.group(2)})" if m.group(2) else "") + m.group(1)
+    pieces = re.split(r"(\*\*|\*|\?)", pattern)
+    kinds = {"**": ".*", "*": "[^/]*", "?": "[^/]"}
+    return "^" + "".join(kinds.get(p, re.escape(p)) for p in pieces) + "$"
