@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import ascii_tokens
@@ -55,7 +55,11 @@ def bm25(units: DataFrame, key: list[str], text: str, title: str, terms: list[st
     """Scores of the units that hold every term. Terms are filtered before anything is shuffled; lengths and counts are over all units."""
     words, heads = ascii_tokens(F.coalesce(F.col(text), F.lit(""))), ascii_tokens(F.coalesce(F.col(title), F.lit("")))
     u = units.select(*key, words.alias("w"), heads.alias("h"))
-    counts = {t: (F.size(F.filter("w", lambda x, t=t: x == t)), F.size(F.filter("h", lambda x, t=t: x == t))) for t in terms}
+
+    def held(column: str, term: str) -> Column:
+        return F.size(F.filter(column, lambda x: x == F.lit(term)))
+
+    counts = {t: (held("w", t), held("h", t)) for t in terms}
     u = u.select(*key, (F.size("w") + F.size("h")).alias("dl"), *[c.alias(f"{n}{i}") for i, t in enumerate(terms) for n, c in zip("wh", counts[t])])
     stats = u.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"), *[F.count_if((F.col(f"w{i}") + F.col(f"h{i}")) > 0).alias(f"df{i}") for i in range(len(terms))])
     hit = u
