@@ -10,6 +10,7 @@ from weftline.functions import urls as U
 from weftline.operators import corpus as C
 from weftline.operators import crawl as W
 from weftline.operators import score as S
+from weftline.sources import pages as P
 from weftline.sources.tables import table
 
 _URL = r"^\s*([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
@@ -223,6 +224,24 @@ def citations(spark, d):
     return b.join(v, ["doc_id", "version"]).select(T.version_ref(F.col("doc_id"), F.col("version"), F.col("block_id")).alias("ref"), "final_url", "version_title", F.col("text").alias("quote"))
 
 
+def page_blocks(spark, d):
+    pages = P.extracted(table(spark, d, "fetch_log"))
+    return pages.select("arrival", F.posexplode("blocks").alias("idx", "b")).select("arrival", "idx", "b.type", "b.level", "b.lang", "b.text", "b.markdown", C.block_hash(F.col("b.type"), F.col("b.markdown")).alias("hash"))
+
+
+def page_signals(spark, d):
+    pages = P.extracted(table(spark, d, "fetch_log"))
+    status = table(spark, d, "fetch_log").select("arrival", "http_status").distinct()
+    chars = F.aggregate("blocks", F.lit(0), lambda a, b: a + F.length(b["text"]))
+    reason = S.escalation(F.col("http_status"), F.col("chars"), F.col("app_root_empty"), F.col("noscript_warning"), F.col("inline_script_chars"), F.col("external_scripts"), F.col("scripts"), F.col("body_text_chars"))
+    return pages.withColumn("chars", chars).join(status, "arrival").select("arrival", "title", "lang", "published", "chars", "scripts", "body_text_chars", reason.alias("render_reason"))
+
+
+def page_outlinks(spark, d):
+    pages = P.extracted(table(spark, d, "fetch_log"))
+    return pages.select("arrival", F.explode("outlinks").alias("target")).select("arrival", "target", U.site_of(F.col("target")).alias("site"))
+
+
 _NORMALIZED = f"""
     SELECT url, CASE WHEN scheme <> '' THEN scheme || '://' ||
         CASE WHEN scheme = 'http' THEN regexp_replace(host, ':80$', '') WHEN scheme = 'https' THEN regexp_replace(host, ':443$', '') ELSE host END ||
@@ -237,7 +256,7 @@ _C = "(SELECT DISTINCT * FROM crawl_urls)"
 _F = "(SELECT DISTINCT * FROM fetch_log)"
 _SITE = "nullif(regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(final_url, '^\\s*[A-Za-z][A-Za-z0-9+.-]*://([^/?#\\\\]*)', 1), '^.*@|:\\d*$', '', 'g')), '\\.$', ''), '^www\\.', ''), '')"
 
-QUERIES = {f.__name__: f for f in (url_normalize, doc_ids, block_refs, block_hashes, block_offsets, block_numbers, document_stats, block_range, version_islands, latest_versions, list_documents, alias_resolve, insert_if_absent, orphan_snapshots, prune_keep_one, delete_document, export_nested, slices, window_blocks, content_classify, status_gate, byte_limit, redirect_hops, markdown_links, heading_lines, quote_spans, crawl_counters, crawl_scope, crawl_duplicates, crawl_frontier, crawl_pacing, crawl_scored, crawl_dangling, crawl_breadth_first, site_documents, citations)}
+QUERIES = {f.__name__: f for f in (url_normalize, doc_ids, block_refs, block_hashes, block_offsets, block_numbers, document_stats, block_range, version_islands, latest_versions, list_documents, alias_resolve, insert_if_absent, orphan_snapshots, prune_keep_one, delete_document, export_nested, slices, window_blocks, content_classify, status_gate, byte_limit, redirect_hops, markdown_links, heading_lines, quote_spans, crawl_counters, crawl_scope, crawl_duplicates, crawl_frontier, crawl_pacing, crawl_scored, crawl_dangling, crawl_breadth_first, site_documents, citations, page_blocks, page_signals, page_outlinks)}
 
 SQL = {
     "url_normalize": _NORMALIZED,
