@@ -11,7 +11,8 @@ the data. Spark's own size threshold decides whether it is broadcast.
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timezone
+from functools import cache
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,13 +75,16 @@ def offset_intervals(zone: str) -> list[tuple[int, int, int, str]]:
     return [*out, (start, _FAR, *now)]
 
 
+offset_intervals_cached = cache(offset_intervals)
+
+
 def zone_table(spark: SparkSession, zones: list[str]) -> tuple[DataFrame, DataFrame]:
     """Exploded intervals (zone, year, spans) in local seconds, and (zone, abbr, abbr_offset). Names that are no zone are left out."""
     spans, abbrs = [], []
     year_start = {y: int((datetime(y, 1, 1) - datetime(1970, 1, 1)).total_seconds()) for y in range(FIRST_YEAR, LAST_YEAR + 2)}
     for zone in sorted(set(zones)):
         try:
-            intervals = offset_intervals(zone)
+            intervals = offset_intervals_cached(zone)
         except (KeyError, ValueError, OSError):
             continue
         latest = {abbr.lower(): offset for _, _, offset, abbr in intervals if abbr[:1].isalpha()}

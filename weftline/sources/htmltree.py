@@ -84,6 +84,12 @@ def parse(source: str) -> Element:
             if name == "p" and up.tag not in INLINE:
                 break
             up = up.parent
+        if name not in INLINE and name not in VOID:  # a block ends an open paragraph
+            up = node
+            while up is not root and up.tag in INLINE:
+                up = up.parent
+            if up is not root and up.tag == "p":
+                node = up.parent
         new = Element(name, _attributes(m.group(6)), node)
         node.children.append(new)
         if name not in VOID and not m.group(6).rstrip().endswith("/"):
