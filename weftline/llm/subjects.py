@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.sitelines import NAME
+from weftline.session import cut
 
-FEATURES, LABELLED, ROUNDS, SHARE = 2**17, 20_000, 2, 0.25
+FEATURES, LABELLED, ROUNDS, SHARE, CHUNK = 2**17, 20_000, 2, 0.25, 1_000
 PRIOR, ABOUT, KNOWN, SMOOTH, LEAST, COMMON = 1.0, 3.5, 0.05, 3.0, 1.4, 0.2
 _DENSE = "぀-ヿ㐀-鿿"
 _TOKEN = re.compile(f"[{_DENSE}]+|[^\\W\\d_{_DENSE}]{{2,}}")
@@ -73,6 +74,45 @@ def sentences(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(ids, np.int64), np.array(starts, np.int64), np.array(lines, np.int64)
 
 
+class Batch:
+    """Sentences of many documents in a row: word places, sentence starts, document and line of each sentence. Documents without one are left out."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.kept = [i for i, r in enumerate(rows) if len(r[1])]
+        rows = [rows[i] for i in self.kept]
+        words = np.array([len(r[0]) for r in rows], np.int64)
+        self.sentences = np.array([len(r[1]) for r in rows], np.int64)
+        before = np.concatenate([[0], np.cumsum(words)])[:-1] if rows else words
+        none = [np.zeros(0, np.int64)]
+        self.ids = np.concatenate([r[0] for r in rows] or none).astype(np.int64)
+        self.starts = np.concatenate([np.asarray(r[1], np.int64) + a for r, a in zip(rows, before)] or none)
+        self.documents = np.concatenate([[0], np.cumsum(self.sentences)])[:-1].astype(np.int64) if rows else words
+        self.document = np.repeat(np.arange(len(rows)), self.sentences)
+        # lines are numbered through all documents
+        raw = np.concatenate([np.asarray(r[2], np.int64) for r in rows] or none)
+        change = np.ones(len(raw), bool)
+        change[1:] = (raw[1:] != raw[:-1]) | (self.document[1:] != self.document[:-1])
+        self.lines = np.cumsum(change) - 1
+        self.sizes = np.diff(np.append(self.starts, len(self.ids)))
+
+    def held(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each (document, place) once: order of the words by it, first word of each, its document, its place."""
+        key = np.repeat(self.document, self.sizes) * FEATURES + self.ids
+        order = np.argsort(key, kind="stable")
+        ranked = key[order]
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(key) else order
+        return order, first, ranked[first] // FEATURES, ranked[first] % FEATURES
+
+
+def _chunks(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, Batch]]:
+    """Parts of a batch of bounded size with their sentences."""
+    for a in range(0, len(batch), CHUNK):
+        part = batch.iloc[a : a + CHUNK]
+        b = Batch(list(zip(part["ids"], part["starts"], part["lines"])))
+        if b.kept:
+            yield part.iloc[b.kept], b
+
+
 class Model:
     """Word weights by subject: (features + 1 places, subjects)."""
 
@@ -85,70 +125,73 @@ class Model:
         self.weights = np.where((total > 0.5) & (np.abs(odds) >= LEAST) & ~common[:, None], np.clip(odds, -4, 5), 0).astype(np.float32)
         self.about, self.slope, self.middle = ABOUT, 20.0, SHARE
 
-    def sentence_scores(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Score of each sentence for each subject; the document's mean posterior is a prior."""
-        each = self.weights[ids]
-        raw = np.add.reduceat(each, starts, axis=0)
+    def scores(self, b: Batch) -> np.ndarray:
+        """Score of each sentence for each subject; the mean posterior of its document is a prior."""
+        each = self.weights[b.ids]
+        raw = np.add.reduceat(each, b.starts, axis=0)
         # one word, however telling, makes no sentence about a subject
-        raw = np.where(np.add.reduceat((each > 0).astype(np.int16), starts, axis=0) >= 2, raw, np.minimum(raw, 0))
+        raw = np.where(np.add.reduceat((each > 0).astype(np.int16), b.starts, axis=0) >= 2, raw, np.minimum(raw, 0))
         p = 1 / (1 + np.exp(-np.clip(raw - self.about, -30, 30)))
-        prior = p.mean(axis=0)
-        return raw + PRIOR * np.log((prior + KNOWN) / (prior.mean() + KNOWN)) * (raw.max(axis=1, keepdims=True) > 1)
-
-    def shares(self, text: str | None) -> np.ndarray | None:
-        """Share of the own sentences about each subject; null without sentences. Short lines about nothing are not the document's own."""
-        ids, starts, lines = sentences(text)
-        if not len(starts):
-            return None
-        scores = self.sentence_scores(ids, starts)
-        best = scores.argmax(axis=1)
-        about = scores.max(axis=1) > self.about
-        count = np.bincount(lines)
-        topical = np.bincount(lines, weights=about) > 0
-        own = topical[lines] | (count[lines] > 2)
-        if not own.any():
-            return np.zeros(len(self.subjects))
-        return np.bincount(best[about & own], minlength=len(self.subjects)) / own.sum()
+        prior = np.add.reduceat(p, b.documents, axis=0) / b.sentences[:, None]
+        prior = np.log((prior + KNOWN) / (prior.mean(axis=1, keepdims=True) + KNOWN))
+        return raw + PRIOR * np.repeat(prior, b.sentences, axis=0) * (raw.max(axis=1, keepdims=True) > 1)
+
+    def shares(self, b: Batch) -> np.ndarray:
+        """Share of each document's own sentences about each subject. Short lines about nothing are not a document's own."""
+        scores = self.scores(b)
+        best, about = scores.argmax(axis=1), scores.max(axis=1) > self.about
+        own = (np.bincount(b.lines, weights=about)[b.lines] > 0) | (np.bincount(b.lines)[b.lines] > 2)
+        n, k = len(b.documents), len(self.subjects)
+        count = np.bincount(b.document[own], minlength=n)
+        hit = about & own
+        got = np.bincount(b.document[hit] * k + best[hit], minlength=n * k).reshape(n, k)
+        return got / np.maximum(count, 1)[:, None]
 
     def probability(self, share: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (share - self.middle), -30, 30)))
 
 
+def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        done = [sentences(t) for t in batch["text"]]
+        parts = {c: pd.Series([d[i].astype(np.int32) for d in done], dtype=object) for i, c in enumerate(("ids", "starts", "lines"))}
+        yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "lang": batch["lang"].to_numpy(), **parts})
+
+
 def _counts(model: Model | None, subjects: list[str], scale: dict[str, np.ndarray]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Summed word counts by subject of a task's documents: by their labels without a model, else by sentence posteriors.
 
-    ``scale`` balances the subjects within each language label. Rows of place -1 hold the mass of a language before balancing.
+    ``scale`` balances the subjects within each language label. Rows of place -1 hold the mass of a language before balancing. A word counts once
+    a document, at its mean posterior there: one odd document cannot teach much.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         k = len(subjects)
         total, mass, even = np.zeros((FEATURES, k)), {}, np.ones(k)
-        for batch in batches:
-            for labels, lang, text in zip(batch["labels"], batch["lang"], batch["text"]):
-                ids, starts, _ = sentences(text)
-                if not len(starts):
-                    continue
-                known = [] if labels is None else [subjects.index(x) for x in labels]
-                if model is None:
-                    if not known:
-                        continue
-                    p = np.zeros(k)
-                    p[known] = 1 / len(known)
-                    p = np.broadcast_to(p, (len(starts), k))
-                else:
-                    scores = model.sentence_scores(ids, starts)
-                    if known:  # a label speaks for its subjects, but does not forbid others: labels may be wrong
-                        scores[:, known] += 1.0
-                    top = scores.max(axis=1, keepdims=True)
-                    p = np.exp(np.clip(scores - top, -30, 0))
-                    p = p / p.sum(axis=1, keepdims=True) * (1 / (1 + np.exp(-np.clip(top - model.about, -30, 30))))
-                mass[lang] = mass.get(lang, 0) + p.mean(axis=0)
-                # a word counts once a document, at its mean posterior there: one odd document cannot teach much
-                places, at = np.unique(ids, return_inverse=True)
-                held = np.zeros((len(places), k))
-                np.add.at(held, at, np.repeat(p, np.diff(np.append(starts, len(ids))), axis=0))
-                total[places] += held / np.bincount(at)[:, None] * scale.get(lang, even)
-        at = np.flatnonzero(total.sum(axis=1) > 0)
+        for part, b in (x for batch in batches for x in _chunks(batch)):
+            known = np.zeros((len(part), k))
+            for i, labels in enumerate(part["labels"]):
+                if labels is not None:
+                    known[i, [subjects.index(x) for x in labels]] = 1 / len(labels)
+            if model is None:
+                p = known[b.document]
+            else:
+                # a label speaks for its subjects, but does not forbid others: labels may be wrong
+                scores = model.scores(b) + (known > 0)[b.document]
+                top = scores.max(axis=1, keepdims=True)
+                p = np.exp(np.clip(scores - top, -30, 0))
+                p = p / p.sum(axis=1, keepdims=True) * (1 / (1 + np.exp(-np.clip(top - model.about, -30, 30))))
+            langs = part["lang"].tolist()
+            mean = np.add.reduceat(p, b.documents, axis=0) / b.sentences[:, None]
+            for lang in set(langs):
+                mass[lang] = mass.get(lang, 0) + mean[[x == lang for x in langs]].sum(axis=0)
+            order, first, document, place = b.held()
+            words = np.repeat(p, b.sizes, axis=0)[order]
+            each = np.add.reduceat(words, first, axis=0) / np.diff(np.append(first, len(order)))[:, None]
+            each *= np.array([scale.get(x, even) for x in langs])[document]
+            for i in range(k):
+                total[:, i] += np.bincount(place, weights=each[:, i], minlength=FEATURES)
+        at = np.flatnonzero(total.sum(axis=1) > 1e-6)
         for a in range(0, len(at), 20_000):
             part = at[a : a + 20_000]
             yield pd.DataFrame({"place": part, "lang": None, **{f"s{i}": total[part, i] for i in range(k)}})
@@ -161,12 +204,14 @@ def _counts(model: Model | None, subjects: list[str], scale: dict[str, np.ndarra
 def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(lang, place, documents that hold it) of a task's documents; place -1 holds the number of documents."""
     total: dict[str, np.ndarray] = {}
-    for batch in batches:
-        for lang, text in zip(batch["lang"], batch["text"]):
-            ids, _, _ = sentences(text)
+    for part, b in (x for batch in batches for x in _chunks(batch)):
+        langs = part["lang"].to_numpy()
+        _, _, document, place = b.held()
+        for lang in set(langs.tolist()):
             held = total.setdefault(lang, np.zeros(FEATURES + 1, np.int64))
-            held[np.unique(ids)] += 1
-            held[-1] += 1
+            mine = langs == lang
+            held[:-1] += np.bincount(place[mine[document]], minlength=FEATURES)
+            held[-1] += mine.sum()
     for lang, held in total.items():
         at = np.flatnonzero(held)
         yield pd.DataFrame({"lang": lang, "place": np.where(at == FEATURES, -1, at), "n": held[at]})
@@ -174,14 +219,18 @@ def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def common_places(rows: DataFrame) -> np.ndarray:
     """Whether a place stands in more than ``COMMON`` of the documents of some language: such words make no subject. Counted over all documents."""
-    counts = rows.mapInPandas(_spread, "lang STRING, place BIGINT, n BIGINT").groupBy("lang", "place").agg(F.sum("n").alias("n"))
+    counts = rows.select("lang", "ids", "starts", "lines").mapInPandas(_spread, "lang STRING, place BIGINT, n BIGINT").groupBy("lang", "place").agg(F.sum("n").alias("n"))
     size = counts.where("place = -1").select("lang", F.col("n").alias("size")).where("size >= 20")
-    places = counts.where("place >= 0").join(F.broadcast(size), "lang").where(F.col("n") > F.col("size") * COMMON).select("place").distinct()  # size: one row a language
+    places = counts.where("place >= 0").join(size, "lang").where(F.col("n") > F.col("size") * COMMON).select("place").distinct()
     out = np.zeros(FEATURES, bool)
-    out[[r[0] for r in places.collect()]] = True
+    out[[r[0] for r in places.collect()]] = True  # at most FEATURES rows
     return out
 
 
+def _scaled(mass: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return {lang: np.clip(m.mean() / np.maximum(m, 1e-9), 0.2, 5.0) for lang, m in mass.items()}
+
+
 def _gather(rows: DataFrame, model: Model | None, subjects: list[str], scale: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Counts by place, and the scale that balances the subjects of each language from their masses."""
     columns = [f"s{i}" for i in range(len(subjects))]
@@ -191,31 +240,31 @@ def _gather(rows: DataFrame, model: Model | None, subjects: list[str], scale: di
     words = got[got["place"] >= 0]
     if len(words):
         counts[words["place"].to_numpy()] = words[columns].to_numpy()
-    out = {}
-    for row in got[got["place"] < 0].itertuples(index=False):
-        m = np.array(row[2:], float)
-        out[row.lang] = np.clip(m.mean() / np.maximum(m, 1e-9), 0.2, 5.0)
-    return counts, out
+    return counts, _scaled({row.lang: np.array(row[2:], float) for row in got[got["place"] < 0].itertuples(index=False)})
 
 
 def names(subjects: DataFrame) -> list[str]:
     return sorted({r[0].strip().lower() for r in subjects.select("subject").distinct().collect() if r[0] and r[0].strip()})
 
 
-def labelled(documents: DataFrame, labels: DataFrame, known: list[str]) -> DataFrame:
-    """Documents with their ``labels`` (array or null); repeated documents once."""
+def featured(documents: DataFrame, labels: DataFrame, known: list[str]) -> DataFrame:
+    """(doc_id, lang, ids, starts, lines, labels) of each document with a text, read and taken apart once and kept for all passes."""
     clean = labels.select("doc_id", F.lower(F.trim("subject")).alias("subject")).where(F.col("subject").isin(known)).groupBy("doc_id").agg(F.collect_set("subject").alias("labels"))
     rows = documents.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text").where("text IS NOT NULL")
-    return rows.join(clean, "doc_id", "left")
+    rows = rows.mapInPandas(_featured, "doc_id BIGINT, lang STRING, ids ARRAY<INT>, starts ARRAY<INT>, lines ARRAY<INT>")
+    return cut(rows.join(clean, "doc_id", "left"))
 
 
-def fit(documents: DataFrame, subjects: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Model:
-    known = names(subjects)
-    rows = labelled(documents, labels, known)
-    n = max(1, labels.select("doc_id").distinct().count())
-    some = rows.where("labels IS NOT NULL").where(F.pmod(F.xxhash64("doc_id"), F.lit(10**6)) < int(10**6 * min(1.0, LABELLED / n)))
+def fit(rows: DataFrame, known: list[str], rounds: int = ROUNDS) -> Model:
+    """``rows`` as ``featured`` gives them."""
+    some = rows.where("labels IS NOT NULL")
+    n = max(1, some.count())
+    some = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(10**6)) < int(10**6 * min(1.0, LABELLED / n)))
     common = common_places(rows)
-    _, scale = _gather(some, None, known, {})
+    mass: dict[str, np.ndarray] = {}
+    for lang, subject, w in some.select("lang", F.explode("labels").alias("subject"), (1 / F.size("labels")).alias("w")).groupBy("lang", "subject").agg(F.sum("w")).collect():
+        mass.setdefault(lang, np.zeros(len(known)))[known.index(subject)] = w
+    scale = _scaled(mass)
     counts, _ = _gather(some, None, known, scale)
     model = Model(counts, known, common)
     for _ in range(rounds):
@@ -228,12 +277,9 @@ def calibrated(model: Model, some: DataFrame) -> Model:
     """Slope and middle of the sigmoid by a grid over the labelled documents' log loss."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for labels, text in zip(batch["labels"], batch["text"]):
-                share = model.shares(text)
-                if share is not None:
-                    out += [(int(round(20 * x)), s in labels, 1) for x, s in zip(share, model.subjects)]
+        for part, b in (x for batch in batches for x in _chunks(batch)):
+            share = model.shares(b)
+            out = [(int(round(20 * x)), s in labels, 1) for labels, row in zip(part["labels"], share) for x, s in zip(row, model.subjects)]
             yield pd.DataFrame(out, columns=["bin", "label", "n"])
 
     rows = some.mapInPandas(run, "bin INT, label BOOLEAN, n BIGINT").groupBy("bin", "label").agg(F.sum("n").alias("n")).collect()  # 42 rows at most
@@ -241,8 +287,8 @@ def calibrated(model: Model, some: DataFrame) -> Model:
     for slope in (5.0, 10.0, 20.0, 40.0):
         for middle in (0.1, 0.15, 0.2, 0.25, 0.3, 0.35):
             loss = 0.0
-            for b, label, n in rows:
-                p = 1 / (1 + np.exp(-slope * (b / 20 - middle)))
+            for at, label, n in rows:
+                p = 1 / (1 + np.exp(-slope * (at / 20 - middle)))
                 loss -= n * np.log(max(1e-6, p if label else 1 - p))
             if best is None or loss < best[0]:
                 best = (loss, slope, middle)
@@ -252,20 +298,23 @@ def calibrated(model: Model, some: DataFrame) -> Model:
 
 
 def assigned(documents: DataFrame, subjects: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, subject, share, probability) of every document and subject that some own sentence is about."""
-    model = fit(documents, subjects, labels)
+    """(doc_id, subject, share, probability) of every document and subject that some own sentence is about; repeated rows count once."""
+    known = names(subjects)
+    schema = "doc_id BIGINT, subject STRING, share DOUBLE, probability DOUBLE"
+    if not known:
+        return documents.sparkSession.createDataFrame([], schema)
+    rows = featured(documents, labels, known)
+    model = fit(rows, known)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for doc, text in batch[["doc_id", "text"]].itertuples(index=False):
-                share = model.shares(text)
-                if share is not None:
-                    p = model.probability(share)
-                    out += [(doc, model.subjects[i], float(share[i]), float(p[i])) for i in np.flatnonzero(share)]
-            yield pd.DataFrame(out, columns=["doc_id", "subject", "share", "probability"])
-
-    return documents.select("doc_id", "text").where("text IS NOT NULL").mapInPandas(run, "doc_id BIGINT, subject STRING, share DOUBLE, probability DOUBLE").distinct()
+        for part, b in (x for batch in batches for x in _chunks(batch)):
+            share = model.shares(b)
+            p = model.probability(share)
+            i, j = np.nonzero(share)
+            docs = part["doc_id"].tolist()
+            yield pd.DataFrame([(docs[a], model.subjects[b_], float(share[a, b_]), float(p[a, b_])) for a, b_ in zip(i, j)], columns=["doc_id", "subject", "share", "probability"])
+
+    return rows.mapInPandas(run, schema).distinct()
 
 
 def found(documents: DataFrame, subjects: DataFrame, labels: DataFrame) -> DataFrame:
