@@ -77,13 +77,16 @@ def _utf8_spans(text: str) -> tuple[str, list[tuple[int, int, str]]]:
     for name, least in SETS:
         if not _LEADS[name].search(text):
             continue
-        spans, covered = [], 0
+        every, sure = [], []
         for m in _UTF8.finditer(text.translate(_TABLES[name])):
             new = m.group().encode("latin-1").decode("utf-8")
-            need = 3 if name == "mac_roman" and text[m.start()] in _DASHES else least
-            if len(new) >= need and _PLAUSIBLE.fullmatch(new):
-                spans.append((m.start(), m.end(), new))
-                covered += m.end() - m.start()
+            if _PLAUSIBLE.fullmatch(new):
+                every.append((m.start(), m.end(), new))
+                if len(new) >= (3 if name == "mac_roman" and text[m.start()] in _DASHES else least):
+                    sure.append(every[-1])
+        # where longer spans leave no doubt about the set, its short ones count as well
+        spans = every if sum(len(x[2]) for x in sure) >= 6 else sure
+        covered = sum(b - a for a, b, _ in spans)
         if covered > best[0]:
             best = (covered, name, spans)
     return best[1], best[2]

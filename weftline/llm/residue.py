@@ -168,7 +168,7 @@ def labelled(versions: DataFrame, rounds: int = 20) -> DataFrame:
     rest = features.where("label IS NULL OR label <> 'placeholder'")
     node = rest.groupBy("node").agg(F.first("sim").alias("sim"), F.max("label").alias("label"), F.bool_and("short").alias("short"), F.count_distinct("site").alias("sites"), F.min(F.struct("doc_id", "version")).alias("at"))
     node = cut(node.withColumn("label", F.coalesce("label", F.when(F.col("short") & (F.col("sites") >= SITES), F.lit("message")))))
-    done = node.where("label IS NOT NULL").select("node", "label")
+    done = node.where("label IS NOT NULL").select("node", "label", F.lit(True).alias("trusted"))
     front = node.where("label IS NOT NULL")
     open_nodes = node.where("label IS NULL")
     tables = cut(_tables(open_nodes))
@@ -183,9 +183,9 @@ def labelled(versions: DataFrame, rounds: int = 20) -> DataFrame:
         new = cut(pair.mapInPandas(_similar, "node BIGINT, label STRING").groupBy("node").agg(F.max("label").alias("label")))
         if new.isEmpty():
             break
-        done = done.unionByName(new)
+        done = done.unionByName(new.withColumn("trusted", F.lit(False)))
         front = open_nodes.drop("label").join(new, "node")
-    spread = rest.select("doc_id", "version", "node", F.col("label").isNotNull().alias("trusted")).join(done, "node").select("doc_id", "version", "label", "trusted")
+    spread = rest.select("doc_id", "version", "node").join(done, "node").select("doc_id", "version", "label", "trusted")
     return holes.withColumn("trusted", F.lit(True)).unionByName(spread).dropDuplicates(["doc_id", "version"])
 
 

@@ -217,11 +217,12 @@ def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": lang, "place": np.where(at == FEATURES, -1, at), "n": held[at]})
 
 
-def common_places(rows: DataFrame) -> np.ndarray:
-    """Whether a place stands in more than ``COMMON`` of the documents of some language: such words make no subject. Counted over all documents."""
+def common_places(rows: DataFrame, subjects: int) -> np.ndarray:
+    """Whether a place stands in too many of the documents of some language to make a subject: more than ``COMMON``, or one and a half times an
+    even part where the subjects are few. Counted over all documents."""
     counts = rows.select("lang", "ids", "starts", "lines").mapInPandas(_spread, "lang STRING, place BIGINT, n BIGINT").groupBy("lang", "place").agg(F.sum("n").alias("n"))
     size = counts.where("place = -1").select("lang", F.col("n").alias("size")).where("size >= 20")
-    places = counts.where("place >= 0").join(size, "lang").where(F.col("n") > F.col("size") * COMMON).select("place").distinct()
+    places = counts.where("place >= 0").join(size, "lang").where(F.col("n") > F.col("size") * max(COMMON, 1.5 / subjects)).select("place").distinct()
     out = np.zeros(FEATURES, bool)
     out[[r[0] for r in places.collect()]] = True  # at most FEATURES rows
     return out
@@ -260,7 +261,7 @@ def fit(rows: DataFrame, known: list[str], rounds: int = ROUNDS) -> Model:
     some = rows.where("labels IS NOT NULL")
     n = max(1, some.count())
     some = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(10**6)) < int(10**6 * min(1.0, LABELLED / n)))
-    common = common_places(rows)
+    common = common_places(rows, len(known))
     mass: dict[str, np.ndarray] = {}
     for lang, subject, w in some.select("lang", F.explode("labels").alias("subject"), (1 / F.size("labels")).alias("w")).groupBy("lang", "subject").agg(F.sum("w")).collect():
         mass.setdefault(lang, np.zeros(len(known)))[known.index(subject)] = w
