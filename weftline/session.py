@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +41,17 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="weftline-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the session's Python workers, once a session: executors need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_weftline_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="weftline-")) / "weftline.zip"  # read by the driver alone, which serves it
+    with zipfile.ZipFile(archive, "w") as out:
+        for f in sorted(root.rglob("*.py")):
+            out.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._weftline_shipped = True
