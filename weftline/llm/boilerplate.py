@@ -254,6 +254,8 @@ def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 links = bool(re.search(r"\]\(", text)) and all(_LINKS.fullmatch(x) for x in text.split("\n") if x.strip())
                 if fixed or b["block_type"] in ("table", "quote"):
                     verdict = False
+                elif b["block_type"] in ("paragraph", "other") and _TRAIL.fullmatch(text):  # its words are the page's, but it is a path
+                    verdict = True
                 elif known is not None:
                     clean, garbled, _, _ = mojibake.repair(text)
                     mine = np.unique(_hashes(_TARGET.sub("]", clean)))
@@ -261,7 +263,7 @@ def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     shared = np.isin(mine, known, assume_unique=True).mean() if len(mine) else 0.0
                     # what could not be restored cannot be compared; furniture is short
                     verdict = bool(shared < SHARED) and lost < 0.04 * len(clean) and not (garbled and len(text) > 200)
-                elif links or _TRAIL.fullmatch(text):
+                elif links:
                     verdict = True
                 kept, gone = kept + (verdict is False) * len(text), gone + (verdict is True) * len(text)
                 mine_out.append((doc, version, b["block_id"], wording(text), verdict, bool(fixed)))
