@@ -65,12 +65,12 @@ def bm25(units: DataFrame, key: list[str], text: str, title: str, terms: list[st
     hit = u
     for i in range(len(terms)):
         hit = hit.where(F.col(f"w{i}") + F.col(f"h{i}") > 0)
-    hit = hit.join(stats)  # one row of corpus statistics
+    s = stats.first()
     score = F.lit(0.0)
     for i in range(len(terms)):
-        idf = F.greatest(F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(LEAST_IDF))
+        idf = F.greatest(F.log(F.lit((s["n"] - s[f"df{i}"] + 0.5) / (s[f"df{i}"] + 0.5))), F.lit(LEAST_IDF))
         tf = F.col(f"w{i}") + TITLE_WEIGHT * F.col(f"h{i}")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(s["mean"] or 1.0)))
     return hit.select(*key, score.alias("score"))
 
 

@@ -102,8 +102,8 @@ def kind_counts(spark, d):
 
 def common_cases(spark, d):
     e = _events(spark, d)
-    kinds = e.agg(F.count_distinct("event_type").alias("all_kinds"))
-    return e.groupBy("k").agg(F.count_distinct("event_type").alias("kinds")).join(kinds).where("kinds = all_kinds").select("k", "kinds")
+    every = e.agg(F.count_distinct("event_type")).first()[0]
+    return e.groupBy("k").agg(F.count_distinct("event_type").alias("kinds")).where(F.col("kinds") == every)
 
 
 def paired_deltas(spark, d):
