@@ -58,10 +58,10 @@ def tokens(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 def demands(counted: DataFrame, targets: DataFrame) -> DataFrame:
     """One row for each source of each mix: what it has, should and can give, and the slope of its schedule. Small: as many rows as targets."""
     t = targets.where("source IS NOT NULL").select("mix_id", "source", "target_share", "max_repeats", "size_ratio").distinct()
-    total = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"))
+    total = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     has = owned(counted, t).groupBy("mix_id", "source").agg(F.sum("tokens").alias("available"), F.count("*").alias("texts"))
-    rows = t.join(total).join(has, ["mix_id", "source"], "left").fillna({"available": 0, "texts": 0})  # one row of totals
-    rows = rows.withColumn("demand", F.col("target_share") * F.col("size_ratio") * F.col("all_tokens"))
+    rows = t.join(has, ["mix_id", "source"], "left").fillna({"available": 0, "texts": 0})
+    rows = rows.withColumn("demand", F.col("target_share") * F.col("size_ratio") * F.lit(total))
     rows = rows.withColumn("budget", F.when(F.col("max_repeats").isNull(), F.when(F.col("available") > 0, F.col("demand")).otherwise(0.0)).otherwise(F.least("demand", F.col("available") * F.col("max_repeats").cast("double"))))
     mix = Window.partitionBy("mix_id")
     z = 1 - 2 * F.col("target_share") / F.greatest(F.max("target_share").over(mix), F.lit(1e-9))
