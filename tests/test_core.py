@@ -150,6 +150,54 @@ def test_streaming_numbers_like_batch(spark, tmp_path):
     assert got == [("u", 1, "A"), ("u", 2, "B"), ("v", 1, "A")]
 
 
+def test_stems_match_sqlite(spark, data):
+    from weftline.functions.stem import stem, stems
+
+    words = set()
+    for r in spark.read.parquet(f"{data}/documents.parquet").where("lang = 'en' AND text IS NOT NULL").select("text").collect():
+        words |= {w for w in __import__("re").findall(r"[a-z]+", r["text"].lower()) if len(w) < 60}
+    words |= {"relational", "conditional", "hopping", "falling", "happy", "sky", "agreed", "controlling", "generalizations", "oscillators"}
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE t USING fts5(w, tokenize = 'porter unicode61 remove_diacritics 2')")
+    db.execute("CREATE VIRTUAL TABLE v USING fts5vocab(t, 'instance')")
+    ordered = sorted(words)
+    db.executemany("INSERT INTO t(rowid, w) VALUES (?, ?)", list(enumerate(ordered, 1)))
+    want = {ordered[doc - 1]: term for term, doc in db.execute("SELECT term, doc FROM v")}
+    wrong = {w: (stem(w), want[w]) for w in ordered if w in want and stem(w) != want[w]}
+    assert not wrong
+    assert stems("Café CRÈMES") == [stem("cafe"), stem("cremes")] and stems(None) == []
+
+
+def test_quotes_and_evidence(spark):
+    from weftline.operators import evidence as V
+
+    assert V.quote_span("A  Big\nDog ran", "big dog") == (3, 10)
+    assert V.quote_span("x", " ") is V.quote_span(None, "a") is None
+    blocks = spark.createDataFrame([("d", 1, 0, "b1", "The  pond is deep"), ("d", 1, 1, "b2", "the pond is deep, too")], "doc_id STRING, version INT, idx INT, block_id STRING, text STRING")
+    claims = spark.createDataFrame([("d", 1, "depth", "deep", "POND is deep"), ("d", 1, "width", "wide", "is wide"), ("d", 1, "age", None, "x"), ("e", 1, "age", "1", "x")], "doc_id STRING, version INT, field STRING, value STRING, quote STRING")
+    got = {(r["doc_id"], r["field"]): (r["status"], r["block_id"]) for r in V.evidence(claims, blocks).collect()}
+    assert got == {("d", "depth"): ("supported", "b1"), ("d", "width"): ("unsupported", None), ("d", "age"): ("missing", None), ("e", "age"): ("unsupported", None)}
+    titles = spark.createDataFrame([("Ponds and frogs | Site",), ("A - much longer tail than its head",), ("Plain",), ("One \u2013 Two \u2013 Three",)], "t STRING")
+    assert [r[0] for r in titles.select(V.short_title(F.col("t"))).collect()] == ["Ponds and frogs", "A - much longer tail than its head", "Plain", "One \u2013 Two"]
+    assert V.table_row_kept("| a | b | c |", ["a", "c"]) and not V.table_row_kept("| a | b |", ["b", "a"])
+    assert V.code_kept("```\n  x = 1\n  y\n```", "x = 1\ny") and not V.code_kept("x = 1\ny", "x = 1\ny")
+
+
+def test_records(spark, tmp_path):
+    import gzip
+
+    from weftline.sources import records
+
+    r = spark.createDataFrame([("q", '{"results": [{"url": "ftp://x"}, {"url": "https://a", "title": "A", "content": "c"}]}')], "query STRING, body STRING")
+    assert [tuple(x) for x in records.search_results(r).collect()] == [("q", 1, "https://a", "A", "c")]
+    assert records.decode_content(gzip.compress(b"abc"), "gzip") == (b"abc", None)
+    assert records.decode_content(b"abc", "br") == (None, "unsupported_encoding")
+    assert records.decode_content(b"abc", None, 2) == (b"ab", "decompressed_limit")
+    path = str(tmp_path / "out")
+    records.write_export(spark.createDataFrame([(1, None), (2, "x")], "id INT, t STRING"), path)
+    assert records.json_lines(spark, path, "id INT, t STRING").count() == 2
+
+
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_sql_agrees(spark, data, name):
     import glob

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
+from weftline.functions.stem import stems_udf
+from weftline.operators import evidence as V
 from weftline.operators import score as S
 from weftline.operators import search as Q
 from weftline.operators import stats as A
@@ -160,6 +162,22 @@ def strategy_rates(spark, d):
     return v.groupBy("strategy", "backend").agg(F.count("*").alias("n"), F.round(F.avg((F.col("http_status") < 300).cast("double")), 6).alias("ok_rate"), A.nearest_rank("chars", 0.5).alias("median_chars"))
 
 
+def stemmed_terms(spark, d):
+    b = _blocks(spark, d).select(F.explode(stems_udf(F.col("text"))).alias("stem"))
+    return b.groupBy("stem").agg(F.count("*").alias("n"))
+
+
+def evidence_status(spark, d):
+    b = _blocks(spark, d)
+    heads = b.where("level = 2").select("doc_id", "version", F.col("block_id").alias("field"), F.upper("text").alias("value"), F.upper("text").alias("quote"))
+    titles = b.where("level = 1").select("doc_id", "version", F.lit("title").alias("field"), F.col("title").alias("value"), F.concat("title", F.lit("?")).alias("quote"))
+    return V.evidence(heads.unionByName(titles).dropDuplicates(["doc_id", "version", "field"]), b)
+
+
+def prompt_budget(spark, d):
+    return V.prompt_lines(_blocks(spark, d), 1000).groupBy("doc_id", "version").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
+
+
 _E = "(SELECT event_id, ts, user_id, event_type, value, (props->>'$.k')::BIGINT AS k FROM events)"
 _W = "' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), ' ') || ' '"
 _BM25 = f"""
@@ -174,7 +192,7 @@ def _mul(a: str, b: str) -> str:
     return f"((((({a}) & 65535) * ({b})) + ((((({a}) >> 16) * ({b})) & 65535) << 16)) & 4294967295)"
 
 
-QUERIES = {f.__name__: f for f in (search_and, search_or, search_phrase, search_prefix, search_bm25, search_latest, term_statistics, title_overlap, passage_recall, duplicate_texts, latency_ranks, outcome_rates, first_vs_warm, split_groups, cost_by_unit, kind_counts, common_cases, paired_deltas, profile_pairs, leader_ties, bootstrap_interval, peak_resources, running_budget, stable_signatures, task_generation, strategy_rates)}
+QUERIES = {f.__name__: f for f in (search_and, search_or, search_phrase, search_prefix, search_bm25, search_latest, term_statistics, title_overlap, passage_recall, duplicate_texts, latency_ranks, outcome_rates, first_vs_warm, split_groups, cost_by_unit, kind_counts, common_cases, paired_deltas, profile_pairs, leader_ties, bootstrap_interval, peak_resources, running_budget, stable_signatures, task_generation, strategy_rates, stemmed_terms, evidence_status, prompt_budget)}
 
 SQL = {
     "search_and": f"SELECT doc_id, version, idx FROM {_B} WHERE contains({_W}, ' settlement ') AND contains({_W}, ' offers ')",
@@ -220,5 +238,10 @@ SQL = {
     "running_budget": "SELECT event_id, spent FROM (SELECT event_id, coalesce(sum(floor(value * 100)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent FROM events) WHERE spent < 20000",
     "stable_signatures": "SELECT user_id, min(event_id) AS first_event, count(*) AS n FROM (SELECT *, sum(changed) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = event_type THEN 0 ELSE 1 END AS changed FROM events)) GROUP BY user_id, run HAVING count(*) >= 3",
     "task_generation": "SELECT event_type, r_name, repetition FROM (SELECT DISTINCT event_type FROM events), region, (SELECT unnest([1, 2, 3])::BIGINT AS repetition)",
+    "prompt_budget": f"""
+        WITH l AS (SELECT doc_id, version, idx, block_id, '[' || block_id || '] ' || text AS line FROM {_B}),
+        u AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id, version ORDER BY idx) AS until FROM l),
+        b AS (SELECT *, until - length(line) - 1 AS before FROM u)
+        SELECT doc_id, version, count(*) AS lines, sum(least(length(line), 1000 - before))::BIGINT AS chars FROM b WHERE until <= 1001 OR (1000 - before > length(block_id) + 3 AND before <= 1000) GROUP BY ALL""",
     "strategy_rates": "SELECT strategy, backend, count(*) AS n, round(avg((http_status < 300)::INT), 6) AS ok_rate, quantile_disc(chars, 0.5)::INT AS median_chars FROM (SELECT DISTINCT doc_id, version, strategy, backend, http_status, length(markdown) AS chars FROM versions) GROUP BY ALL",
 }
