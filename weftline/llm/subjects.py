@@ -2,7 +2,7 @@
 
 Complement naive Bayes gives each word a weight for each subject (its log frequency in the subject's text against that in all other text). It is
 trained on labelled documents and refined by expectation-maximization: each pass scores every sentence of every document, in the light of the
-document's other sentences, and adds its words to the subjects by its posteriors. A subject's posterior for a document is independent of the
+document's other sentences, and adds its words to the subjects by its posteriors, the rest of them going to text about no subject. A subject's posterior for a document is independent of the
 others: a sigmoid of the share of own sentences about it, calibrated on the labelled documents.
 
 Words are hashed to ``FEATURES`` places, which bounds the model that is sent to the tasks whatever the vocabulary. Labels are trimmed and compared
@@ -25,7 +25,7 @@ from weftline.llm.sitelines import NAME
 from weftline.session import cut
 
 FEATURES, LABELLED, ROUNDS, SHARE, CHUNK = 2**17, 20_000, 2, 0.25, 1_000
-PRIOR, ABOUT, KNOWN, SMOOTH, LEAST, COMMON = 1.0, 3.5, 0.05, 3.0, 1.4, 0.2
+PRIOR, ABOUT, KNOWN, SMOOTH, LEAST, COMMON, WRONG = 1.0, 3.5, 0.05, 3.0, 1.4, 0.2, 0.002
 _DENSE = "぀-ヿ㐀-鿿"
 _TOKEN = re.compile(f"[{_DENSE}]+|[^\\W\\d_{_DENSE}]{{2,}}")
 _IS_DENSE = re.compile(f"[{_DENSE}]")
@@ -114,14 +114,14 @@ def _chunks(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, Batch]]:
 
 
 class Model:
-    """Word weights by subject: (features + 1 places, subjects)."""
+    """Word weights by subject, from counts by place and subject; the last column counts text about no subject."""
 
-    def __init__(self, counts: np.ndarray, subjects: list[str], common: np.ndarray):
+    def __init__(self, counts: np.ndarray, subjects: list[str], common: np.ndarray, smooth: float = SMOOTH):
         self.subjects = subjects
         k, total = len(subjects), counts.sum(axis=1, keepdims=True)
-        own = (counts + SMOOTH / k) / (total + SMOOTH)
-        # log odds of the subject against all others, beyond those of an unknown word; what says little says nothing
-        odds = np.log(own / (1 - own)) - np.log(1 / max(1, k - 1)) if k > 1 else np.ones_like(counts)
+        own = (counts[:, :k] + smooth / (k + 1)) / (total + smooth)
+        # log odds of the subject against all other text, beyond those of an unknown word; what says little says nothing
+        odds = np.log(own / (1 - own)) + np.log(k)
         self.weights = np.where((total > 0.5) & (np.abs(odds) >= LEAST) & ~common[:, None], np.clip(odds, -4, 5), 0).astype(np.float32)
         self.about, self.slope, self.middle = ABOUT, 20.0, SHARE
 
@@ -159,7 +159,8 @@ def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _counts(model: Model | None, subjects: list[str], scale: dict[str, np.ndarray]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Summed word counts by subject of a task's documents: by their labels without a model, else by sentence posteriors.
+    """Summed word counts by subject of a task's documents: by their labels without a model, else by sentence posteriors, what is left of them
+    counting for no subject.
 
     ``scale`` balances the subjects within each language label. Rows of place -1 hold the mass of a language before balancing. A word counts once
     a document, at its mean posterior there: one odd document cannot teach much.
@@ -167,36 +168,37 @@ def _counts(model: Model | None, subjects: list[str], scale: dict[str, np.ndarra
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         k = len(subjects)
-        total, mass, even = np.zeros((FEATURES, k)), {}, np.ones(k)
+        total, mass, even = np.zeros((FEATURES, k + 1)), {}, np.ones(k)
         for part, b in (x for batch in batches for x in _chunks(batch)):
             known = np.zeros((len(part), k))
             for i, labels in enumerate(part["labels"]):
                 if labels is not None:
                     known[i, [subjects.index(x) for x in labels]] = 1 / len(labels)
             if model is None:
-                p = known[b.document]
+                p, none = known[b.document], np.zeros((len(b.starts), 1))
             else:
                 # a label speaks for its subjects, but does not forbid others: labels may be wrong
                 scores = model.scores(b) + (known > 0)[b.document]
                 top = scores.max(axis=1, keepdims=True)
                 p = np.exp(np.clip(scores - top, -30, 0))
-                p = p / p.sum(axis=1, keepdims=True) * (1 / (1 + np.exp(-np.clip(top - model.about, -30, 30))))
+                some = 1 / (1 + np.exp(-np.clip(top - model.about, -30, 30)))
+                p, none = p / p.sum(axis=1, keepdims=True) * some, 1 - some
             langs = part["lang"].tolist()
             mean = np.add.reduceat(p, b.documents, axis=0) / b.sentences[:, None]
             for lang in set(langs):
                 mass[lang] = mass.get(lang, 0) + mean[[x == lang for x in langs]].sum(axis=0)
             order, first, document, place = b.held()
-            words = np.repeat(p, b.sizes, axis=0)[order]
+            words = np.repeat(np.hstack([p, none]), b.sizes, axis=0)[order]
             each = np.add.reduceat(words, first, axis=0) / np.diff(np.append(first, len(order)))[:, None]
-            each *= np.array([scale.get(x, even) for x in langs])[document]
-            for i in range(k):
+            each[:, :k] *= np.array([scale.get(x, even) for x in langs])[document]
+            for i in range(k + 1):
                 total[:, i] += np.bincount(place, weights=each[:, i], minlength=FEATURES)
         at = np.flatnonzero(total.sum(axis=1) > 1e-6)
         for a in range(0, len(at), 20_000):
             part = at[a : a + 20_000]
-            yield pd.DataFrame({"place": part, "lang": None, **{f"s{i}": total[part, i] for i in range(k)}})
+            yield pd.DataFrame({"place": part, "lang": None, **{f"s{i}": total[part, i] for i in range(k + 1)}})
         if mass:
-            yield pd.DataFrame({"place": -1, "lang": list(mass), **{f"s{i}": [m[i] for m in mass.values()] for i in range(k)}})
+            yield pd.DataFrame({"place": -1, "lang": list(mass), **{f"s{i}": [m[i] if i < k else 0.0 for m in mass.values()] for i in range(k + 1)}})
 
     return run
 
@@ -234,14 +236,14 @@ def _scaled(mass: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 def _gather(rows: DataFrame, model: Model | None, subjects: list[str], scale: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Counts by place, and the scale that balances the subjects of each language from their masses."""
-    columns = [f"s{i}" for i in range(len(subjects))]
+    columns = [f"s{i}" for i in range(len(subjects) + 1)]
     parts = rows.mapInPandas(_counts(model, subjects, scale), "place BIGINT, lang STRING, " + ", ".join(f"{c} DOUBLE" for c in columns))
     got = parts.groupBy("place", "lang").agg(*[F.sum(c).cast("float").alias(c) for c in columns]).toPandas()  # at most FEATURES rows and the languages
-    counts = np.zeros((FEATURES, len(subjects)))
+    counts = np.zeros((FEATURES, len(subjects) + 1))
     words = got[got["place"] >= 0]
     if len(words):
         counts[words["place"].to_numpy()] = words[columns].to_numpy()
-    return counts, _scaled({row.lang: np.array(row[2:], float) for row in got[got["place"] < 0].itertuples(index=False)})
+    return counts, _scaled({row.lang: np.array(row[2:-1], float) for row in got[got["place"] < 0].itertuples(index=False)})
 
 
 def names(subjects: DataFrame) -> list[str]:
@@ -262,15 +264,17 @@ def fit(rows: DataFrame, known: list[str], rounds: int = ROUNDS) -> Model:
     n = max(1, some.count())
     some = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(10**6)) < int(10**6 * min(1.0, LABELLED / n)))
     common = common_places(rows, len(known))
+    # labels are wrong now and then: words that few labelled documents hold, as against all of them, must not start a subject
+    smooth = SMOOTH + WRONG * min(n, LABELLED)
     mass: dict[str, np.ndarray] = {}
     for lang, subject, w in some.select("lang", F.explode("labels").alias("subject"), (1 / F.size("labels")).alias("w")).groupBy("lang", "subject").agg(F.sum("w")).collect():
         mass.setdefault(lang, np.zeros(len(known)))[known.index(subject)] = w
     scale = _scaled(mass)
     counts, _ = _gather(some, None, known, scale)
-    model = Model(counts, known, common)
+    model = Model(counts, known, common, smooth)
     for _ in range(rounds):
         counts, scale = _gather(rows, model, known, scale)
-        model = Model(counts, known, common)
+        model = Model(counts, known, common, smooth)
     return calibrated(model, some)
 
 
