@@ -103,6 +103,39 @@ def test_labels_spread_over_near_duplicates_only(spark):
     assert {r["doc_id"]: r["trusted"] for r in residue.labelled(df).collect()} == {"s0": True, "s1": True, "s2": True, "near": False}
 
 
+def test_near_duplicates_against_brute_force(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=3))
+
+    def edited(words, n):
+        out = list(words)
+        for k in rng.sample(range(len(out)), n):
+            out[k] = word()
+        return out
+
+    rows, texts = [], {}
+    for g in range(12):
+        base = [word() for _ in range(rng.randint(60, 95))]
+        rows += [(f"t{g}.{i}", f"https://site{i}.example/x", " ".join(base)) for i in range(3)]
+        texts[f"t{g}.0"] = base
+        for v in range(12):
+            texts[f"n{g}.{v}"] = edited(base, v % 3) if v < 8 else edited(base[: len(base) - rng.randint(4, 20)], v % 2)
+    texts["c0"] = edited(texts["t0.0"], 1)
+    for i in range(1, 23):  # a chain, each link only near the one before
+        at = 7 * i % len(texts["c0"])
+        texts[f"c{i}"] = [*texts[f"c{i - 1}"][:at], word(), *texts[f"c{i - 1}"][at + 1 :]]
+    rows += [(k, "https://site9.example/x", " ".join(t)) for k, t in texts.items() if not k.startswith("t")]
+    sets = {k: set(residue.shingles(t).tolist()) for k, t in texts.items()}
+    want = new = {k for k in texts if k.startswith("t")}
+    while new:
+        new = {k for k in sets.keys() - want if any(len(sets[k] & sets[x]) >= 0.8 * len(sets[k] | sets[x]) for x in new)}
+        want = want | new
+    assert "c22" in want and len(want) < len(texts)
+    df = spark.createDataFrame([(k, 1, u, ("n",), t) for k, u, t in rows], "doc_id STRING, version INT, final_url STRING, meta STRUCT<siteName: STRING>, markdown STRING")
+    got = {r["doc_id"] for r in residue.labelled(df).collect()}
+    assert {k for k in got if k in texts} == want
+
+
 def test_leaks_against_brute_force():
     rng = random.Random(2)
     vocabulary = [f"word{i}" for i in range(400)]

@@ -2,19 +2,21 @@
 
 Trusted labels come from patterns (unfilled placeholders in prose, the wording of error and script notices in texts that hold little else,
 stock filler) and from short texts that stand word for word on several sites. Texts are masked (digits, identifiers, addresses, the site's own
-name) and equal masked texts are one node. Each node has a 64-bit SimHash of its five-word shingles, kept in tables keyed by two of eight bytes.
-Starting from the labelled nodes, a node joins a labelled component when it shares a table bucket, is within the Hamming bound and has shingles of
-a Jaccard similarity of 0.8 or more with a node in it; this repeats until no node joins, so the components reached by a label are complete while
-content texts are never paired with each other. Placeholder labels stay with their version: the same page without them is content.
+name) and equal masked texts are one node. Starting from the labelled nodes, a node joins a labelled component when its five-word shingles have a
+Jaccard similarity of 0.8 or more with those of a node in it; this repeats until no node joins. Candidates come from prefix filtering: of two sets
+with that similarity, the lowest fifth (and one) of the hashes of each share one, and their sizes are in the same or neighbouring classes. Nothing
+is lost by it, so the components reached by a label are complete while content texts are never paired with each other. A bitmap of fixed size
+drops the keys that no node of the front has before they are joined. Placeholder labels stay with their version: the same page without them is
+content.
 
 Defined results: null and empty texts are no residue; repeated rows give one row; texts are processed whole.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,9 @@ from pyspark.sql import functions as F
 from weftline.functions.urls import site_of
 from weftline.session import cut
 
-SHINGLE, SIMILAR, HAMMING, SITES, SHORT = 5, 0.8, 16, 3, 400
+SHINGLE, SIMILAR, SITES, SHORT = 5, 0.8, 3, 400
+# sizes of similar sets are at most one class apart; bits of the bitmap of keys
+_CLASS, _BITS = math.log(1.008 / SIMILAR), 1 << 22
 _FENCE = re.compile(r"(?ms)^[ \t]*(?:```|~~~).*?(?:^[ \t]*(?:```|~~~)[ \t]*$|\Z)")
 _INLINE = re.compile(r"`+[^`\n]+`+")
 _TARGET = re.compile(r"\]\([^)\s]*\)")
@@ -119,11 +123,10 @@ def shingles(words: list[str]) -> np.ndarray:
     return np.unique(out)
 
 
-def simhash(hashes: np.ndarray) -> int:
-    if not len(hashes):
-        return 0
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(len(hashes), 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(bits * 2 > len(hashes)).view(np.int64)[0])
+def prefix(hashes: np.ndarray) -> np.ndarray:
+    """Low halves of the lowest hashes: two sets of a Jaccard similarity of ``SIMILAR`` or more have one of these in common."""
+    n = len(hashes)
+    return hashes[: n - math.ceil(SIMILAR * n - 1e-9) + 1].astype(np.uint32).view(np.int32)
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,8 +136,9 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             clean = prose(text)
             words = masked(clean, site, name)
             joined = " ".join(words)
-            out.append((doc, version, site, xxhash.xxh3_64_intdigest(joined) - 2**63, simhash(shingles(words)), len(clean.strip()) <= SHORT and bool(words), trusted(clean, words)))
-        yield pd.DataFrame(out, columns=["doc_id", "version", "site", "node", "sim", "short", "label"])
+            held = shingles(words)
+            out.append((doc, version, site, xxhash.xxh3_64_intdigest(joined) - 2**63, len(held), prefix(held), len(clean.strip()) <= SHORT and bool(words), trusted(clean, words)))
+        yield pd.DataFrame(out, columns=["doc_id", "version", "site", "node", "size", "prefix", "short", "label"])
 
 
 def _texts(versions: DataFrame) -> DataFrame:
@@ -142,11 +146,42 @@ def _texts(versions: DataFrame) -> DataFrame:
     return v.where("markdown IS NOT NULL AND trim(markdown) <> ''")
 
 
-def _tables(nodes: DataFrame) -> DataFrame:
-    """One row for each node and pair of its eight bytes."""
-    byte = [F.shiftrightunsigned("sim", 8 * i).bitwiseAND(F.lit(255)) for i in range(8)]
-    keys = F.array(*[(F.lit(k * 65536) + byte[i] * 256 + byte[j]).cast("int") for k, (i, j) in enumerate(combinations(range(8), 2))])
-    return nodes.select("node", "sim", F.explode(keys).alias("bucket"))
+def _keys(size: int, part: np.ndarray, apart: tuple[int, ...] = (0,)) -> np.ndarray:
+    """Keys of a prefix in its size class, and in those that are ``apart`` from it."""
+    own = int(math.log(max(1, size)) / _CLASS)
+    with np.errstate(over="ignore"):
+        return np.concatenate([(np.asarray(part, np.int32).view(np.uint32) + np.uint32((own + d) * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(0x9E3779B1) for d in apart])
+
+
+def _seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for seed, size, part, label in batch[["node", "size", "prefix", "label"]].itertuples(index=False):
+            yield pd.DataFrame({"seed": seed, "seed_size": size, "label": label, "key": _keys(size, part, (-1, 0, 1)).view(np.int32)})
+
+
+def _sought(bits: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Keys of nodes that may be among the seeds' keys, of which ``bits`` is the bitmap."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for node, size, part in batch[["node", "size", "prefix"]].itertuples(index=False):
+                keys = _keys(size, part)
+                at = keys & np.uint32(_BITS - 1)
+                keys = keys[(bits[at >> np.uint32(6)] >> (at & np.uint32(63)).astype(np.uint64)) & np.uint64(1) == 1]
+                out += [(node, size, k) for k in keys.view(np.int32).tolist()]
+            yield pd.DataFrame(out, columns=["node", "size", "key"])
+
+    return run
+
+
+def _bitmap(seeds: DataFrame) -> np.ndarray:
+    at = F.col("key").bitwiseAND(F.lit(_BITS - 1))
+    rows = seeds.select((at / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, (key & {_BITS - 1}) % 64)").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
+    out = np.zeros(_BITS // 64, np.int64)
+    for r in rows:
+        out[r["word"]] = r["bits"]
+    return out.view(np.uint64)
 
 
 def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,21 +195,21 @@ def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[keep, ["node", "label"]]
 
 
-def labelled(versions: DataFrame, rounds: int = 20) -> DataFrame:
+def labelled(versions: DataFrame) -> DataFrame:
     """(doc_id, version, label, trusted) of every version that is residue; ``trusted`` is false where the label came over a component."""
     texts = _texts(versions)
-    features = cut(texts.mapInPandas(_features, "doc_id STRING, version INT, site STRING, node BIGINT, sim BIGINT, short BOOLEAN, label STRING"))
+    features = cut(texts.mapInPandas(_features, "doc_id STRING, version INT, site STRING, node BIGINT, size INT, prefix ARRAY<INT>, short BOOLEAN, label STRING"))
     holes = features.where("label = 'placeholder'").select("doc_id", "version", "label")
     rest = features.where("label IS NULL OR label <> 'placeholder'")
-    node = rest.groupBy("node").agg(F.first("sim").alias("sim"), F.max("label").alias("label"), F.bool_and("short").alias("short"), F.count_distinct("site").alias("sites"), F.min(F.struct("doc_id", "version")).alias("at"))
+    node = rest.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.max("label").alias("label"), F.bool_and("short").alias("short"), F.count_distinct("site").alias("sites"), F.min(F.struct("doc_id", "version")).alias("at"))
     node = cut(node.withColumn("label", F.coalesce("label", F.when(F.col("short") & (F.col("sites") >= SITES), F.lit("message")))))
     done = node.where("label IS NOT NULL").select("node", "label", F.lit(True).alias("trusted"))
     front = node.where("label IS NOT NULL")
     open_nodes = node.where("label IS NULL")
-    tables = cut(_tables(open_nodes))
-    for _ in range(rounds):
-        seeds = _tables(front).join(front.select("node", "label"), "node").select(F.col("node").alias("seed"), F.col("sim").alias("seed_sim"), "bucket", "label")
-        near = tables.join(seeds.dropDuplicates(["bucket", "seed"]), "bucket").where(F.bit_count(F.col("sim").bitwiseXOR(F.col("seed_sim"))) <= HAMMING)
+    while True:
+        seeds = cut(front.select("node", "size", "prefix", "label").mapInPandas(_seeds, "seed BIGINT, seed_size INT, label STRING, key INT"))
+        sought = open_nodes.select("node", "size", "prefix").mapInPandas(_sought(_bitmap(seeds)), "node BIGINT, size INT, key INT")
+        near = sought.join(seeds, "key").where(F.least("size", "seed_size") >= SIMILAR * F.greatest("size", "seed_size") - 1e-6)
         near = near.select("node", "seed", "label").distinct().join(done.select("node"), "node", "left_anti")
         place = node.select("node", "at")
         pair = near.join(place.select("node", F.col("at").alias("a_at")), "node").join(place.select(F.col("node").alias("seed"), F.col("at").alias("b_at")), "seed")
@@ -183,8 +218,8 @@ def labelled(versions: DataFrame, rounds: int = 20) -> DataFrame:
         new = cut(pair.mapInPandas(_similar, "node BIGINT, label STRING").groupBy("node").agg(F.max("label").alias("label")))
         if new.isEmpty():
             break
-        done = done.unionByName(new.withColumn("trusted", F.lit(False)))
-        front = open_nodes.drop("label").join(new, "node")
+        done = cut(done.unionByName(new.withColumn("trusted", F.lit(False))))
+        front = cut(open_nodes.drop("label").join(new, "node"))
     spread = rest.select("doc_id", "version", "node").join(done, "node").select("doc_id", "version", "label", "trusted")
     return holes.withColumn("trusted", F.lit(True)).unionByName(spread).dropDuplicates(["doc_id", "version"])
 
