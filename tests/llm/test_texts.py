@@ -155,6 +155,38 @@ def test_leaks_against_brute_force():
     assert leakage.leaks(index, None) == leakage.leaks(leakage.Index([]), "a") == []
 
 
+def test_leaks_with_uneven_errors_against_brute_force():
+    rng = random.Random(8)
+    item = [f"word{i}" for i in range(40)]
+
+    def errors(part, words):  # fewest errors between the part and any stretch of the words
+        row = [0] * (len(words) + 1)
+        for x in part:
+            new = [row[0] + 1]
+            for j, y in enumerate(words):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return min(row)
+
+    def case(words):
+        return any(errors(item[a:b], words) <= -(-(b - a) // 8) for a in range(40) for b in range(a + 20, 41))
+
+    uneven = list(item)
+    for k in (6, 13, 22, 25, 28, 31, 34):
+        uneven[k] = "changed"
+    texts = [uneven]
+    for n in range(60):
+        words = list(item)
+        for k in rng.sample(range(20), rng.randint(1, 4)) + rng.sample(range(20, 40), rng.randint(2, 9)):
+            words[k] = rng.choice(["changed", "changed words", ""])
+        texts.append(" ".join(words).split())
+    index = leakage.Index([(1, " ".join(item)), (2, "some other item of a few words")])
+    wanted = [case(t) for t in texts]
+    assert wanted[0] and 5 < sum(wanted) < 55
+    around = [f"other{j}" for j in range(30)]
+    assert [bool(leakage.leaks(index, " ".join(around + t + around))) for t in texts] == wanted
+
+
 PAGE = "<html><body><div class=n><a href=a>Home</a><a href=b>Shop</a><a href=c>Blog</a></div><div><h1>Ponds</h1>" + "".join(f"<p>Sentence {i} tells how water, reeds and quiet frogs share one old pond.</p>" for i in range(6)) + "<div>More<ul><li><a href=d>Other page</a><li><a href=e>Third page</a></ul></div></div><div class=f>(c) 2024 Someone</div></body></html>"
 
 

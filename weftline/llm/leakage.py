@@ -3,8 +3,9 @@
 The items are indexed with BM25 weights per (term, item); items are grouped into blocks that keep the highest weight of each term. Every passage of
 every document is a query: a block is evaluated only when the sum of its highest weights reaches the lowest threshold of its items, first for the
 whole text and then for its passages, and every item whose score reaches its threshold is retrieved. An item's threshold is the lowest score that a
-stretch of half its words can have after one word in eight was changed, so retrieval loses nothing; each retrieved pair is then verified by a
-local alignment of the two word sequences.
+stretch of half its words or more can have after one word in eight was changed, so retrieval loses nothing. A retrieved pair is verified by the
+edit distance of every stretch of half the item's words or more to the passages; a local alignment, whose score bounds that of all stretches, spares
+most pairs this.
 
 Letter case, markup, link targets, punctuation, spacing and invisible characters do not count. The items are a stated query set: they are
 collected in blocks of at most ``ITEMS`` rows (their size is checked against ``CHARS``), each block passing over all documents.
@@ -43,6 +44,11 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def allowed(length: int) -> int:
+    """Errors that a stretch of so many words of an item may have."""
+    return math.ceil(length * ERRORS)
+
+
 class Index:
     """BM25 weights of items by term, with block maxima and a threshold for each item."""
 
@@ -72,12 +78,14 @@ class Index:
 
     def _lowest(self, i: int) -> float:
         seq, weights = self.sequence[i], self.weights[i]
-        length = math.ceil(len(seq) * SHARE)
-        lost = math.ceil(length * ERRORS)
         sums = []
-        for a in range(len(seq) - length + 1):
-            x = sorted(weights[t] for t in set(seq[a : a + length].tolist()))
-            sums.append(sum(x[: max(1, len(x) - lost)]))
+        for length in range(math.ceil(len(seq) * SHARE), len(seq) + 1):
+            lost = allowed(length)
+            if sums and lost == allowed(length - 1):
+                continue  # a longer stretch with as many errors scores no lower
+            for a in range(len(seq) - length + 1):
+                x = sorted(weights[t] for t in set(seq[a : a + length].tolist()))
+                sums.append(sum(x[: max(1, len(x) - lost)]))
         return min(sums) * 0.999
 
     def retrieve(self, terms: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
@@ -90,29 +98,43 @@ class Index:
         return among[self.table[terms][:, among].sum(axis=0) >= self.threshold[among]]
 
 
-def held(item: np.ndarray, document: np.ndarray) -> tuple[int, int]:
-    """(words of the item, errors) of the best stretch that both sequences share: local alignment with an error at ``PENALTY`` matches."""
+def best_score(item: np.ndarray, document: np.ndarray) -> int:
+    """Score of the best local alignment of both sequences, with an error at ``PENALTY`` matches."""
+    row = np.zeros(len(document) + 1, np.int32)
+    gap = PENALTY * np.arange(len(document) + 1, dtype=np.int32)
+    best = 0
+    for word in item:
+        new = np.maximum(row - PENALTY, 0)
+        new[1:] = np.maximum(new[1:], row[:-1] + np.where(document == word, 1, -PENALTY))
+        row = np.maximum.accumulate(new + gap) - gap
+        best = max(best, int(row.max()))
+    return best
+
+
+def held(item: np.ndarray, document: np.ndarray) -> tuple[int, int] | None:
+    """(words, errors) of the longest stretch of the item, of half its words at least, that the document holds with at most ``allowed`` errors.
+
+    Of stretches of one length that with the fewest errors counts; null when there is none.
+    """
     n, m = len(item), len(document)
-    score = np.zeros((n + 1, m + 1), np.int32)
-    gap = PENALTY * np.arange(m + 1, dtype=np.int32)
+    least = math.ceil(n * SHARE)
+    # each error takes one match at most and costs PENALTY
+    if best_score(item, document) < min(k - (1 + PENALTY) * allowed(k) for k in range(least, n + 1)):
+        return None
+    column = np.arange(m + 1, dtype=np.int32)
+    # distance[a]: errors between the words from a on and the stretch of the document that ends in each column, wherever that begins
+    distance = np.zeros((n - least + 1, m + 1), np.int32)
+    found = None
     for i in range(1, n + 1):
-        row = np.maximum(score[i - 1] - PENALTY, 0)
-        row[1:] = np.maximum(row[1:], score[i - 1, :-1] + np.where(document == item[i - 1], 1, -PENALTY))
-        score[i] = np.maximum.accumulate(row + gap) - gap
-    i, j = np.unravel_index(int(score.argmax()), score.shape)
-    end, errors = i, 0
-    while i and j and score[i, j] > 0:
-        if document[j - 1] == item[i - 1] and score[i, j] == score[i - 1, j - 1] + 1:
-            i, j = i - 1, j - 1
-            continue
-        errors += 1
-        if score[i, j] == score[i - 1, j - 1] - PENALTY:
-            i, j = i - 1, j - 1
-        elif score[i, j] == score[i, j - 1] - PENALTY:
-            j -= 1
-        else:
-            i -= 1
-    return int(end - i), errors
+        rows = distance[: min(i, len(distance))]
+        new = rows + 1
+        np.minimum(new[:, 1:], rows[:, :-1] + (document != item[i - 1]), out=new[:, 1:])
+        rows[:] = np.minimum.accumulate(new - column, axis=1) + column
+        for a in range(min(i - least + 1, len(distance))):
+            errors = int(rows[a].min())
+            if errors <= allowed(i - a) and (found is None or (a - i, errors) < (-found[0], found[1])):
+                found = (i - a, errors)
+    return found
 
 
 def leaks(index: Index, text: str | None) -> list[tuple[int, int, int, int]]:
@@ -127,7 +149,7 @@ def leaks(index: Index, text: str | None) -> list[tuple[int, int, int, int]]:
         return []
     spans: dict[int, tuple[int, int]] = {}
     longest = max(map(len, index.sequence))
-    size = max(PASSAGE, 2 * longest)
+    size = max(PASSAGE, 2 * (longest + allowed(longest)))  # a stretch with its errors lies within one passage
     for a in range(0, max(1, len(seq) - size // 2), size // 2):
         for i in index.retrieve(np.unique(seq[a : a + size]), among).tolist():
             x, y = spans.get(i, (a, a + size))
@@ -135,9 +157,8 @@ def leaks(index: Index, text: str | None) -> list[tuple[int, int, int, int]]:
     out = []
     for i, (a, b) in spans.items():
         n = len(index.sequence[i])
-        got, errors = held(index.sequence[i], seq[a:b])
-        if got >= SHARE * n and errors <= math.ceil(got * ERRORS):
-            out.append((index.ids[i], n, got, errors))
+        if (best := held(index.sequence[i], seq[a:b])) is not None:
+            out.append((index.ids[i], n, *best))
     return out
 
 
