@@ -84,6 +84,28 @@ def test_bootstrap_equals_the_sequential_generator(spark):
     assert tuple(stats.cluster_bootstrap(one, "c", "v").first()) == (2.0, None, None, 1, 2)
 
 
+def test_registered_bootstrap_draws_every_user_2000_times(spark, data):
+    got = catalog.QUERIES["bootstrap_interval"](spark, data).first()
+    users = {}
+    for u, v in duckdb.sql(f"SELECT user_id, floor(value * 100) FROM '{data}/events.parquet' WHERE event_type = 'purchase'").fetchall():
+        users.setdefault(u, []).append(v)
+    cases = [(sum(users[u]), len(users[u])) for u in sorted(users)]
+    state, means = 424242, []
+    for _ in range(2000):
+        total = n = 0
+        for _ in cases:
+            state = (state + 0x6D2B79F5) & 0xFFFFFFFF
+            t = (state ^ (state >> 15)) * (state | 1) & 0xFFFFFFFF
+            t ^= (t + ((t ^ (t >> 7)) * (t | 61) & 0xFFFFFFFF)) & 0xFFFFFFFF
+            x = cases[math.floor((t ^ (t >> 14)) / 2**32 * len(cases))]
+            total, n = total + x[0], n + x[1]
+        means.append(total / n)
+    means.sort()
+    whole = sum(c[0] for c in cases) / sum(c[1] for c in cases)
+    assert (got["cases"], got["attempts"]) == (len(cases), sum(c[1] for c in cases)) and len(cases) > 2
+    assert (got["value"], got["low"], got["high"]) == pytest.approx((whole, means[49], means[1949]), abs=2e-6)
+
+
 def test_token_overlap(spark):
     df = spark.createDataFrame([(1, ["a", "a", "b"], ["a", "b", "c"]), (2, ["x"], ["y"])], "k INT, o ARRAY<STRING>, g ARRAY<STRING>")
     got = {r["k"]: (round(r["precision"], 4), round(r["recall"], 4)) for r in score.token_overlap(df, "k", F.col("o"), F.col("g")).collect()}

@@ -127,8 +127,8 @@ def leader_ties(spark, d):
 
 
 def bootstrap_interval(spark, d):
-    e = _events(spark, d).where("event_type = 'purchase'").select((F.col("user_id") % 20).alias("case_id"), F.floor(F.col("value") * 100).cast("double").alias("value"))
-    out = A.cluster_bootstrap(e, "case_id", "value", times=200)
+    e = _events(spark, d).where("event_type = 'purchase'").select(F.col("user_id").alias("case_id"), F.floor(F.col("value") * 100).cast("double").alias("value"))
+    out = A.cluster_bootstrap(e, "case_id", "value")
     return out.select(F.round("value", 6).alias("value"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "cases", "attempts")
 
 
