@@ -106,6 +106,19 @@ def test_registered_bootstrap_draws_every_user_2000_times(spark, data):
     assert (got["value"], got["low"], got["high"]) == pytest.approx((whole, means[49], means[1949]), abs=2e-6)
 
 
+def test_windows_of_the_latest_version(spark, data):
+    rows = lambda q: duckdb.sql(q.replace("@", data)).fetchall()
+    last = dict(rows("SELECT doc_id, max(version) FROM '@/versions.parquet' WHERE markdown IS NOT NULL GROUP BY doc_id"))
+    blocks = {}
+    for doc, version, block, at, n in rows("SELECT DISTINCT doc_id, version, block_id, char_offset, length(markdown) FROM '@/blocks.parquet'"):
+        blocks.setdefault((doc, version), []).append((block, at, n))
+    asked = rows("SELECT DISTINCT request_id, doc_id, version, coalesce(max_chars, 24000) FROM '@/slices.parquet'")
+    want = {(r, b, at) for r, doc, version, stop in asked for b, at, n in blocks.get((doc, last.get(doc) if version is None else version), []) if at + n > 0 and at < stop}
+    assert {r for r, _, version, _ in asked if version is None} & {w[0] for w in want}
+    got = [tuple(r) for r in catalog.QUERIES["window_blocks"](spark, data).select("request_id", "block_id", "char_offset").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_token_overlap(spark):
     df = spark.createDataFrame([(1, ["a", "a", "b"], ["a", "b", "c"]), (2, ["x"], ["y"])], "k INT, o ARRAY<STRING>, g ARRAY<STRING>")
     got = {r["k"]: (round(r["precision"], 4), round(r["recall"], 4)) for r in score.token_overlap(df, "k", F.col("o"), F.col("g")).collect()}

@@ -128,7 +128,9 @@ def slices(spark, d):
 
 
 def window_blocks(spark, d):
-    s = table(spark, d, "slices").where("version IS NOT NULL").select("request_id", "doc_id", "version", F.coalesce("max_chars", F.lit(24000)).alias("stop")).distinct()
+    s = table(spark, d, "slices").select("request_id", "doc_id", "version", F.coalesce("max_chars", F.lit(24000)).alias("stop")).distinct()
+    last = table(spark, d, "versions").where("markdown IS NOT NULL").groupBy("doc_id").agg(F.max("version").alias("latest"))
+    s = s.join(last, "doc_id", "left").select("request_id", "doc_id", F.coalesce("version", "latest").alias("version"), "stop")
     b = _blocks(spark, d).select("doc_id", "version", "block_id", "char_offset", F.length("markdown").alias("len"))
     return s.join(b, ["doc_id", "version"]).where("char_offset + len > 0 AND char_offset < stop").select("request_id", "block_id", "char_offset")
 
