@@ -119,6 +119,17 @@ def test_windows_of_the_latest_version(spark, data):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_quotes_are_whole_blocks(spark, data, tmp_path):
+    duckdb.sql(f"COPY (SELECT * REPLACE (CASE WHEN idx = 1 THEN markdown || '!' ELSE markdown END AS markdown) FROM '{data}/blocks.parquet') TO '{tmp_path}/blocks.parquet'")
+    duckdb.sql(f"COPY (SELECT * FROM '{data}/versions.parquet') TO '{tmp_path}/versions.parquet'")
+    texts = {r[:2]: r[2] for r in duckdb.sql(f"SELECT doc_id, version, markdown FROM '{data}/versions.parquet'").fetchall()}
+    blocks = duckdb.sql(f"SELECT DISTINCT doc_id, version, idx, block_id, char_offset, markdown FROM '{tmp_path}/blocks.parquet'").fetchall()
+    want = {(d, v, b): texts[d, v][at : at + len(m)] == m for d, v, _, b, at, m in blocks if (d, v) in texts}
+    assert any(len(m) >= 40 and not want.get((d, v, b), True) for d, v, _, b, _, m in blocks) and any(len(m) < 40 for *_, m in blocks)
+    got = [tuple(r) for r in catalog.QUERIES["quote_spans"](spark, str(tmp_path)).select("doc_id", "version", "block_id", "verified").collect()]
+    assert len(got) == len(want) and {r[:3]: r[3] for r in got} == want
+
+
 def test_token_overlap(spark):
     df = spark.createDataFrame([(1, ["a", "a", "b"], ["a", "b", "c"]), (2, ["x"], ["y"])], "k INT, o ARRAY<STRING>, g ARRAY<STRING>")
     got = {r["k"]: (round(r["precision"], 4), round(r["recall"], 4)) for r in score.token_overlap(df, "k", F.col("o"), F.col("g")).collect()}

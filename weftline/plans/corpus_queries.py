@@ -166,10 +166,10 @@ def heading_lines(spark, d):
 
 
 def quote_spans(spark, d):
-    # a block's first 40 characters, found again in its version at the block's offset
-    b = _blocks(spark, d).where("length(markdown) >= 40").select("doc_id", "version", "block_id", "char_offset", F.substring("markdown", 1, 40).alias("quote"))
+    # the whole of each block, found again in its version at the block's offset
+    b = _blocks(spark, d).select("doc_id", "version", "block_id", "char_offset", F.col("markdown").alias("quote"))
     v = _versions(spark, d).select("doc_id", "version", "markdown")
-    return b.join(v, ["doc_id", "version"]).select("doc_id", "version", "block_id", F.expr("substring(markdown, cast(char_offset + 1 AS int), 40) = quote").alias("verified"))
+    return b.join(v, ["doc_id", "version"]).select("doc_id", "version", "block_id", F.expr("substring(markdown, cast(char_offset + 1 AS int), length(quote)) = quote").alias("verified"))
 
 
 def crawl_counters(spark, d):
