@@ -144,6 +144,32 @@ def test_crawl_is_bounded_and_ordered(spark):
     assert crawl.breadth_first(edges.limit(0), "a", 2).count() == 1
 
 
+def test_crawl_over_real_links_against_brute_force(spark, tmp_path):
+    rng = random.Random(4)
+    urls = [f"https://s.example/p{i}" for i in range(60)]
+    links = {u: rng.sample(urls, rng.randint(0, 4)) + ["https://s.example/gone"] * (i % 9 == 0) for i, u in enumerate(urls)}
+    links[urls[1]] = urls[:50]  # a wide level
+    page = lambda u: ("<body><main><p>Some text of the page " + "".join(f"<a href='{x}#top'>x</a> " for x in links[u]) + "</p></main></body>").encode()
+    rows = [(i, u.upper().replace("/P", "/p") if i % 2 else u, "text/html", None, page(u)) for i, u in enumerate(urls)]
+    spark.createDataFrame(rows + rows[:5], "arrival BIGINT, final_url STRING, content_type STRING, content_type_header STRING, body BINARY").write.parquet(f"{tmp_path}/fetch_log.parquet")
+    seeds = [("b", urls[2], 1, "seed"), ("a", urls[7], 2, "seed"), ("a", urls[9], 1, "seed"), ("a", urls[30], 3, "link"), ("b", urls[9], 2, "seed")]
+    spark.createDataFrame(seeds, "crawl_id STRING, url STRING, seq BIGINT, source STRING").write.parquet(f"{tmp_path}/crawl_urls.parquet")
+    order = [urls[9], urls[7], urls[2]]
+    depth = dict.fromkeys(order, 0)
+    for u in order:
+        if depth[u] < 3:
+            for x in links.get(u, []):
+                if x not in depth:
+                    depth[x] = depth[u] + 1
+                    order.append(x)
+    got = [tuple(r) for r in catalog.QUERIES["crawl_breadth_first"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(depth) and dict(got) == depth and max(depth.values()) > 1
+    edges = spark.createDataFrame([(u, x, i) for u, t in links.items() for i, x in enumerate(t)], "src STRING, dst STRING, pos INT").repartition(5)
+    roots = spark.createDataFrame([(u, i) for i, u in enumerate(order[:3])], "node STRING, at INT")
+    assert [r["node"] for r in crawl.breadth_first(edges, roots, 3).orderBy("seq").collect()] == order
+    assert [r["seq"] for r in crawl.breadth_first(edges, roots, 3, max_pages=8).orderBy("seq").collect()] == list(range(1, 9))
+
+
 def test_robots(spark):
     body = "User-agent: *\nDisallow: /private\nAllow: /private/ok\nCrawl-delay: 90\nSitemap: https://a.example/s.xml\n"
     assert robots.parse_robots(body) == ([("/private", False), ("/private/ok", True)], 60.0, ["https://a.example/s.xml"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.urls import ASSET, glob_to_regex, origin_of, path_of
@@ -37,27 +37,45 @@ def counters(frontier: DataFrame) -> DataFrame:
     )
 
 
+def _numbered(rows: DataFrame, start: int) -> tuple[DataFrame, int]:
+    """``rows`` (node, at) with seq: their place by (at, node) after ``start``; and the last place.
+
+    Rows are sorted into ranges and numbered within each; one count a range comes to the driver. No level goes through one task.
+    """
+    ranges = cut(rows.repartitionByRange("at", "node").withColumn("range", F.spark_partition_id()))
+    counts = dict(ranges.groupBy("range").count().collect())
+    before, total = [], start
+    for i in range(max(counts, default=0) + 1):
+        before.append(total)
+        total += counts.get(i, 0)
+    by = Window.partitionBy("range").orderBy("at", "node")
+    return ranges.withColumn("seq", F.array(*[F.lit(n).cast("bigint") for n in before])[F.col("range")] + F.row_number().over(by)), total
+
+
 def breadth_first(edges: DataFrame, root: object, max_depth: int, max_pages: int | None = None) -> DataFrame:
     """(node, depth, seq) reached from ``root``: by depth, within a level by (order of the parent, position of the link).
 
-    ``edges`` has src, dst and pos. One job a level; each level is joined to the edges, reduced to its new nodes and written before the next,
-    so a lost executor repeats one level. ``max_pages`` keeps the first nodes in order, which is the crawl's own bound.
+    ``root`` is a node, or a table of nodes (node, at) in the order of ``at``. ``edges`` has src, dst and pos. One job a level; each level is
+    joined to the edges, reduced to its new nodes and written before the next, so a lost executor repeats one level. ``max_pages`` keeps the first
+    nodes in order, which is the crawl's own bound.
     """
     spark = edges.sparkSession
     kind = dict(edges.dtypes)["src"]
-    known = spark.range(1).select(F.lit(root).cast(kind).alias("node"), F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("seq"))
-    front = known
-    for depth in range(1, max_depth + 1):
-        near = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node"), F.col("seq").alias("parent"), "pos")
-        near = near.join(known.select("node"), "node", "left_anti").groupBy("node").agg(F.min(F.struct("parent", "pos")).alias("at"))
-        last = known.agg(F.max("seq")).first()[0]
-        new = near.selectExpr("node", f"{depth} AS depth", f"{last} + row_number() OVER (ORDER BY at, node) AS seq")
+    if not isinstance(root, DataFrame):
+        root = spark.range(1).select(F.lit(root).cast(kind).alias("node"), F.lit(0).alias("at"))
+    last, known, near = 0, None, root.where("node IS NOT NULL").groupBy("node").agg(F.min("at").alias("at"))
+    for depth in range(max_depth + 1):
+        if depth:
+            near = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node"), F.col("seq").alias("parent"), "pos")
+            near = near.join(known.select("node"), "node", "left_anti").groupBy("node").agg(F.min(F.struct("parent", "pos")).alias("at"))
+        new, last = _numbered(near, last)
+        new = new.select("node", F.lit(depth).alias("depth"), "seq")
         if max_pages is not None:
             new = new.where(F.col("seq") <= max_pages)
         front = cut(new)
+        known = front if known is None else cut(known.unionByName(front))
         if front.isEmpty():
             break
-        known = cut(known.unionByName(front))
     return known
 
 

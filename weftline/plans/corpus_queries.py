@@ -10,6 +10,7 @@ from weftline.functions import urls as U
 from weftline.operators import corpus as C
 from weftline.operators import crawl as W
 from weftline.operators import score as S
+from weftline.session import cut
 from weftline.sources import pages as P
 from weftline.sources.tables import table
 
@@ -208,10 +209,17 @@ def crawl_dangling(spark, d):
     return _crawl(spark, d).where("doc_id IS NOT NULL").join(table(spark, d, "versions").select("doc_id").distinct(), "doc_id", "left_anti").select("crawl_id", "url", "doc_id")
 
 
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    """(src, dst, pos): links of all fetches of a page, each at its first place; URLs in their normal form."""
+    f = table(spark, d, "fetch_log")
+    page = f.select("arrival", U.normalize_url(F.col("final_url")).alias("src")).dropDuplicates(["arrival"])
+    out = P.extracted(f).select("arrival", F.posexplode("outlinks").alias("pos", "target")).join(page, "arrival")
+    return out.select("src", U.normalize_url(F.col("target")).alias("dst"), "pos").where("src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst").agg(F.min("pos").alias("pos"))
+
+
 def crawl_breadth_first(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("src"))
-    edges = n.select("src", F.explode(F.array(((F.col("src") * 7 + 3) % 25).alias("a"), ((F.col("src") + 1) % 25).alias("b"))).alias("dst")).withColumn("pos", F.when(F.col("dst") == (F.col("src") * 7 + 3) % 25, 0).otherwise(1))
-    return W.breadth_first(edges, 0, 3).select("node", "depth")
+    seeds = _crawl(spark, d).where("source = 'seed'").select(U.normalize_url(F.col("url")).alias("node"), F.struct("crawl_id", "seq", "url").alias("at"))
+    return W.breadth_first(cut(_links(spark, d)), seeds, 3).select("node", "depth")
 
 
 def site_documents(spark, d):
