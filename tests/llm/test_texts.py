@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -97,10 +98,10 @@ def test_labels_spread_over_near_duplicates_only(spark):
     words = "this gadget page is resting while our small crew repairs the broken pump so come again on some other quiet day".split()
     changed = words[:-1] + ["morning"]
     content = [" ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(30)) for i in range(20)]
-    rows = [(f"s{i}", 1, f"https://site{i}.example/x", ("n",), " ".join(words)) for i in range(3)]
-    rows += [("near", 1, "https://site9.example/x", ("n",), " ".join(changed))] + [(f"c{i}", 1, "https://site9.example/y", ("n",), t) for i, t in enumerate(content)]
-    df = spark.createDataFrame(rows, "doc_id STRING, version INT, final_url STRING, meta STRUCT<siteName: STRING>, markdown STRING")
-    assert {r["doc_id"]: r["trusted"] for r in residue.labelled(df).collect()} == {"s0": True, "s1": True, "s2": True, "near": False}
+    rows = [(f"s{i}", 1, f"https://site{i}.example/x", 503 if i else 200, ("n",), " ".join(words)) for i in range(3)]
+    rows += [("near", 1, "https://site9.example/x", 200, ("n",), " ".join(changed))] + [(f"c{i}", 1, "https://site9.example/y", 404, ("n",), t) for i, t in enumerate(content)]
+    df = spark.createDataFrame(rows, "doc_id STRING, version INT, final_url STRING, http_status INT, meta STRUCT<siteName: STRING>, markdown STRING")
+    assert {r["doc_id"]: r["label"] for r in residue.labelled(df).collect()} == {"s0": "message", "s1": "message", "s2": "message", "near": "message"}
 
 
 def test_near_duplicates_against_brute_force(spark):
@@ -116,26 +117,54 @@ def test_near_duplicates_against_brute_force(spark):
     rows, texts = [], {}
     for g in range(12):
         base = [word() for _ in range(rng.randint(60, 95))]
-        rows += [(f"t{g}.{i}", f"https://site{i}.example/x", " ".join(base)) for i in range(3)]
+        rows += [(f"t{g}.{i}", f"https://site{i}.example/x", " ".join(base), 500) for i in range(3)]
         texts[f"t{g}.0"] = base
         for v in range(12):
             texts[f"n{g}.{v}"] = edited(base, v % 3) if v < 8 else edited(base[: len(base) - rng.randint(4, 20)], v % 2)
     texts["c0"] = edited(texts["t0.0"], 1)
-    for i in range(1, 23):  # a chain, each link only near the one before
+    for i in range(1, 31):  # a chain, each link only near the one before
         at = 7 * i % len(texts["c0"])
         texts[f"c{i}"] = [*texts[f"c{i - 1}"][:at], word(), *texts[f"c{i - 1}"][at + 1 :]]
-    rows += [(k, "https://site9.example/x", " ".join(t)) for k, t in texts.items() if not k.startswith("t")]
+    rows += [(k, "https://site9.example/x", " ".join(t), 200) for k, t in texts.items() if not k.startswith("t")]
     sets = {k: set(residue.shingles(t).tolist()) for k, t in texts.items()}
     want = new = {k for k in texts if k.startswith("t")}
     while new:
         new = {k for k in sets.keys() - want if any(len(sets[k] & sets[x]) >= 0.8 * len(sets[k] | sets[x]) for x in new)}
         want = want | new
-    assert "c22" in want and len(want) < len(texts)
-    df = spark.createDataFrame([(k, 1, u, ("n",), t) for k, u, t in rows], "doc_id STRING, version INT, final_url STRING, meta STRUCT<siteName: STRING>, markdown STRING")
+    assert "c30" in want and len(want) < len(texts)
+    df = spark.createDataFrame([(k, 1, u, c, ("n",), t) for k, u, t, c in rows], "doc_id STRING, version INT, final_url STRING, http_status INT, meta STRUCT<siteName: STRING>, markdown STRING")
     got = {r["doc_id"] for r in residue.labelled(df).collect()}
     assert {k for k in got if k in texts} == want
 
 
+@pytest.mark.parametrize("text", ["The page works best with JavaScript, said the author.", "Access to the site was forbidden in 1990 by the council.", "Older guides tell you to debug stack traces by hand; that advice still works. Readers asked how.", "Let a set {x} hold all of them."])
+def test_prose_about_messages_is_content(text):
+    clean = residue.prose(text)
+    assert residue.trusted(clean, residue.masked(clean, None, None)) is None
+
+
+def test_long_messages_and_fillers_have_labels():
+    long = "# Page not found\n\n" + "Sorry, the page you asked for does not exist or has moved. Check the address or go back to the start page. " * 12
+    filler = " ".join(random.Random(3).choices("lorem ipsum dolor astria venta nonde quemo sarcum fugam omnire".split(), k=900))
+    assert len(long) > 1200
+    for text, label in ((long, "message"), (long[:496], "message"), (filler, "filler"), (filler[:300], "filler")):
+        assert residue.trusted(text, residue.masked(text, None, None)) == label
+
+
+def test_simhash_tables_find_what_is_computed():
+    rng = np.random.default_rng(7)
+    bits = residue.table_bits(50_000)
+    masks = residue.table_masks(bits)
+    assert bits == 16 and all(bin(int(m)).count("1") == bits for m in masks)
+    for distance in (0, 2, 6, 10):
+        a = rng.integers(0, 2**64, 4000, np.uint64)
+        flips = np.array([sum(1 << int(b) for b in rng.permutation(64)[:distance]) for _ in a], np.uint64)
+        found = (residue.table_keys(a.view(np.int64), masks) == residue.table_keys((a ^ flips).view(np.int64), masks)).any(axis=1).mean()
+        assert abs(found - (1 - residue.table_miss(distance, bits))) < 0.03
+    same = residue.shingles([f"w{i}" for i in range(200)])
+    assert residue.simhash(same) == residue.simhash(same.copy()) and residue.simhash(same[:0]) == 0
+
+
 def test_leaks_against_brute_force():
     rng = random.Random(2)
     vocabulary = [f"word{i}" for i in range(400)]
