@@ -216,6 +216,44 @@ def test_leaks_with_uneven_errors_against_brute_force():
     assert [bool(leakage.leaks(index, " ".join(around + t + around))) for t in texts] == wanted
 
 
+def test_half_an_item_with_changed_words_is_found_wherever_they_are():
+    rng = random.Random(21)
+    items = [(i, " ".join(f"word{rng.randint(0, 3000)}" for _ in range(60))) for i in range(300)]
+    index = leakage.Index(items)
+    for n in range(400):
+        i, text = items[rng.randrange(300)]
+        part = text.split()[n % 31 : n % 31 + 30]
+        for k in rng.sample(range(30), 3) if n % 4 else (0, 1, 29):
+            part[k] = "changed"
+        around = [f"other{rng.randint(0, 900)}" for _ in range(rng.randint(0, 500))]
+        at = rng.randint(0, len(around))
+        assert i in {x[0] for x in leakage.leaks(index, " ".join([*around[:at], *part, *around[at:]]))}, n
+
+
+def test_wand_retrieves_what_all_scores_would():
+    rng = random.Random(4)
+    vocabulary = [f"w{int(rng.paretovariate(0.7))}" for _ in range(3000)]
+    index = leakage.Index([(i, " ".join(rng.choices(vocabulary, k=rng.randint(8, 40)))) for i in range(700)])
+    for n in range(60):
+        i = rng.randrange(700)
+        own = index.sequence[i][: rng.randint(4, 40)]
+        terms = np.unique(np.concatenate([own, index.terms_of(rng.choices(vocabulary, k=40))]))
+        score = np.zeros(700)
+        for t in terms[terms < len(index.vocabulary)]:
+            at = slice(index.start[t], index.start[t + 1])
+            score[index.items[at]] += index.weights[at]
+        assert index.retrieve(terms).tolist() == np.flatnonzero(score >= index.threshold).tolist()
+
+
+def test_items_beyond_one_index_give_the_same_rows(spark):
+    rng = random.Random(9)
+    items = [(i, " ".join(f"w{rng.randint(0, 400)}" for _ in range(20))) for i in range(40)]
+    texts = [(i, " ".join([*t.split()[: 12 + i % 8], "and", "more"])) for i, t in items]
+    d, b = spark.createDataFrame(texts, "doc_id BIGINT, text STRING"), spark.createDataFrame(items, "item_id BIGINT, text STRING")
+    one, many = (sorted(map(tuple, leakage.contaminated(d, b, chars).collect())) for chars in (leakage.CHARS, 900))
+    assert one == many and len(one) >= 40
+
+
 PAGE = "<html><body><div class=n><a href=a>Home</a><a href=b>Shop</a><a href=c>Blog</a></div><div><h1>Ponds</h1>" + "".join(f"<p>Sentence {i} tells how water, reeds and quiet frogs share one old pond.</p>" for i in range(6)) + "<div>More<ul><li><a href=d>Other page</a><li><a href=e>Third page</a></ul></div></div><div class=f>(c) 2024 Someone</div></body></html>"
 
 

@@ -1,29 +1,31 @@
 """Evaluation items inside training documents.
 
-The items are indexed with BM25 weights per (term, item); items are grouped into blocks that keep the highest weight of each term. Every passage of
-every document is a query: a block is evaluated only when the sum of its highest weights reaches the lowest threshold of its items, first for the
-whole text and then for its passages, and every item whose score reaches its threshold is retrieved. An item's threshold is the lowest score that a
-stretch of half its words or more can have after one word in eight was changed, so retrieval loses nothing. A retrieved pair is verified by the
-edit distance of every stretch of half the item's words or more to the passages; a local alignment, whose score bounds that of all stretches, spares
-most pairs this.
-
-Letter case, markup, link targets, punctuation, spacing and invisible characters do not count. The items are a stated query set: they are
-collected in blocks of at most ``ITEMS`` rows (their size is checked against ``CHARS``), each block passing over all documents.
+The items are an inverted index of BM25 weights: postings by term, and for each term the highest weight in every block of ``BLOCK`` items. Every
+document and every passage of it is a query, answered by block-max WAND: with the terms in the order of their highest weights, no item that lacks
+all terms from the pivot on can reach the lowest threshold, so only blocks of those terms are looked at; a block is evaluated only when its highest
+weights together reach the lowest threshold in it; and of its items those whose score reaches their own threshold are retrieved. An item's threshold
+is the lowest score that a stretch of half its words or more can have after one word in eight was changed, so retrieval loses nothing. A retrieved
+pair is verified in the passage, whose size is bounded: by the edit distance of every stretch of half the item's words or more; a local alignment,
+whose score bounds that of all stretches, spares most pairs this.
+
+Letter case, markup, link targets, punctuation, spacing and invisible characters do not count. The items are a stated query set: their index is
+built once by the driver and broadcast once, after their total size was checked against ``CHARS`` (about 300,000 items); of larger sets each part of
+that size passes over all documents, with the same result.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ITEMS, CHARS, BLOCK = 500, 4_000_000, 64
+CHARS, BLOCK = 100_000_000, 64
 K1, B = 1.2, 0.75
 PASSAGE = 192
 SHARE, ERRORS, PENALTY = 0.5, 1 / 8, 2
@@ -49,53 +51,87 @@ def allowed(length: int) -> int:
     return math.ceil(length * ERRORS)
 
 
+def _ranges(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges in a row."""
+    sizes = stops - starts
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
 class Index:
-    """BM25 weights of items by term, with block maxima and a threshold for each item."""
+    """Postings of BM25 weights with block maxima, and a threshold for each item."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        rows = sorted({(int(i), t) for i, t in items if t is not None and words(t)})
-        self.ids = [i for i, _ in rows]
-        self.words = [words(t) for _, t in rows]
+        rows = sorted({(int(i), t) for i, t in items if t is not None})
+        held = [(i, w) for i, t in rows if (w := words(t))]
+        self.ids = [i for i, _ in held]
         self.vocabulary: dict[str, int] = {}
-        for w in self.words:
-            for x in w:
-                self.vocabulary.setdefault(x, len(self.vocabulary))
-        n, mean = len(rows), sum(map(len, self.words)) / max(1, len(rows))
-        df = Counter(x for w in self.words for x in set(w))
-        self.weights: list[dict[int, float]] = []
-        for w in self.words:
-            tf, norm = Counter(w), K1 * (1 - B + B * len(w) / max(1.0, mean))
-            self.weights.append({self.vocabulary[x]: math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * c * (K1 + 1) / (c + norm) for x, c in tf.items()})
-        self.sequence = [np.array([self.vocabulary[x] for x in w]) for w in self.words]
-        self.threshold = np.array([self._lowest(i) for i in range(n)], np.float32)
-        blocks = math.ceil(n / BLOCK)
-        self.table = np.zeros((len(self.vocabulary) + 1, n), np.float32)
-        for i, weights in enumerate(self.weights):
-            for t, x in weights.items():
-                self.table[t, i] = x
-        self.highest = np.stack([self.table[:, b * BLOCK : (b + 1) * BLOCK].max(axis=1) for b in range(blocks)], axis=1) if n else np.zeros((1, 0), np.float32)
-        self.least = np.array([self.threshold[b * BLOCK : (b + 1) * BLOCK].min() for b in range(blocks)], np.float32)
-
-    def _lowest(self, i: int) -> float:
-        seq, weights = self.sequence[i], self.weights[i]
-        sums = []
-        for length in range(math.ceil(len(seq) * SHARE), len(seq) + 1):
-            lost = allowed(length)
-            if sums and lost == allowed(length - 1):
-                continue  # a longer stretch with as many errors scores no lower
-            for a in range(len(seq) - length + 1):
-                x = sorted(weights[t] for t in set(seq[a : a + length].tolist()))
-                sums.append(sum(x[: max(1, len(x) - lost)]))
-        return min(sums) * 0.999
+        number = self.vocabulary.setdefault
+        self.sequence = [np.array([number(x, len(self.vocabulary)) for x in w], np.int32) for _, w in held]
+        n, v = len(held), len(self.vocabulary)
+        counts = [np.unique(x, return_counts=True) for x in self.sequence]
+        term = np.concatenate([np.zeros(0, np.int32), *[t for t, _ in counts]])
+        item = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t, _ in counts])
+        tf = np.concatenate([np.zeros(0, np.int64), *[c for _, c in counts]])
+        size = np.array([len(x) for x in self.sequence], np.float64)
+        df = np.bincount(term, minlength=v)
+        norm = K1 * (1 - B + B * size / max(1.0, size.mean() if n else 1.0))
+        weight = (np.log(1 + (n - df[term] + 0.5) / (df[term] + 0.5)) * tf * (K1 + 1) / (tf + norm[item])).astype(np.float32)
+        first = np.concatenate([[0], np.cumsum([len(t) for t, _ in counts])]).astype(np.int64)
+        self.threshold = np.array([_lowest(x, dict(zip(term[first[i] : first[i + 1]].tolist(), weight[first[i] : first[i + 1]].tolist()))) for i, x in enumerate(self.sequence)], np.float32)
+        order = np.lexsort((item, term))
+        self.items, self.weights = item[order], weight[order]
+        self.start = np.concatenate([[0], np.cumsum(df)]).astype(np.int64)
+        # block maxima: of each run of one term and block the highest weight
+        key = term[order].astype(np.int64) * (n // BLOCK + 1) + self.items // BLOCK
+        runs = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.block_of = (self.items[runs] // BLOCK).astype(np.int32)
+        self.block_top = np.maximum.reduceat(self.weights, runs) if len(runs) else np.zeros(0, np.float32)
+        self.block_start = np.searchsorted(runs, self.start).astype(np.int64)
+        self.top = np.maximum.reduceat(self.weights, self.start[:-1]) if v else np.zeros(0, np.float32)
+        self.blocks = -(-n // BLOCK)
+        self.least = np.minimum.reduceat(self.threshold, np.arange(0, n, BLOCK)) if n else np.zeros(0, np.float32)
+        self.lowest = float(self.threshold.min()) if n else 0.0
+
+    def terms_of(self, text_words: list[str]) -> np.ndarray:
+        """Numbers of the words; words of no item share the number after the last."""
+        get, unknown = self.vocabulary.get, len(self.vocabulary)
+        return np.array([get(w, unknown) for w in text_words], np.int32)
 
     def retrieve(self, terms: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
-        """Items (of those in ``among``) whose score for the distinct ``terms`` reaches their threshold."""
+        """Items (of those marked in ``among``) whose score for the distinct ``terms`` reaches their threshold."""
+        terms = terms[terms < len(self.vocabulary)]
+        tops = self.top[terms]
+        if tops.sum() < self.lowest or not len(terms):
+            return np.zeros(0, np.int64)
         if among is None:
-            blocks = np.flatnonzero(self.highest[terms].sum(axis=0) >= self.least)
-            if not len(blocks):
-                return blocks
-            among = np.concatenate([np.arange(b * BLOCK, min((b + 1) * BLOCK, len(self.ids))) for b in blocks])
-        return among[self.table[terms][:, among].sum(axis=0) >= self.threshold[among]]
+            order = np.argsort(tops, kind="stable")
+            pivot = int(np.searchsorted(np.cumsum(tops[order]), self.lowest))
+            needed = terms[order[pivot:]]
+            looked = np.zeros(self.blocks, bool)
+            looked[self.block_of[_ranges(self.block_start[needed], self.block_start[needed + 1])]] = True
+            at = _ranges(self.block_start[terms], self.block_start[terms + 1])
+            bound = np.bincount(self.block_of[at], weights=self.block_top[at], minlength=self.blocks)
+            kept = looked & (bound >= self.least)
+            if not kept.any():
+                return np.zeros(0, np.int64)
+            among = np.repeat(kept, BLOCK)[: len(self.ids)]
+        at = _ranges(self.start[terms], self.start[terms + 1])
+        at = at[among[self.items[at]]]
+        score = np.bincount(self.items[at], weights=self.weights[at], minlength=len(self.ids))
+        return np.flatnonzero(among & (score >= self.threshold))
+
+
+def _lowest(sequence: np.ndarray, weights: dict[int, float]) -> float:
+    """The lowest score of a stretch of enough words, the heaviest of them changed."""
+    seq, sums = sequence.tolist(), []
+    for length in range(math.ceil(len(seq) * SHARE), len(seq) + 1):
+        lost = allowed(length)
+        if sums and lost == allowed(length - 1):
+            continue  # a longer stretch with as many errors scores no lower
+        for a in range(len(seq) - length + 1):
+            x = sorted(weights[t] for t in set(seq[a : a + length]))
+            sums.append(sum(x[: max(1, len(x) - lost)]))
+    return min(sums) * 0.999
 
 
 def best_score(item: np.ndarray, document: np.ndarray) -> int:
@@ -130,10 +166,11 @@ def held(item: np.ndarray, document: np.ndarray) -> tuple[int, int] | None:
         new = rows + 1
         np.minimum(new[:, 1:], rows[:, :-1] + (document != item[i - 1]), out=new[:, 1:])
         rows[:] = np.minimum.accumulate(new - column, axis=1) + column
-        for a in range(min(i - least + 1, len(distance))):
-            errors = int(rows[a].min())
-            if errors <= allowed(i - a) and (found is None or (a - i, errors) < (-found[0], found[1])):
-                found = (i - a, errors)
+        if i >= least:
+            errors = rows[: i - least + 1].min(axis=1)
+            for a in np.flatnonzero(errors <= np.ceil((i - np.arange(len(errors))) * ERRORS)).tolist():
+                if found is None or (a - i, errors[a]) < (-found[0], found[1]):
+                    found = (i - a, int(errors[a]))
     return found
 
 
@@ -141,52 +178,51 @@ def leaks(index: Index, text: str | None) -> list[tuple[int, int, int, int]]:
     """(item, its words, words held, errors) of every item of which the text holds enough. Null and empty texts hold none."""
     if not text or not index.ids:
         return []
-    get, unknown = index.vocabulary.get, len(index.vocabulary)
-    seq = np.array([get(w, unknown) for w in words(text)], np.int64)
+    seq = index.terms_of(words(text))
     # a passage's terms are among the text's: an item below its threshold for the whole text is below it for every passage
-    among = index.retrieve(np.unique(seq))
-    if not len(among):
+    some = index.retrieve(np.unique(seq))
+    if not len(some):
         return []
-    spans: dict[int, tuple[int, int]] = {}
-    longest = max(map(len, index.sequence))
+    among = np.zeros(len(index.ids), bool)
+    among[some] = True
+    longest = max(len(index.sequence[i]) for i in some.tolist())
     size = max(PASSAGE, 2 * (longest + allowed(longest)))  # a stretch with its errors lies within one passage
+    best: dict[int, tuple[int, int]] = {}
     for a in range(0, max(1, len(seq) - size // 2), size // 2):
-        for i in index.retrieve(np.unique(seq[a : a + size]), among).tolist():
-            x, y = spans.get(i, (a, a + size))
-            spans[i] = (min(a, x), max(y, a + size))
-    out = []
-    for i, (a, b) in spans.items():
-        n = len(index.sequence[i])
-        if (best := held(index.sequence[i], seq[a:b])) is not None:
-            out.append((index.ids[i], n, *best))
-    return out
-
-
-def _over(items: list[tuple[int, str]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        part = seq[a : a + size]
+        for i in index.retrieve(np.unique(part), among).tolist():
+            got = held(index.sequence[i], part)
+            if got is not None and (i not in best or (-got[0], got[1]) < (-best[i][0], best[i][1])):
+                best[i] = got
+    return [(index.ids[i], len(index.sequence[i]), *got) for i, got in best.items()]
+
+
+def _over(index: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Index(items)
         for batch in batches:
-            rows = [(d, *x) for d, t in batch[["doc_id", "text"]].itertuples(index=False) for x in leaks(index, t)]
+            rows = [(d, *x) for d, t in batch[["doc_id", "text"]].itertuples(index=False) for x in leaks(index.value, t)]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "item_words", "held_words", "errors"])
 
     return run
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(documents: DataFrame, benchmark: DataFrame, chars: int = CHARS) -> DataFrame:
     """(doc_id, item_id, item_words, held_words, errors) of every document and item it holds; repeated rows count once.
 
-    Items of null or wordless text are never held. No pair of documents is formed, so copies and hot sources need no care.
+    Items of null or wordless text are never held. No pair of documents is formed, so copies and hot sources need no care. ``chars``: the total
+    size of items that one broadcast index may have.
     """
     schema = "doc_id BIGINT, item_id BIGINT, item_words INT, held_words INT, errors INT"
     items = benchmark.where("text IS NOT NULL").select("item_id", "text").distinct()
-    count, longest = items.agg(F.count("*"), F.coalesce(F.max(F.length("text")), F.lit(0))).first()
-    blocks = max(1, math.ceil(count / ITEMS), math.ceil(count * longest / CHARS))
+    parts = max(1, math.ceil(items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] / chars))
+    context = documents.sparkSession.sparkContext
     out = None
-    for b in range(blocks):
-        part = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
-        found = documents.select("doc_id", "text").where("text IS NOT NULL").mapInPandas(_over(part), schema)
+    for b in range(parts):
+        part = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == b).collect()]
+        found = documents.select("doc_id", "text").where("text IS NOT NULL").mapInPandas(_over(context.broadcast(Index(part))), schema)
         out = found if out is None else out.unionByName(found)
-    return out.groupBy("doc_id", "item_id").agg(F.max("item_words").alias("item_words"), F.max("held_words").alias("held_words"), F.min("errors").alias("errors"))
+    best = F.min_by(F.struct("item_words", "held_words", "errors"), F.struct(-F.col("held_words"), "errors"))
+    return out.groupBy("doc_id", "item_id").agg(best.alias("x")).select("doc_id", "item_id", "x.*")
 
 
 def found(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
