@@ -5,20 +5,27 @@ abbreviation. Wall-clock times without offset are joined as-of to intervals of c
 local year. An interval's local start and end both carry its own offset, so two intervals that hold the time mean it occurs twice (the earlier
 instant is taken), none means the clock skipped it (no instant), and one gives the offset.
 
-The intervals hold one row per (zone, year); zones are IANA names, at most about 600, and years a fixed span, so the table is bounded whatever
-the data. Spark's own size threshold decides whether it is broadcast.
+The intervals come from the zone files: all recorded changes, and after the last of them the file's own rule. Before the first change a zone keeps
+its first offset. A year beyond ``LAST_YEAR`` is read as one of the same calendar (first weekday, leap day) among the last 28, for which the rule
+gives the same changes. So no year is cut off. The table holds one row per (zone, year); zones are IANA names, about 600, and there are fewer than
+250 years, so its size is bounded whatever the data (some 8 MB for all zones) and it is broadcast.
 """
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+import importlib.resources
+import re
+import struct
+import zoneinfo
+from datetime import date, datetime, timedelta, timezone
 from functools import cache
-from zoneinfo import ZoneInfo
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FIRST_YEAR, LAST_YEAR = 1960, 2100
+#: the last 28 years of the table hold each kind of calendar year after the recorded changes
+LAST_YEAR, CYCLE = 2065, 28
 _FAR = 4_000_000_000_000
 
 # Month names by language, in order.
@@ -52,50 +59,110 @@ def month_words() -> dict[str, int]:
     return out
 
 
-def offset_intervals(zone: str) -> list[tuple[int, int, int, str]]:
-    """(UTC start, UTC end, offset, abbreviation) in seconds over the fixed span; the first and last are open."""
-    tz = ZoneInfo(zone)
+def _zone_file(zone: str) -> bytes:
+    """The compiled zone file, of the system or of the tzdata package; raises for a name that is no zone."""
+    if zone not in zoneinfo.available_timezones():
+        raise KeyError(zone)
+    for folder in zoneinfo.TZPATH:
+        if (path := Path(folder) / zone).is_file():
+            return path.read_bytes()
+    package, _, name = ("tzdata.zoneinfo/" + zone).replace("/", ".").rpartition(".")
+    return importlib.resources.files(package).joinpath(name).read_bytes()
 
-    def at(second: int) -> tuple[int, str]:
-        t = datetime.fromtimestamp(second, timezone.utc).astimezone(tz)
-        return int(t.utcoffset().total_seconds()), t.tzname() or ""
 
-    first, last = (int(datetime(y, 1, 1, tzinfo=timezone.utc).timestamp()) for y in (FIRST_YEAR, LAST_YEAR + 1))
-    out, start, now = [], -_FAR, at(first)
-    low = first
-    for high in range(first + 6 * 86400, last + 6 * 86400, 6 * 86400):
-        while (then := at(high)) != now:
-            a, b = low, high
-            while b - a > 1:
-                mid = (a + b) // 2
-                a, b = (mid, b) if at(mid) == now else (a, mid)
-            out.append((start, b, *now))
-            start, now, low = b, at(b), b
-        low = high
-    return [*out, (start, _FAR, *now)]
+def _rule_day(rule: str, year: int) -> int:
+    """Seconds from the epoch to the local time that a rule such as ``M3.5.0/2`` names in a year."""
+    day, _, clock = rule.partition("/")
+    if day[0] == "M":
+        month, week, weekday = map(int, day[1:].split("."))
+        first = date(year, month, 1)
+        days = first.toordinal() + (weekday - first.isoweekday()) % 7 + 7 * (week - 1)
+        after = date(year + month // 12, month % 12 + 1, 1).toordinal()
+        days -= 7 * (days >= after)
+    else:
+        number = int(day.lstrip("J"))
+        days = date(year, 1, 1).toordinal() + number
+        if day[0] == "J":  # counted without leap days
+            days += (number >= 60 and date(year, 12, 31).timetuple().tm_yday == 366) - 1
+    return (days - date(1970, 1, 1).toordinal()) * 86400 + _clock_seconds(clock or "2")
 
 
-offset_intervals_cached = cache(offset_intervals)
+def _clock_seconds(text: str) -> int:
+    parts = [int(x) for x in text.lstrip("+-").split(":")] + [0, 0]
+    return (-1 if text.startswith("-") else 1) * (parts[0] * 3600 + parts[1] * 60 + parts[2])
 
 
-def zone_table(spark: SparkSession, zones: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Exploded intervals (zone, year, spans) in local seconds, and (zone, abbr, abbr_offset). Names that are no zone are left out."""
-    spans, abbrs = [], []
-    year_start = {y: int((datetime(y, 1, 1) - datetime(1970, 1, 1)).total_seconds()) for y in range(FIRST_YEAR, LAST_YEAR + 2)}
+_FOOTER = re.compile(r"(<[^>]+>|[A-Za-z]+)([+-]?[\d:]+)(?:(<[^>]+>|[A-Za-z]+)([+-]?[\d:]+)?,([^,]+),([^,]+))?")
+
+
+@cache
+def offset_intervals(zone: str) -> list[tuple[int, int, int, str]]:
+    """(UTC start, UTC end, offset, abbreviation) in seconds up to ``LAST_YEAR``; the first and last are open."""
+    data = _zone_file(zone)
+
+    def counts(at: int) -> tuple[int, ...]:
+        return struct.unpack(">6l", data[at + 20 : at + 44])
+
+    utc, std, leap, times, types, chars = counts(0)
+    at = 44 + times * 5 + types * 6 + chars + leap * 8 + std + utc
+    utc, std, leap, times, types, chars = counts(at)
+    at += 44
+    moments = struct.unpack(f">{times}q", data[at : at + 8 * times])
+    kinds = data[at + 8 * times : at + 9 * times]
+    at += 9 * times
+    infos = [struct.unpack(">lBB", data[at + 6 * i : at + 6 * i + 6]) for i in range(types)]
+    names = data[at + 6 * types : at + 6 * types + chars]
+    footer = data[at + 6 * types + chars + 12 * leap + std + utc :].decode().strip()
+    state = [(offset, names[i : names.index(0, i)].decode()) for offset, _, i in infos]
+    changes = [(m, *state[k]) for m, k in zip(moments, kinds)]
+    if m := _FOOTER.fullmatch(footer):
+        name, offset, summer, summer_offset, start, stop = m.groups()
+        standard = -_clock_seconds(offset)
+        if summer:
+            ahead = -_clock_seconds(summer_offset) if summer_offset else standard + 3600
+            last = changes[-1][0] if changes else -_FAR
+            year = max(1970, datetime.fromtimestamp(last, timezone.utc).year) if changes else 1970
+            ruled = [x for y in range(year, LAST_YEAR + 2) for x in ((_rule_day(start, y) - standard, ahead, summer.strip("<>")), (_rule_day(stop, y) - ahead, standard, name.strip("<>")))]
+            changes += sorted(x for x in ruled if x[0] > last)
+    out, start_at, now = [], -_FAR, state[0]
+    for moment, *then in changes:
+        if tuple(then) != now:
+            out.append((start_at, moment, *now))
+            start_at, now = moment, tuple(then)
+    return [*out, (start_at, _FAR, *now)]
+
+
+def zone_table(spark: SparkSession, zones: list[str]) -> tuple[DataFrame, DataFrame, int]:
+    """Exploded intervals (zone, year, spans) in local seconds, (zone, abbr, abbr_offset), and the first year. Names that are no zone are left out."""
+    known = {}
     for zone in sorted(set(zones)):
         try:
-            intervals = offset_intervals_cached(zone)
+            known[zone] = offset_intervals(zone)
         except (KeyError, ValueError, OSError):
             continue
+    begins = [x[0][1] for x in known.values() if len(x) > 1]
+    first_year = (datetime(1970, 1, 1) + timedelta(seconds=min(begins))).year - 1 if begins else LAST_YEAR - CYCLE
+    year_start = {y: (date(y, 1, 1) - date(1970, 1, 1)).days * 86400 for y in range(first_year, LAST_YEAR + 2)}
+    spans, abbrs = [], []
+    for zone, intervals in known.items():
         latest = {abbr.lower(): offset for _, _, offset, abbr in intervals if abbr[:1].isalpha()}
         abbrs += [(zone, abbr, offset) for abbr, offset in latest.items()]
         local = [(s + o if s > -_FAR else s, e + o if e < _FAR else e, o) for s, e, o, _ in intervals]
-        for year in range(FIRST_YEAR, LAST_YEAR + 1):
-            a = -_FAR if year == FIRST_YEAR else year_start[year]
+        for year in range(first_year, LAST_YEAR + 1):
+            a = -_FAR if year == first_year else year_start[year]
             b = _FAR if year == LAST_YEAR else year_start[year + 1]
             spans.append((zone, year, [x for x in local if x[0] < b and x[1] > a]))
     a = spark.createDataFrame(spans, "zone STRING, year INT, spans ARRAY<STRUCT<lo: BIGINT, hi: BIGINT, off: INT>>")
-    return a, spark.createDataFrame(abbrs, "zone STRING, abbr STRING, abbr_offset INT")
+    return a, spark.createDataFrame(abbrs, "zone STRING, abbr STRING, abbr_offset INT"), first_year
+
+
+def calendar_year(year: Column) -> Column:
+    """A year up to ``LAST_YEAR`` that has the calendar of ``year``: itself, or one of the last ``CYCLE``."""
+    alike = {(date(y, 1, 1).isoweekday() % 7 + 1) * 2 + (y % 4 == 0): y for y in range(LAST_YEAR - CYCLE + 1, LAST_YEAR + 1)}
+    table = F.create_map(*[F.lit(x) for kv in alike.items() for x in kv])
+    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+    kind = F.dayofweek(F.make_date(year, F.lit(1), F.lit(1))) * 2 + leap.cast("int")
+    return F.when(year > LAST_YEAR, F.try_element_at(table, kind)).otherwise(year)
 
 
 # Where a part of a text stands: rewritten to year|month|day|hour|minute|second|fraction|half|zone, the month still a word where it is one.
@@ -134,7 +201,7 @@ def instants(df: DataFrame, text: str, locale: str, zone: str, zones: list[str])
     ``none`` (null, empty or no possible date; no instant). Other columns, also ones of clashing names, are kept; no row is dropped.
     """
     spark = df.sparkSession
-    spans, abbrs = zone_table(spark, zones)
+    spans, abbrs, first_year = zone_table(spark, zones)
     months = F.create_map(*[F.lit(x) for kv in month_words().items() for x in kv])
     language = F.lower(F.substring(F.coalesce(F.col(locale), F.lit("en")), 1, 2))
     out = df.withColumn("__w_a", parsed(F.col(text), F.col(locale)))
@@ -169,13 +236,17 @@ def instants(df: DataFrame, text: str, locale: str, zone: str, zones: list[str])
         F.when(z.rlike(r"^[+-]\d"), F.when(z.startswith("-"), -1).otherwise(1) * (F.when(hh != "", hh).cast("int") * 3600 + mm.cast("int") * 60))
         .when(z.isin("z", "utc", "gmt", "ut"), 0)
     )
-    out = out.withColumns({"__w_wall": wall, "__w_ms": F.when(p.isNotNull(), F.coalesce(ms, F.lit(0))), "__w_given": given, "__w_abbr": F.when(z.rlike("^[a-z]") & ~z.isin("z", "utc", "gmt", "ut"), z), "__w_year": F.least(F.greatest(y, F.lit(FIRST_YEAR)), F.lit(LAST_YEAR))})
+    out = out.withColumns({"__w_wall": wall, "__w_ms": F.when(p.isNotNull(), F.coalesce(ms, F.lit(0))), "__w_given": given, "__w_abbr": F.when(z.rlike("^[a-z]") & ~z.isin("z", "utc", "gmt", "ut"), z), "__w_year": F.greatest(calendar_year(y), F.lit(first_year))})
     spans = spans.select(F.col("zone").alias("__w_zone"), F.col("year").alias("__w_at"), F.col("spans").alias("__w_spans"))
     abbrs = abbrs.select(F.col("zone").alias("__w_zone2"), F.col("abbr").alias("__w_abbr2"), F.col("abbr_offset").alias("__w_off2"))
+    # bounded by the number of zones there are
+    spans, abbrs = F.broadcast(spans), F.broadcast(abbrs)
     out = out.join(spans, (F.col(zone) == F.col("__w_zone")) & (F.col("__w_year") == F.col("__w_at")), "left")
     out = out.join(abbrs, (F.col(zone) == F.col("__w_zone2")) & (F.col("__w_abbr") == F.col("__w_abbr2")), "left")
     w = F.col("__w_wall")
-    held = F.filter("__w_spans", lambda x: (x["lo"] <= w) & (x["hi"] > w))
+    in_table = F.when(y > LAST_YEAR, w - (F.unix_date(F.make_date(y, F.lit(1), F.lit(1))) - F.unix_date(F.make_date("__w_year", F.lit(1), F.lit(1)))).cast("bigint") * 86400).otherwise(w)
+    out = out.withColumn("__w_in_table", in_table)
+    held = F.filter("__w_spans", lambda x: (x["lo"] <= F.col("__w_in_table")) & (x["hi"] > F.col("__w_in_table")))
     out = out.withColumn("__w_held", held)
     count = F.size("__w_held")
     epoch = F.col("__w_epoch")
@@ -200,8 +271,8 @@ def instants(df: DataFrame, text: str, locale: str, zone: str, zones: list[str])
 
 
 def zone_names(sites: DataFrame) -> list[str]:
-    """Distinct zone names of the sites; IANA has about 600, so the result is bounded."""
-    return [r[0] for r in sites.select("time_zone").where("time_zone IS NOT NULL").distinct().collect()]
+    """Distinct zone names of the sites, of the about 600 that there are."""
+    return [r[0] for r in sites.select("time_zone").where(F.col("time_zone").isin(sorted(zoneinfo.available_timezones()))).distinct().collect()]
 
 
 def publication_and_fetch_instants(versions: DataFrame, sites: DataFrame, collector_zone: str = "Europe/Berlin") -> DataFrame:
