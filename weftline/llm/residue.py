@@ -85,6 +85,7 @@ _TOKEN = re.compile(r"[぀-ヿ一-鿿々ー]|\d+|[^\W\d_]+")
 _DENSE = re.compile(r"[぀-ヿ一-鿿]")
 _IDENT = re.compile(r"\d|\w[_./:]\w|/\w|…")
 _HASHES: dict[str, int] = {}
+_MASKED: dict[str, tuple[str, ...]] = {}
 
 
 def prose(text: str) -> str:
@@ -95,15 +96,22 @@ def prose(text: str) -> str:
 def masked(text: str, site: str | None, name: str | None) -> list[str]:
     """Lower-case tokens: what varies between copies of a message (identifiers, numbers, the site's name) is ``#``."""
     own = {w for w in re.split(r"[\W_]+", f"{site or ''} {name or ''}".lower()) if len(w) > 2} - {"www", "the", "hub", "com"}
-    words = []
+    words: list[str] = []
+    if len(_MASKED) > 500_000:
+        _MASKED.clear()
+    known = _MASKED.get
     for part in text.lower().split():
-        if part.isascii() and part.isalpha():
-            words.append("#" if part in own else part)
-        elif _DENSE.search(part) or not _IDENT.search(part):
-            words += ["#" if w in own or w.isdigit() else w for w in _TOKEN.findall(part)]
-        else:
-            words.append("#")
-    return words
+        got = known(part)
+        if got is None:
+            if part.isascii() and part.isalpha():
+                got = (part,)
+            elif _DENSE.search(part) or not _IDENT.search(part):
+                got = tuple("#" if w.isdigit() else w for w in _TOKEN.findall(part))
+            else:
+                got = ("#",)
+            _MASKED[part] = got
+        words += got
+    return words if own.isdisjoint(words) else ["#" if w in own else w for w in words]
 
 
 def _dull(words: list[str]) -> float:
@@ -113,7 +121,10 @@ def _dull(words: list[str]) -> float:
 
 
 def _holds(text: str, phrases: tuple[str, ...]) -> bool:
-    return any(p in text for p in phrases)
+    for phrase in phrases:
+        if phrase in text:
+            return True
+    return False
 
 
 def own_label(text: str, words: list[str]) -> tuple[str | None, bool, bool]:
@@ -168,12 +179,9 @@ def shingles(words: list[str]) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(_HASHES) > 500_000:
         _HASHES.clear()
-    ids = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        known = _HASHES.get(w)
-        if known is None:
-            known = _HASHES[w] = xxhash.xxh3_64_intdigest(w)
-        ids[i] = known
+    for w in set(words).difference(_HASHES):
+        _HASHES[w] = xxhash.xxh3_64_intdigest(w)
+    ids = np.array([_HASHES[w] for w in words], np.uint64)
     n = max(1, len(ids) - SHINGLE + 1)
     out = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
