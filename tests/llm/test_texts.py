@@ -31,6 +31,27 @@ def test_japanese_read_as_western_is_restored(charset):
     assert mojibake.repair(wrong)[0] == text
 
 
+SCRIPTS = ["안녕하세요 저는 한국에서 온 사람입니다. 그 책은 좋다", "مرحبا بكم في هذا الموقع و شكرا", "שלום לכולם זה אתר טוב", "नमस्ते दुनिया यह एक पाठ है", "Tiếng Việt là ngôn ngữ được nói ở Việt Nam", "สวัสดีชาวโลก", "Привет, Ελλάδα"]
+
+
+@pytest.mark.parametrize("text", [*SAMPLES, *SCRIPTS])
+def test_text_of_any_script_encoded_many_times_is_restored(text):
+    wrong = text
+    for times in range(1, 6):
+        wrong = wrong.encode("utf-8").decode("latin-1")
+        fixed, found, lost, _ = mojibake.repair(wrong)
+        assert found and fixed == text and not lost, times
+
+
+@pytest.mark.parametrize("text", ["Il est fatigué\xa0» dit-elle, « café\xa0»", "Das macht Spaß“, sagte er. „Groß…“ und „Maß“", "CAFÉ» à\xa0» ici", "one a×b and no more", *SCRIPTS])
+def test_right_text_with_such_sequences_is_left_alone(text):
+    assert mojibake.repair(text)[:2] == (text, 0)
+
+
+def test_one_garbled_word_is_found():
+    assert mojibake.repair("A word like f\u0178r alone.")[0] == "A word like für alone."
+
+
 @pytest.mark.parametrize("text", [*SAMPLES, "", None, "A sign like `Ã©` or `â€™` is an example.", "```\nÃ©\n```", "Dziś żółw je źdźbło", "NÃO SEI, IRMÃO"])
 def test_right_text_is_left_alone(text):
     assert mojibake.repair(text)[:2] == (text, 0)
