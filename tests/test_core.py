@@ -204,6 +204,12 @@ def test_page_blocks():
     assert pages.extract("", "")["blocks"] == []
 
 
+def test_deep_pages():
+    assert pages.extract("<body>" + "<div>" * 10_000 + "deep text", "")["blocks"][0]["markdown"] == "deep text"
+    assert pages.extract("<body>" + "<b>" * 5_000 + "x", "")["blocks"][0]["text"] == "x"
+    assert len(pages.extract("<body>" + "<ul><li>a" * 3_000, "")["blocks"][0]["markdown"].split("\n")) == 3_000
+
+
 def test_pdf_lines(spark):
     rows = [("d", 1, i, y, s, t) for i, (y, s, t) in enumerate([(700.0, 20.0, "Head"), (660.0, 10.0, "a long exam-"), (648.0, 10.0, "ple line"), (600.0, 10.0, "next")])]
     got = [(r["level"], r["text"]) for r in pages.pdf_paragraphs(spark.createDataFrame(rows, "doc STRING, page INT, seq INT, y DOUBLE, size DOUBLE, text STRING")).orderBy("paragraph").collect()]

@@ -15,12 +15,20 @@ _STOPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 
 
 class Element:
-    __slots__ = ("tag", "attributes", "children", "parent")
+    """A node; its attributes are taken apart when they are first asked for. ``measure`` is free for what walks the tree."""
 
-    def __init__(self, tag: str, attributes: dict[str, str], parent: Element | None):
-        self.tag, self.attributes, self.parent = tag, attributes, parent
+    __slots__ = ("tag", "_attributes", "children", "parent", "measure")
+
+    def __init__(self, tag: str, attributes: dict[str, str] | str, parent: Element | None):
+        self.tag, self._attributes, self.parent = tag, attributes, parent
         self.children: list[Element | str] = []
 
+    @property
+    def attributes(self) -> dict[str, str]:
+        if isinstance(self._attributes, str):
+            self._attributes = _attributes(self._attributes)
+        return self._attributes
+
     def walk(self) -> Iterator[Element]:
         stack = [self]
         while stack:
@@ -34,18 +42,20 @@ class Element:
     def text(self) -> str:
         """All text, with a space where a block element or line break begins and ends; scripts and styles have none."""
         out: list[str] = []
-
-        def add(node: Element) -> None:
-            for c in node.children:
+        stack: list[tuple[str, Iterator[Element | str]]] = [("", iter(self.children))]
+        while stack:
+            gap, rest = stack[-1]
+            for c in rest:
                 if isinstance(c, str):
                     out.append(c)
                 elif c.tag not in ("script", "style"):
-                    gap = c.tag not in INLINE or c.tag == "br"
-                    out.append(" " if gap else "")
-                    add(c)
-                    out.append(" " if gap else "")
-
-        add(self)
+                    space = " " if c.tag not in INLINE or c.tag == "br" else ""
+                    out.append(space)
+                    stack.append((space, iter(c.children)))
+                    break
+            else:
+                out.append(gap)
+                stack.pop()
         return "".join(out)
 
 
@@ -55,14 +65,14 @@ def parse(source: str) -> Element:
 
     def add(piece: str) -> None:
         if piece:
-            node.children.append(html.unescape(piece))
+            node.children.append(html.unescape(piece) if "&" in piece else piece)
 
     for m in _MARKUP.finditer(source):
         add(source[at : m.start()])
         at = m.end()
         raw, closing, name = m.group(1), m.group(4), m.group(5)
         if raw:
-            leaf = Element(raw.lower(), _attributes(m.group(2)), node)
+            leaf = Element(raw.lower(), m.group(2), node)
             leaf.children.append(m.group(3))
             node.children.append(leaf)
             continue
@@ -90,7 +100,7 @@ def parse(source: str) -> Element:
                 up = up.parent
             if up is not root and up.tag == "p":
                 node = up.parent
-        new = Element(name, _attributes(m.group(6)), node)
+        new = Element(name, m.group(6), node)
         node.children.append(new)
         if name not in VOID and not m.group(6).rstrip().endswith("/"):
             node = new

@@ -27,14 +27,23 @@ SCHEMA = (
 )
 
 
+def marked(body: bytes) -> tuple[str, int] | None:
+    """(charset, length) of a byte order mark."""
+    return next(((name, len(mark)) for mark, name in _BOM if body.startswith(mark)), None)
+
+
+def declared_charsets(body: bytes, header: str | None) -> list[str]:
+    """The charset that the header names, then the one that the page names in its first 4096 bytes."""
+    found = (_CHARSET.search((header or "").encode("ascii", "ignore")), _CHARSET.search(body[:4096]))
+    return [m.group(1).decode("ascii", "ignore") for m in found if m]
+
+
 def decode_body(body: bytes, header: str | None) -> str:
     """Byte order mark, then the header's charset, then the page's in its first 4096 bytes, then UTF-8; unknown labels are UTF-8."""
-    for mark, name in _BOM:
-        if body.startswith(mark):
-            return body[len(mark) :].decode(name, "replace")
-    m = _CHARSET.search((header or "").encode("ascii", "ignore")) or _CHARSET.search(body[:4096])
+    if mark := marked(body):
+        return body[mark[1] :].decode(mark[0], "replace")
     try:
-        return body.decode(m.group(1).decode("ascii") if m else "utf-8", "replace")
+        return body.decode(next(iter(declared_charsets(body, header)), "utf-8"), "replace")
     except LookupError:
         return body.decode("utf-8", "replace")
 
@@ -43,50 +52,77 @@ def space(text: str) -> str:
     return re.sub(r"[\s  -   　﻿]+", " ", text).strip()
 
 
-def inline(node: Element, base: str) -> str:
-    """Markdown of the inline content of an element."""
-    out = []
-    for c in node.children:
-        if isinstance(c, str):
-            out.append(re.sub(r"\s+", " ", c))
-            continue
-        inner = inline(c, base)
-        words = inner.strip()
-        lead, tail = inner[: len(inner) - len(inner.lstrip())], inner[len(inner.rstrip()) :]
-        if c.tag == "br":
-            out.append("\n")
-        elif c.tag == "img":
-            src = c.attributes.get("src") or c.attributes.get("data-src", "")
-            out.append(f"![{c.attributes.get('alt', '')}]({urljoin(base, src)})" if src and not src.startswith("data:") else c.attributes.get("alt", ""))
-        elif not words or c.tag in ("script", "style"):
-            out.append("" if c.tag in ("script", "style") else inner)
-        elif c.tag in ("em", "i"):
-            out.append(f"{lead}_{words}_{tail}")
-        elif c.tag in ("strong", "b"):
-            out.append(f"{lead}**{words}**{tail}")
-        elif c.tag in ("del", "s", "strike"):
-            out.append(f"{lead}~~{words}~~{tail}")
-        elif c.tag == "code":
-            out.append(f"{lead}`{words}`{tail}")
-        elif c.tag == "a" and c.attributes.get("href") and not re.match(r"(?i)\s*(javascript|data|vbscript):", c.attributes["href"]):
-            out.append(f"{lead}[{words}]({urljoin(base, c.attributes['href'])}){tail}")
-        else:
-            out.append(inner)
-    return re.sub(r" *\n *", "\n", re.sub(r" {2,}", " ", "".join(out)))
+def _wrapped(c: Element, inner: str, base: str) -> str:
+    """Markdown of an inline element from that of its content."""
+    words = inner.strip()
+    lead, tail = inner[: len(inner) - len(inner.lstrip())], inner[len(inner.rstrip()) :]
+    if c.tag == "br":
+        return "\n"
+    if c.tag == "img":
+        src = c.attributes.get("src") or c.attributes.get("data-src", "")
+        return f"![{c.attributes.get('alt', '')}]({urljoin(base, src)})" if src and not src.startswith("data:") else c.attributes.get("alt", "")
+    if c.tag in ("script", "style"):
+        return ""
+    if not words:
+        return inner
+    if c.tag in ("em", "i"):
+        return f"{lead}_{words}_{tail}"
+    if c.tag in ("strong", "b"):
+        return f"{lead}**{words}**{tail}"
+    if c.tag in ("del", "s", "strike"):
+        return f"{lead}~~{words}~~{tail}"
+    if c.tag == "code":
+        return f"{lead}`{words}`{tail}"
+    if c.tag == "a" and c.attributes.get("href") and not re.match(r"(?i)\s*(javascript|data|vbscript):", c.attributes["href"]):
+        return f"{lead}[{words}]({urljoin(base, c.attributes['href'])}){tail}"
+    return inner
 
 
-def list_lines(node: Element, base: str, indent: str = "") -> list[str]:
-    lines, number = [], int(node.attributes.get("start") or 1) if (node.attributes.get("start") or "1").isdigit() else 1
-    for item in (c for c in node.children if isinstance(c, Element) and c.tag == "li"):
-        mark = f"{number}. " if node.tag == "ol" else "- "
-        number += 1
+def inline(node: Element, base: str) -> str:
+    """Markdown of the inline content of an element, however deep."""
+    stack: list[tuple[Element, Iterator[Element | str], list[str]]] = [(node, iter(node.children), [])]
+    while True:
+        element, rest, out = stack[-1]
+        for c in rest:
+            if isinstance(c, str):
+                out.append(re.sub(r"\s+", " ", c))
+            else:
+                stack.append((c, iter(c.children), []))
+                break
+        else:
+            text = re.sub(r" *\n *", "\n", re.sub(r" {2,}", " ", "".join(out)))
+            stack.pop()
+            if not stack:
+                return text
+            stack[-1][2].append(_wrapped(element, text, base))
+
+
+def list_lines(node: Element, base: str) -> list[str]:
+    """Lines of a list, nested lists indented under their items."""
+    lines: list[str] = []
+
+    def frame(node: Element, indent: str) -> list:
+        start = node.attributes.get("start") or "1"
+        return [node.tag == "ol", int(start) if start.isdigit() else 1, indent, [(None, c) for c in node.children if isinstance(c, Element) and c.tag == "li"]]
+
+    stack = [frame(node, "")]
+    while stack:
+        ordered, number, indent, rest = stack[-1]
+        if not rest:
+            stack.pop()
+            continue
+        inner, item = rest.pop(0)
+        if inner is not None:
+            stack.append(frame(item, inner))
+            continue
+        mark = f"{number}. " if ordered else "- "
+        stack[-1][1] += 1
         flat = Element("li", {}, None)
         flat.children = [c for c in item.children if isinstance(c, str) or c.tag not in ("ul", "ol")]
         box = next((c for c in flat.walk() if c.tag == "input" and c.attributes.get("type") == "checkbox"), None)
         tick = "" if box is None else "[x] " if "checked" in box.attributes else "[ ] "
         lines.append(f"{indent}{mark}{tick}{space(inline(flat, base))}")
-        for sub in (c for c in item.children if isinstance(c, Element) and c.tag in ("ul", "ol")):
-            lines += list_lines(sub, base, indent + " " * len(mark))
+        rest[:0] = [(indent + " " * len(mark), c) for c in item.children if isinstance(c, Element) and c.tag in ("ul", "ol")]
     return lines
 
 
@@ -135,8 +171,9 @@ def blocks_of(root: Element, base: str) -> list[dict]:
             run.clear()
             emit("paragraph", space(box.text()), inline(box, base).strip())
 
-    def visit(node: Element) -> None:
-        for c in node.children:
+    stack = [iter(root.children)]
+    while stack:
+        for c in stack[-1]:
             if isinstance(c, str) or c.tag in INLINE:
                 run.append(c)
                 continue
@@ -163,10 +200,11 @@ def blocks_of(root: Element, base: str) -> list[dict]:
             elif c.tag == "blockquote":
                 emit("quote", space(c.text()), "\n".join("> " + x for x in inline(c, base).strip().split("\n")))
             else:
-                visit(c)
-        flush()
-
-    visit(root)
+                stack.append(iter(c.children))
+                break
+        else:
+            flush()
+            stack.pop()
     return out
 
 
