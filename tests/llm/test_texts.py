@@ -284,6 +284,39 @@ def test_main_body_leaves_out_menus_teasers_and_footers():
     assert boilerplate.main_texts("") == [] and boilerplate.main_texts("<body>only text</body>") == ["only text"]
 
 
+@pytest.mark.parametrize(("charset", "lang", "text"), [("koi8-r", "ru", "Вчера мы говорили о погоде и реках"), ("iso-8859-2", "pl", "Łódź ąśź żółw gęślą jaźń"), ("windows-1251", "ru", "Вчера мы говорили о погоде"), ("euc-jp", "ja", "日本語のページです"), ("shift_jis", "ja", "日本語のページです"), ("iso-2022-jp", "ja", "日本語のページです"), ("utf-16", "en", "Some text")])
+def test_declared_charsets_come_before_those_of_the_language(charset, lang, text):
+    page = f'<html lang="{lang}"><head><meta charset="{charset}"></head><body><p>{text}</p></body></html>'
+    body = page.encode(charset)
+    assert boilerplate.main_texts(boilerplate.decoded(body, None)) == [text]
+    assert boilerplate.main_texts(boilerplate.decoded(body, f"text/html; charset={charset}")) == [text]
+
+
+def test_a_false_charset_is_not_believed():
+    body = '<html lang="ru"><body><p>Вчера мы говорили о погоде и реках</p></body></html>'.encode("cp1251")
+    assert boilerplate.main_texts(boilerplate.decoded(body, "text/html; charset=iso-8859-1")) == ["Вчера мы говорили о погоде и реках"]
+    assert boilerplate.main_texts(boilerplate.decoded(body, "text/html; charset=utf-8")) == ["Вчера мы говорили о погоде и реках"]
+
+
+def test_deep_pages_and_large_tables():
+    deep = "<body>" + "<div>" * 10_000 + "one deep text" + "</div>" * 10_000
+    assert boilerplate.main_texts(deep) == ["one deep text"]
+    rows = "".join(f"<tr><td>cell {i}</td><td>value {i}</td></tr>" for i in range(500))
+    page = "<body><div><a href=a>Home</a></div><div><h1>Ponds</h1><p>Water, reeds and quiet frogs share one old pond here.</p><table>" + rows + "</table></div></body>"
+    assert boilerplate.main_texts(page)[:2] == ["Ponds", "Water, reeds and quiet frogs share one old pond here."]
+
+
+def test_lists_and_garbled_blocks_are_compared_with_their_page(spark):
+    page = "<body><div class=n><a href=a>Home</a><a href=b>Shop</a></div><div><h1>Über Teiche</h1>" + "".join(f"<p>Satz {i} erzählt, wie Wasser und Frösche einen Teich teilen.</p>" for i in range(6)) + "<ul><li>Frösche 12</li><li>Über Schilf 30</li></ul></div><div>Alle Rechte vorbehalten.</div></body>"
+    wrong = lambda t: t.encode("utf-8").decode("latin-1")
+    texts = [("heading", "# Über Teiche"), ("paragraph", wrong("Satz 1 erzählt, wie Wasser und Frösche einen Teich teilen.")), ("list", "1. Frösche 12\n2. Über Schilf 30"), ("paragraph", "Alle Rechte vorbehalten."), ("paragraph", "Warum alte Frösche wichtig sind!")]
+    versions = spark.createDataFrame([("d", 1, "h")], "doc_id STRING, version INT, raw_hash STRING")
+    pages = spark.createDataFrame([(i, "h", None, page.encode()) for i in range(3)], "arrival BIGINT, raw_hash STRING, content_type_header STRING, body BINARY")
+    blocks = spark.createDataFrame([("d", 1, f"b{i}", kind, 1 if kind == "heading" else None, t) for i, (kind, t) in enumerate(texts)], "doc_id STRING, version INT, block_id STRING, block_type STRING, level INT, markdown STRING")
+    got = {r["block_id"]: (r["furniture"], r["path"]) for r in boilerplate.judged(versions, pages, blocks).collect()}
+    assert got == {"b0": (False, "title"), "b1": (False, "page"), "b2": (False, "page"), "b3": (True, "page"), "b4": (False, "slogan")}
+
+
 def test_languages_with_held_out_text():
     train = {
         "en": "the cat sat on the mat and then it ran to the house with the dog because they were both very happy about the food",

@@ -4,14 +4,15 @@ Every DOM node gets its characters per tag, adjusted by its link characters and
 densities. On the path from the node of the largest density sum up to body the smallest density is the threshold; among the nodes that reach it the
 one of the largest density sum is the main body. Link-dominated parts inside it (teasers with their heading) and small print are left out.
 
-A block of a version is compared with the main body of its page: it is furniture when it shares hardly any three-word shingle with it. Titles, bylines, tables and quotes
-are content. What blocks of versions with a page teach about wording (a block without digits, dates and names) also decides the blocks of
-versions whose page was not kept.
+A block of a version is compared with the main body of its page: it is furniture when it shares hardly any three-word shingle with it. Titles,
+bylines, tables and quotes are content. What blocks of versions with a page teach about wording (a block without digits, dates and names) also
+decides the blocks of versions whose page was not kept. ``path`` tells which of these decided a block.
+
+Each body is parsed once (bodies of one hash are one), whatever its depth; words that could not be decoded are left out of the comparison.
 """
 
 from __future__ import annotations
 
-import html
 import math
 import re
 from collections.abc import Iterator
@@ -23,193 +24,207 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import mojibake, residue
-from weftline.llm.sitelines import MONTHS, forms
+from weftline.llm.sitelines import MONTHS, NAME, forms
 from weftline.session import cut
-
-SHARED = 0.34
-_MARKUP = re.compile(r"<!--.*?-->|<(script|style|noscript|template|svg)\b.*?</\1\s*>|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd mark q s samp small span strike strong sub sup time tt u var br wbr img".split())
-_CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
-_CHARSET = re.compile(rb"charset\s*=\s*[\"']?\s*([\w:.-]+)", re.I)
+from weftline.sources.htmltree import INLINE, Element, parse
+from weftline.sources.pages import declared_charsets, marked
+
+#: share of a block's shingles that the main body must hold; words beside date and name that a byline has at most
+SHARED, BYLINE = 0.34, 16
+#: parts of a table; one without blocks in its cells, none of which holds most of its text, is a block of its own like a paragraph
+_TABLE = frozenset("table thead tbody tfoot tr td th caption colgroup col".split())
+_SILENT = frozenset("script style noscript template svg".split())
 _LANG = re.compile(rb"<html[^>]*\blang\s*=\s*[\"']?([A-Za-z]{2})", re.I)
-_BY_LANGUAGE = {b"ja": ("cp932", "euc_jp"), b"ru": ("cp1251", "koi8-r"), b"pl": ("cp1250", "iso8859-2"), b"zh": ("gb18030", "big5"), b"ko": ("cp949",)}
+_BY_LANGUAGE = {b"ja": ("euc_jp", "cp932"), b"ru": ("cp1251", "koi8-r"), b"pl": ("cp1250", "iso8859-2"), b"zh": ("gb18030", "big5"), b"ko": ("cp949",)}
 _TOKEN = re.compile("[぀-ヿ㐀-鿿]+|[^\\W_぀-ヿ㐀-鿿]+")
 _DENSE = re.compile("[぀-ヿ㐀-鿿]")
+_BETWEEN = "\x1e"
+_IDS: dict[str, int] = {}
+#: words that stayed garbled
+_LOST = re.compile(r"\S*(?:[\ufffd\x80-\x9f]|[À-ÖØ-öø-ÿ¡-¿]{3,}|[a-z][ÀÁ-ÖØ-Þ¡-¿])\S*")
 _TARGET = re.compile(r"\]\([^)\s]*\)")
 _DATE = re.compile(r"\d{4}-\d{2}-\d{2}|\d{1,2}\.? (?:de )?(?:" + "|".join(sorted(set(MONTHS.split()))) + r")\.?,? (?:de )?\d{4}|(?:" + "|".join(sorted(set(MONTHS.split()))) + r") \d{1,2}, \d{4}|\d{1,2}[./]\d{1,2}[./]\d{4}|\d{4}年\d{1,2}月", re.I)
+_YEAR = re.compile(r"\d{4}")
 _TRAIL = re.compile(r"[^.!?。\n]{1,60}(?:\s[»›>|·•/]\s[^.!?。\n]{1,80}){2,}")
+#: one exclamation without numbers and links; where no part of the page holds it, it is a slogan, which is none of the kinds of furniture
+_SLOGAN = re.compile(r"[^\d\n\[\]|.?!。]+[!！]")
+_MARKER = re.compile(r"^[ \t]*(?:[-*+]|\d+[.)])[ \t]+(?:\[[ x]\] )?", re.M)
 _LINKS = re.compile(r"(?:[-*+]|\d+\.)?\s*\[[^\]\n]*\]\([^)\n]*\)\s*")
 
 
 def decoded(body: bytes, header: str | None) -> str:
-    """A page's text: UTF-8 where well formed, else the sets that header, page and page language name, else Windows-1252."""
+    """A page's text: by its byte order mark; UTF-8 where well formed; else by the first of the sets that header and page name and those of the page's
+    language that gives a text without garbled sequences, or failing that the first that can decode it."""
+    if mark := marked(body):
+        return body[mark[1] :].decode(mark[0], "replace")
+    names = declared_charsets(body, header)
+    if b"\x1b" in body:
+        names.sort(key=lambda x: not x.lower().startswith("iso-2022"))
     try:
-        return body.decode("utf-8-sig")
+        if b"\x1b" not in body or not names or not names[0].lower().startswith("iso-2022"):
+            return body.decode("utf-8")
     except UnicodeDecodeError:
         pass
-    head = body[:4096]
-    lang = _LANG.search(head)
-    meta = _CHARSET.search(head)
-    sent = _CHARSET.search((header or "").encode("ascii", "ignore"))
-    names = [*(_BY_LANGUAGE.get(lang.group(1).lower(), ()) if lang else ()), *(m.group(1).decode("ascii", "ignore") for m in (sent, meta) if m)]
-    for name in names:
+    lang = _LANG.search(body[:4096])
+    first = None
+    # a page that says Latin-1 means its Windows superset
+    said = ["cp1252" if x.lower() in ("iso-8859-1", "latin-1", "latin1", "ascii", "us-ascii") else x for x in names]
+    for name in dict.fromkeys([*said, *(_BY_LANGUAGE.get(lang.group(1).lower(), ()) if lang else ()), "cp1252"]):
         try:
-            return body.decode(name)
+            text = body.decode(name)
         except (UnicodeDecodeError, LookupError):
             continue
-    return body.decode("cp1252", "replace")
-
+        if not mojibake.suspicious(text):
+            return text
+        first = text if first is None else first
+    return body.decode("cp1252", "replace") if first is None else first
 
-class _Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "parts")
 
-    def __init__(self, tag: str, parent: _Node | None):
-        self.tag, self.parent, self.children, self.parts = tag, parent, [], []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = self.total = 0.0
+class _Measure:
+    __slots__ = ("children", "chars", "tags", "link_chars", "link_tags", "density", "total", "flat", "cell")
 
 
-def parse(text: str) -> _Node:
-    """Tolerant tree: void and implied end tags, unknown end tags ignored. Texts are parts between children."""
-    root = node = _Node("#root", None)
-    at = 0
-
-    def add(piece: str) -> None:
-        if piece.strip():
-            node.parts.append(html.unescape(piece) if "&" in piece else piece)
-
-    for m in _MARKUP.finditer(text):
-        add(text[at : m.start()])
-        at = m.end()
-        name = m.group(3)
-        if name is None:
-            continue
-        name = name.lower()
-        if m.group(2):
-            up = node
-            while up is not root and up.tag != name:
-                up = up.parent
-            if up is not root:
-                node = up.parent
-            continue
-        if name in _CLOSES:
-            up, stop = node, _SCOPE.get(name, set())
-            while up is not root and up.tag not in stop:
-                if up.tag in _CLOSES[name]:
-                    node = up.parent
-                    break
-                if name == "p" and up.tag not in _INLINE:
-                    break
-                up = up.parent
-        new = _Node(name, node)
-        node.children.append(new)
-        node.parts.append(new)
-        if name not in _VOID and not m.group(4).endswith("/"):
-            node = new
-    add(text[at:])
-    return root
-
-
-def _measure(root: _Node) -> list[_Node]:
+def _measure(root: Element) -> list[Element]:
+    """The nodes from the root on; each has its measure. Scripts, styles and the like are no nodes."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
+        m = node.measure = _Measure()
+        m.children = [c for c in node.children if not isinstance(c, str) and c.tag not in _SILENT]
         order.append(node)
-        stack += node.children
+        stack += m.children
     for node in reversed(order):
-        node.chars = sum(len(p.strip()) for p in node.parts if isinstance(p, str)) + sum(c.chars for c in node.children)
-        node.tags = sum(c.tags + 1 for c in node.children)
-        link = node.tag == "a"
-        node.link_chars = node.chars if link else sum(c.link_chars for c in node.children)
-        node.link_tags = sum(c.link_tags + (c.tag == "a") for c in node.children)
-    body = next((n for n in order if n.tag == "body"), root)
+        m = node.measure
+        chars = tags = link_chars = link_tags = cell = 0
+        flat = node.tag in _TABLE or node.tag in INLINE
+        for part in node.children:
+            if isinstance(part, str):
+                chars += len(part.strip())
+        for part in m.children:
+            c = part.measure
+            chars, tags, link_chars, link_tags = chars + c.chars, tags + c.tags + 1, link_chars + c.link_chars, link_tags + c.link_tags + (part.tag == "a")
+            flat = flat and c.flat
+            cell = c.cell if c.cell > cell else cell
+        m.chars, m.tags, m.link_chars, m.link_tags = chars, tags, chars if node.tag == "a" else link_chars, link_tags
+        m.cell = chars if node.tag in ("td", "th") else cell
+        m.flat = flat and (node.tag != "table" or 2 * cell <= chars)
+        if node.tag == "table" and m.flat:
+            m.children, m.tags = [], link_tags
+    body = next((n for n in order if n.tag == "body"), root).measure
     ratio = body.link_chars / max(1, body.chars)
     for node in order:
-        if node.chars:
-            c, t, lc, lt = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
-            base = math.log(c / max(1, c - node.link_chars) * node.link_chars + ratio * c + math.e)
-            node.density = c / t * math.log(max(1.0001, c / lc * t / lt)) / math.log(max(1.1, base + 1e-9) + 1)
+        m = node.measure
+        m.density = 0.0
+        if m.chars:
+            c, t, lc, lt = m.chars, max(1, m.tags), max(1, m.link_chars), max(1, m.link_tags)
+            base = math.log(c / max(1, c - m.link_chars) * m.link_chars + ratio * c + math.e)
+            m.density = c / t * math.log(max(1.0001, c / lc * t / lt)) / math.log(max(1.1, base + 1e-9) + 1)
     for node in order:
-        node.total = sum(c.density for c in node.children)
+        node.measure.total = sum(c.measure.density for c in node.measure.children)
     return order
 
 
-def main_node(root: _Node) -> _Node | None:
+def main_node(root: Element) -> Element | None:
     """The subtree of the largest density sum among the nodes that reach the body path's threshold; null when the page has no text."""
-    order = [n for n in _measure(root) if n.tag not in ("head", "title", "html", "#root")]
-    texts = [n for n in order if n.chars and n.children]
+    order = [n for n in _measure(root) if n.tag not in ("head", "title", "html", "#root") and not (n.measure.flat and n.tag in _TABLE and n.tag != "table")]
+    texts = [n for n in order if n.measure.chars and n.measure.children]
     if not texts:
-        texts = [n for n in order if n.chars]
-        return max(texts, key=lambda n: n.chars) if texts else (root if root.chars else None)
-    best = max(texts, key=lambda n: n.total)
-    threshold, up = best.density, best
+        texts = [n for n in order if n.measure.chars]
+        return max(texts, key=lambda n: n.measure.chars) if texts else (root if root.measure.chars else None)
+    best = max(texts, key=lambda n: n.measure.total)
+    threshold, up = best.measure.density, best
     while up is not None and up.tag not in ("body", "html", "#root"):
-        threshold, up = min(threshold, up.density), up.parent
-    return max((n for n in texts if n.density >= threshold), key=lambda n: n.total)
+        threshold, up = min(threshold, up.measure.density), up.parent
+    return max((n for n in texts if n.measure.density >= threshold), key=lambda n: n.measure.total)
 
 
 def main_texts(text: str) -> list[str]:
     """The block texts of a page's main body in order, link-dominated parts and small print left out."""
     main = main_node(parse(text))
-    if main is None:
-        return []
+    return [] if main is None else texts_of(main)
+
+
+def texts_of(top: Element, outside: Element | None = None) -> list[str]:
+    """Block texts below a node: without link-dominated parts and small print, or, with ``outside``, all but those of that node."""
     out: list[str] = []
     run: list[str] = []
 
     def flush() -> None:
-        joined = re.sub(r"\s+", " ", "".join(run)).strip()
+        joined = " ".join("".join(run).split())
         if joined:
             out.append(joined)
         run.clear()
 
-    def walk(node: _Node) -> None:
-        for part in node.parts:
+    # each frame: what is left of a node's children, and what its end does
+    stack: list[tuple[Iterator[Element | str], str]] = [(iter(top.children), "block")]
+    while stack:
+        rest, kind = stack[-1]
+        for part in rest:
             if isinstance(part, str):
                 run.append(part)
-            elif part.tag == "br":
+                continue
+            if part.tag in _SILENT or part is outside:
+                continue
+            if part.tag == "br":
                 run.append("\n")
-            elif part.tag in ("td", "th") and not any(c.tag not in _INLINE for c in part.children):
-                run.append(" ")
-                walk(part)
+                continue
+            m = part.measure
+            if part.tag in ("td", "th") and not any(c.tag not in INLINE for c in m.children):
                 run.append(" ")
-            elif part.tag == "small" or (part.tag not in _INLINE and part.chars and part.link_chars > 0.5 * part.chars):
+                stack.append((iter(part.children), "cell"))
+                break
+            if outside is None and (part.tag == "small" or (part.tag not in INLINE and m.chars and m.link_chars > 0.5 * m.chars)):
                 continue
-            elif part.tag in _INLINE:
-                walk(part)
-            else:
+            if part.tag not in INLINE:
                 flush()
-                walk(part)
+            stack.append((iter(part.children), "inline" if part.tag in INLINE else "block"))
+            break
+        else:
+            if kind == "cell":
+                run.append(" ")
+            elif kind == "block":
                 flush()
-
-    walk(main)
-    flush()
+            stack.pop()
     return out
 
 
-def _hashes(text: str) -> np.ndarray:
-    """Three-word shingles; of scripts without spaces, each three characters are a word."""
+def _words(text: str) -> list[str]:
+    """Lower-case words; of scripts without spaces, each three characters are a word."""
     words = _TOKEN.findall(text.lower())
+    if not text.isascii() and _DENSE.search(text):
+        words = [x for w in words for x in ([w[i : i + 3] for i in range(max(1, len(w) - 2))] if _DENSE.match(w) else [w])]
+    return words
+
+
+def _shingles(lines: list[str]) -> np.ndarray:
+    """Different three-word shingles of lines, in order; none goes over the end of a line, and the words of shorter lines stand alone."""
+    parts = [_words(x) for x in lines]
+    words = [w for x in parts for w in x]
     if not words:
         return np.zeros(0, np.uint32)
-    if _DENSE.search(text):
-        words = [x for w in words for x in ([w[i : i + 3] for i in range(max(1, len(w) - 2))] if _DENSE.match(w) else [w])]
-    ids = np.fromiter((xxhash.xxh32_intdigest(w) for w in words), np.uint32, len(words))
-    if len(ids) < 3:
-        return ids
+    if len(_IDS) > 500_000:
+        _IDS.clear()
+    for w in set(words).difference(_IDS):
+        _IDS[w] = xxhash.xxh32_intdigest(w)
+    ids = np.array([_IDS[w] for w in words], np.uint32)
+    sizes = np.array([len(x) for x in parts])
+    line = np.repeat(np.arange(len(parts)), sizes)
     with np.errstate(over="ignore"):
-        return (ids[:-2] * np.uint32(2654435761)) ^ (ids[1:-1] * np.uint32(2246822519) + np.uint32(374761393)) ^ (ids[2:] * np.uint32(3266489917) + np.uint32(668265263))
+        three = (ids[:-2] * np.uint32(2654435761)) ^ (ids[1:-1] * np.uint32(2246822519) + np.uint32(374761393)) ^ (ids[2:] * np.uint32(3266489917) + np.uint32(668265263))
+    return np.unique(np.concatenate([three[line[:-2] == line[2:]], ids[np.repeat(sizes < 3, sizes)]]))
 
 
 def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for key, header, body in batch[["raw_hash", "content_type_header", "body"]].itertuples(index=False):
-            texts = main_texts(decoded(bytes(body), header))
-            seen = np.unique(np.concatenate([_hashes(x) for x in texts])) if texts else np.zeros(0, np.uint32)
-            out.append((key, seen.view(np.int32)))
-        yield pd.DataFrame(out, columns=["raw_hash", "main"])
+            tree = parse(decoded(bytes(body), header))
+            main = main_node(tree)
+            # a page may hold garbled text of its own; restored, it is what restored blocks are compared with
+            inside, outside = ([], []) if main is None else (texts_of(main), texts_of(next((n for n in tree.walk() if n.tag == "body"), tree), main))
+            restored = mojibake.repair("\n".join(inside) + _BETWEEN + "\n".join(outside))[0].split(_BETWEEN)
+            out.append((key, *(_shingles(x.split("\n")).view(np.int32) for x in restored)))
+        yield pd.DataFrame(out, columns=["raw_hash", "main", "outside"])
 
 
 def _body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,67 +243,90 @@ def kind(block: str, block_type: str | None, level: float | None) -> str | None:
     """``title`` and ``byline`` are content whatever the page says; null for all others."""
     if block_type == "heading" and level == 1 or re.match(r"#[ \t]", block):
         return "title"
-    if len(block) < 160 and _DATE.search(block):
+    if block_type in ("table", "quote", "list"):
+        return None
+    # no form of a date is longer than 30 characters before or after its year
+    if any(_DATE.search(block, max(0, m.start() - 30), m.end() + 30) for m in _YEAR.finditer(block)) and len(_TOKEN.findall(NAME.sub(" ", _DATE.sub(" ", block)))) <= BYLINE:
         return "byline"
     return None
 
 
 def wording(block: str) -> int:
-    """Hash of a block without digits, dates, names, case and punctuation."""
-    return xxhash.xxh3_64_intdigest("\n".join(x[0] for x in map(forms, block.split("\n")) if x)) - 2**63
+    """Hash of a block without digits, dates, names, case and punctuation; headings of different levels differ."""
+    level = m.group() if (m := re.match(r"#{1,6} ", block)) else ""
+    return xxhash.xxh3_64_intdigest(level + "\n".join(x[0] for x in map(forms, block.split("\n")) if x)) - 2**63
+
+
+def shared(clean: str, garbled: bool, known: np.ndarray) -> float | None:
+    """Share of a restored block's shingles that the main body has; null where more than half of them have words that could not be restored."""
+    lines = _MARKER.sub("", _TARGET.sub("]", clean)).split("\n")
+    mine = _shingles(lines)
+    if garbled:
+        left = _shingles([part for line in lines for part in _LOST.split(line) if part == line or len(_TOKEN.findall(part)) >= 3])
+        if 2 * len(left) < len(mine):
+            return None
+        mine = left
+    if not len(mine) or not len(known):
+        return 0.0
+    at = np.minimum(np.searchsorted(known, mine), len(known) - 1)  # both are sorted
+    return float((known[at] == mine).mean())
 
 
 def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Blocks of one version with their page's main shingles to (block_id, wording, furniture or null where no page is known)."""
+    """Blocks of one version with their page's main shingles to (block_id, wording, furniture or null where no page is known, path)."""
     for batch in batches:
         out = []
-        for doc, version, main, blocks in batch[["doc_id", "version", "main", "blocks"]].itertuples(index=False):
+        for doc, version, main, rest, blocks in batch[["doc_id", "version", "main", "outside", "blocks"]].itertuples(index=False):
+            elsewhere = np.zeros(0, np.uint32) if rest is None else np.asarray(rest, np.int32).view(np.uint32)
             known = None if main is None or not len(main) else np.asarray(main, np.int32).view(np.uint32)
             mine_out, kept, gone = [], 0, 0
-            for b in blocks:
-                text = b["markdown"] or ""
+            texts = [(b["markdown"] or "").replace(_BETWEEN, " ") for b in blocks]
+            # restored together: what one block leaves in doubt another settles
+            restored, garbled, _, _ = mojibake.repair(_BETWEEN.join(texts)) if known is not None else ("", 0, 0, "")
+            clean = restored.split(_BETWEEN) if known is not None else texts
+            for b, text, fixed_text in zip(blocks, texts, clean):
                 if b["block_type"] == "code" or not re.search(r"\w", text):
                     continue
                 fixed = kind(text, b["block_type"], b["level"])
-                verdict = None
-                links = bool(re.search(r"\]\(", text)) and all(_LINKS.fullmatch(x) for x in text.split("\n") if x.strip())
+                verdict, path = None, None
                 if fixed or b["block_type"] in ("table", "quote"):
-                    verdict = False
+                    verdict, path = False, fixed or b["block_type"]
                 elif b["block_type"] in ("paragraph", "other") and _TRAIL.fullmatch(text):  # its words are the page's, but it is a path
-                    verdict = True
+                    verdict, path = True, "trail"
                 elif known is not None:
-                    clean, garbled, _, _ = mojibake.repair(text)
-                    mine = np.unique(_hashes(_TARGET.sub("]", clean)))
-                    lost = clean.count("�")
-                    shared = np.isin(mine, known, assume_unique=True).mean() if len(mine) else 0.0
-                    # what could not be restored cannot be compared; furniture is short
-                    verdict = bool(shared < SHARED) and lost < 0.04 * len(clean) and not (garbled and len(text) > 200)
-                elif links:
-                    verdict = True
+                    share = shared(fixed_text, bool(garbled), known)
+                    verdict, path = (None, None) if share is None else (share < SHARED, "page")
+                    if verdict and _SLOGAN.fullmatch(text) and shared(fixed_text, bool(garbled), elsewhere) < SHARED:
+                        verdict, path = False, "slogan"
+                elif "](" in text and all(_LINKS.fullmatch(x) for x in text.split("\n") if x.strip()):
+                    verdict, path = True, "links"
                 kept, gone = kept + (verdict is False) * len(text), gone + (verdict is True) * len(text)
-                mine_out.append((doc, version, b["block_id"], wording(text), verdict, bool(fixed)))
+                mine_out.append((doc, version, b["block_id"], wording(text), verdict, path, bool(fixed)))
             # a main body that holds less than half of the text is not this version's page: wording decides
             lost_page = known is not None and gone > kept
-            out += [(*x[:4], None if lost_page and not x[5] else x[4]) for x in mine_out]
-        yield pd.DataFrame(out, columns=["doc_id", "version", "block_id", "wording", "furniture"]).astype({"furniture": object})
+            out += [(*x[:4], None, None) if lost_page and not x[6] else x[:6] for x in mine_out]
+        yield pd.DataFrame(out, columns=["doc_id", "version", "block_id", "wording", "furniture", "path"]).astype({"furniture": object})
 
 
 def judged(versions: DataFrame, fetch_log: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(doc_id, version, block_id, furniture) of every block with a word, by its page or, without one, by what its wording is elsewhere.
+    """(doc_id, version, block_id, furniture, path) of every block with a word, by its page or, without one, by what its wording is elsewhere.
 
     Null or unknown pages, null texts and repeated rows are allowed; wording never seen elsewhere is content.
     """
-    pages = fetch_log.where("body IS NOT NULL AND raw_hash IS NOT NULL").select("raw_hash", "content_type_header", "body")
-    pages = pages.mapInPandas(_pages, "raw_hash STRING, main ARRAY<INT>").groupBy("raw_hash").agg(F.max_by("main", F.size("main")).alias("main"))
     keys = versions.select("doc_id", "version", "raw_hash").dropDuplicates(["doc_id", "version"])
-    main = keys.join(pages, "raw_hash").select("doc_id", "version", "main")
+    # one body for each hash that a version has, before anything is parsed
+    asked = keys.where("raw_hash IS NOT NULL").select("raw_hash").distinct()
+    pages = fetch_log.where("body IS NOT NULL AND raw_hash IS NOT NULL").select("arrival", "raw_hash", "content_type_header", "body").join(asked, "raw_hash", "left_semi")
+    pages = pages.groupBy("raw_hash").agg(F.min_by(F.struct("content_type_header", "body"), "arrival").alias("p")).select("raw_hash", "p.*")
+    pages = pages.mapInPandas(_pages, "raw_hash STRING, main ARRAY<INT>, outside ARRAY<INT>")
+    main = keys.join(pages, "raw_hash").select("doc_id", "version", "main", "outside")
     own = blocks.groupBy("doc_id", "version").agg(F.collect_set(F.struct("block_id", "block_type", "level", "markdown")).alias("blocks"))
-    schema = "doc_id STRING, version INT, block_id STRING, wording BIGINT, furniture BOOLEAN"
-    rows = cut(own.join(main, ["doc_id", "version"], "left").select("doc_id", "version", "main", "blocks").mapInPandas(_judged, schema))
+    schema = "doc_id STRING, version INT, block_id STRING, wording BIGINT, furniture BOOLEAN, path STRING"
+    rows = cut(own.join(main, ["doc_id", "version"], "left").select("doc_id", "version", "main", "outside", "blocks").mapInPandas(_judged, schema))
     learnt = rows.where("furniture IS NOT NULL").groupBy("wording").agg(F.avg(F.col("furniture").cast("int")).alias("share"), F.count_distinct("doc_id").alias("documents"))
     learnt = learnt.where("share >= 0.8 AND documents >= 2").select("wording", F.lit(True).alias("taught"))
-    missing = rows.where("furniture IS NULL").join(learnt, "wording", "left").withColumn("furniture", F.coalesce("taught", F.lit(False)))
-    columns = ["doc_id", "version", "block_id", "furniture"]
+    missing = rows.where("furniture IS NULL").join(learnt, "wording", "left").withColumns({"furniture": F.coalesce("taught", F.lit(False)), "path": F.lit("wording")})
+    columns = ["doc_id", "version", "block_id", "furniture", "path"]
     return rows.where("furniture IS NOT NULL").select(columns).unionByName(missing.select(columns))
 
 

@@ -56,10 +56,10 @@ def _to_bytes(charset: str) -> dict[int, str]:
 
 class _Bytes(dict):
     def __missing__(self, key: int) -> str:
-        return chr(key) if key < 128 else "\uffff"
+        return "\uffff"
 
 
-_TABLES = {name: _Bytes(_to_bytes(name)) for name, _ in SETS}
+_TABLES = {name: _Bytes({i: chr(i) for i in range(128)} | _to_bytes(name)) for name, _ in SETS}
 _LEADS = {name: re.compile("[" + "".join(re.escape(chr(k)) for k, v in table.items() if "\xc2" <= v <= "\xf4") + "]") for name, table in _TABLES.items()}
 _DASHES = {"\u2013", "\u2014"}
 
@@ -199,6 +199,8 @@ def _replace(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def _single_byte(text: str) -> tuple[str, int, int]:
     """Words with marks of a wrong single-byte set: new text, words found, words not restored."""
+    if not (_MARK.search(text) or _CONTROL.search(text) or _RUNS.search(text)):
+        return text, 0, 0
     marked = [m for m in _WORD.finditer(text) if _MARK.search(m.group()) or _CONTROL.search(m.group()) or _RUNS.search(m.group())]
     if not marked:
         return text, 0, 0
