@@ -1,13 +1,17 @@
 """Subject areas of documents.
 
-Complement naive Bayes gives each word a weight for each subject (its log frequency in the subject's text against that in all other text). It is
-trained on labelled documents and refined by expectation-maximization: each pass scores every sentence of every document, in the light of the
-document's other sentences, and adds its words to the subjects by its posteriors, the rest of them going to text about no subject. A subject's posterior for a document is independent of the
-others: a sigmoid of the share of own sentences about it, calibrated on the labelled documents.
+Complement naive Bayes gives each word a weight for each subject: the logarithm of its likelihood in the subject's text over that in the complement,
+all other text, both smoothed towards the word's likelihood in the whole. It is trained on labelled documents and refined by
+expectation-maximization: each pass scores every sentence of every document, in the light of the document's other sentences, and adds its words to
+the subjects by its posteriors, the rest of them going to text about no subject. The posterior that a document has a subject's label, independent of the
+other subjects, is a sigmoid of the share of its own sentences about it; it is calibrated on labelled documents that were held out of training, every
+``HELD_OUT``-th by hash. A document gets the subjects of at least ``SHARE`` of its own sentences, which is the definition; hand labels name only the
+subjects that stand out, so a posterior of a half asks for more.
 
 Words are hashed to ``FEATURES`` places, which bounds the model that is sent to the tasks whatever the vocabulary. Labels are trimmed and compared
-without case; null or unknown labels are left out. Training takes an expected ``LABELLED`` labelled documents at most, expectation-maximization all
-documents. Null and empty texts and texts without a sentence have no subject.
+without case; null or unknown labels are left out, and language labels are reduced to the languages they name. Training takes an expected
+``LABELLED`` labelled documents at most, expectation-maximization all documents. A sentence ends with a sentence mark and has four words or more;
+null and empty texts and texts without a sentence have no subject.
 """
 
 from __future__ import annotations
@@ -21,10 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.langid import named_language
 from weftline.llm.sitelines import NAME
 from weftline.session import cut
 
-FEATURES, LABELLED, ROUNDS, SHARE, CHUNK = 2**17, 20_000, 2, 0.25, 1_000
+FEATURES, LABELLED, ROUNDS, SHARE, CHUNK, HELD_OUT = 2**17, 20_000, 2, 0.25, 1_000, 20
 PRIOR, ABOUT, KNOWN, SMOOTH, LEAST, COMMON, WRONG = 1.0, 3.5, 0.05, 3.0, 1.4, 0.2, 0.002
 _DENSE = "぀-ヿ㐀-鿿"
 _TOKEN = re.compile(f"[{_DENSE}]+|[^\\W\\d_{_DENSE}]{{2,}}")
@@ -63,7 +68,7 @@ def sentences(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids: list[int] = []
     starts, lines = [], []
     for n, line in enumerate(text.split("\n")):
-        if len(line) < 12 or line[0] in "|#":
+        if not line or line[0] in "|#":
             continue
         for s in _SENTENCE.findall(NAME.sub(" ", line)):
             got = features(s)
@@ -118,11 +123,14 @@ class Model:
 
     def __init__(self, counts: np.ndarray, subjects: list[str], common: np.ndarray, smooth: float = SMOOTH):
         self.subjects = subjects
-        k, total = len(subjects), counts.sum(axis=1, keepdims=True)
-        own = (counts[:, :k] + smooth / (k + 1)) / (total + smooth)
-        # log odds of the subject against all other text, beyond those of an unknown word; what says little says nothing
-        odds = np.log(own / (1 - own)) + np.log(k)
-        self.weights = np.where((total > 0.5) & (np.abs(odds) >= LEAST) & ~common[:, None], np.clip(odds, -4, 5), 0).astype(np.float32)
+        k = len(subjects)
+        total = counts.sum(axis=1, keepdims=True)
+        # likelihoods in the subject and in its complement but for the subject's size, which balancing makes the same for all: the complement has
+        # k times as much text. Both are smoothed by as much of the whole; what says little says nothing.
+        own = counts[:, :k] + smooth / (k + 1)
+        complement = (total - counts[:, :k] + smooth * k / (k + 1)) / k
+        weight = np.log(own) - np.log(complement)
+        self.weights = np.where((total > 0.5) & (np.abs(weight) >= LEAST) & ~common[:, None], np.clip(weight, -4, 5), 0).astype(np.float32)
         self.about, self.slope, self.middle = ABOUT, 20.0, SHARE
 
     def scores(self, b: Batch) -> np.ndarray:
@@ -155,7 +163,7 @@ def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         done = [sentences(t) for t in batch["text"]]
         parts = {c: pd.Series([d[i].astype(np.int32) for d in done], dtype=object) for i, c in enumerate(("ids", "starts", "lines"))}
-        yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "lang": batch["lang"].to_numpy(), **parts})
+        yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "lang": [named_language(x) or "" for x in batch["lang"]], **parts})
 
 
 def _counts(model: Model | None, subjects: list[str], scale: dict[str, np.ndarray]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -223,8 +231,10 @@ def common_places(rows: DataFrame, subjects: int) -> np.ndarray:
     """Whether a place stands in too many of the documents of some language to make a subject: more than ``COMMON``, or one and a half times an
     even part where the subjects are few. Counted over all documents."""
     counts = rows.select("lang", "ids", "starts", "lines").mapInPandas(_spread, "lang STRING, place BIGINT, n BIGINT").groupBy("lang", "place").agg(F.sum("n").alias("n"))
-    size = counts.where("place = -1").select("lang", F.col("n").alias("size")).where("size >= 20")
-    places = counts.where("place >= 0").join(size, "lang").where(F.col("n") > F.col("size") * max(COMMON, 1.5 / subjects)).select("place").distinct()
+    size = counts.where("place = -1").select("lang", F.col("n").alias("size"))
+    expected = F.col("size") * max(COMMON, 1.5 / subjects)
+    # by more than chance, so that the documents of a rare language do not make all their words common
+    places = counts.where("place >= 0").join(size, "lang").where(F.col("n") > expected + 2 * F.sqrt(expected)).select("place").distinct()
     out = np.zeros(FEATURES, bool)
     out[[r[0] for r in places.collect()]] = True  # at most FEATURES rows
     return out
@@ -263,6 +273,9 @@ def fit(rows: DataFrame, known: list[str], rounds: int = ROUNDS) -> Model:
     some = rows.where("labels IS NOT NULL")
     n = max(1, some.count())
     some = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(10**6)) < int(10**6 * min(1.0, LABELLED / n)))
+    last = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HELD_OUT)) == 0
+    held, some = some.where(last), some.where(~last)
+    rows = rows.withColumn("labels", F.when(~last, F.col("labels")))
     common = common_places(rows, len(known))
     # labels are wrong now and then: words that few labelled documents hold, as against all of them, must not start a subject
     smooth = SMOOTH + WRONG * min(n, LABELLED)
@@ -275,11 +288,11 @@ def fit(rows: DataFrame, known: list[str], rounds: int = ROUNDS) -> Model:
     for _ in range(rounds):
         counts, scale = _gather(rows, model, known, scale)
         model = Model(counts, known, common, smooth)
-    return calibrated(model, some)
+    return calibrated(model, held)
 
 
-def calibrated(model: Model, some: DataFrame) -> Model:
-    """Slope and middle of the sigmoid by a grid over the labelled documents' log loss."""
+def calibrated(model: Model, held: DataFrame) -> Model:
+    """Slope and middle of the sigmoid by a grid over the log loss of labelled documents that the model was not trained on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, b in (x for batch in batches for x in _chunks(batch)):
@@ -287,7 +300,7 @@ def calibrated(model: Model, some: DataFrame) -> Model:
             out = [(int(round(20 * x)), s in labels, 1) for labels, row in zip(part["labels"], share) for x, s in zip(row, model.subjects)]
             yield pd.DataFrame(out, columns=["bin", "label", "n"])
 
-    rows = some.mapInPandas(run, "bin INT, label BOOLEAN, n BIGINT").groupBy("bin", "label").agg(F.sum("n").alias("n")).collect()  # 42 rows at most
+    rows = held.mapInPandas(run, "bin INT, label BOOLEAN, n BIGINT").groupBy("bin", "label").agg(F.sum("n").alias("n")).collect()  # 42 rows at most
     best = None
     for slope in (5.0, 10.0, 20.0, 40.0):
         for middle in (0.1, 0.15, 0.2, 0.25, 0.3, 0.35):
