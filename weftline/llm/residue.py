@@ -162,7 +162,8 @@ def own_label(text: str, words: list[str]) -> tuple[str | None, bool, bool]:
             return "message", order or sentences >= 2, order
     latin = [w for w in words if w.isascii()]
     if len(latin) >= 4 and len(latin) == len(words):
-        if all(len(set(w)) == 1 for w in latin if w != "#") or (len(latin) >= 6 and _dull(latin) <= 0.5):
+        # one letter over and over, or words that repeat the word before
+        if all(len(set(w)) == 1 for w in latin if w != "#") or (len(latin) >= 6 and sum(map(str.__eq__, latin, latin[1:])) >= 0.3 * (len(latin) - 1)):
             return "filler", True, True
     return None, False, False
 
