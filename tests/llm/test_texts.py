@@ -88,6 +88,26 @@ def test_forms_level_names_dates_and_case():
     assert sitelines.forms("```python") == sitelines.forms("12 | 34") == sitelines.forms("") == []
 
 
+def test_hashes_of_forms_are_equal_where_forms_are():
+    lines = ["Posted on 3 September 2023 by Brimorus Vetelel", "POSTED ON 29 AUGUST 2024 BY ANNA SMITH", "A B C D", "ONE TWO THREE", "TWO THREE ONE TWO THREE", "one three", "x", "", "12"]
+    for a in lines:
+        assert len(sitelines.form_hashes(a)) == len(sitelines.forms(a))
+        for b in lines:
+            assert bool(set(sitelines.forms(a)) & set(sitelines.forms(b))) == bool(set(sitelines.form_hashes(a)) & set(sitelines.form_hashes(b)))
+    long = " ".join(f"WORD{chr(65 + i % 26)}{'ABCDEFGH'[i % 8]}" for i in range(200_000))
+    assert len(sitelines.form_hashes(long)) <= 200_000
+
+
+def test_blocks_and_blank_lines_inside_them_go(spark):
+    texts = [f"Own sentence {''.join(random.Random(i).choices('abcdefghij', k=9))}\n\nShare this page\n\n\nAll rights reserved\n\n12 | 34\n\nSend it on" for i in range(8)]
+    df = spark.createDataFrame([(f"d{i}", 1, "https://s.example/x", t) for i, t in enumerate(texts)], "doc_id STRING, version INT, final_url STRING, markdown STRING")
+    rows = sitelines.occurrences(df).where("doc_id = 'd0'").orderBy("line_no").collect()
+    assert [r["line_no"] for r in rows] == [3, 6, 10]
+    assert rows[0]["block"] == rows[1]["block"] != rows[2]["block"]  # the line of figures stands between
+    got = {r["doc_id"]: (r["removed"], r["markdown"]) for r in sitelines.cleaned(df).collect()}
+    assert got["d0"] == (3, texts[0].split("\n")[0] + "\n\n\n12 | 34\n")
+
+
 def test_site_lines_against_brute_force(spark):
     rng = random.Random(5)
     rows = []

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import mojibake, residue
-from weftline.llm.sitelines import MONTHS, NAME, forms
+from weftline.llm.sitelines import MONTHS, NAME, form
 from weftline.session import cut
 from weftline.sources.htmltree import INLINE, Element, parse
 from weftline.sources.pages import declared_charsets, marked
@@ -254,7 +254,7 @@ def kind(block: str, block_type: str | None, level: float | None) -> str | None:
 def wording(block: str) -> int:
     """Hash of a block without digits, dates, names, case and punctuation; headings of different levels differ."""
     level = m.group() if (m := re.match(r"#{1,6} ", block)) else ""
-    return xxhash.xxh3_64_intdigest(level + "\n".join(x[0] for x in map(forms, block.split("\n")) if x)) - 2**63
+    return xxhash.xxh3_64_intdigest(level + "\n".join(x for x in map(form, block.split("\n")) if x)) - 2**63
 
 
 def shared(clean: str, garbled: bool, known: np.ndarray) -> float | None:
