@@ -16,11 +16,51 @@ URLS = [
     ("https://example.com", "https://example.com/"),
     ("https://example.com/p?", "https://example.com/p"),
     ("https://example.com:8443/p?fbclid=1", "https://example.com:8443/p"),
+    ("https://example.com/p?UTM_Source=x&q=1", "https://example.com/p?q=1"),
+    ("https://example.com/p?a=1&&b=2", "https://example.com/p?a=1&&b=2"),
+    ("https://example.com/p?a&&b=x%20y&gclid=1", "https://example.com/p?a=&b=x+y"),
+    ("https://example.com/p?utm_=1&ref_srcx=2", "https://example.com/p?utm_=1&ref_srcx=2"),
+    ("https://example.com/p?FBCLID=1", "https://example.com/p"),
     ("no url", None),
     (None, None),
 ]
 
 
+PLAIN = [
+    ("**Bold** [link](https://x.test/a) `code` \\_x\\_ &amp; ![alt](i.png)", "bold link code x & alt"),
+    ("‘q’ “r” &quot;s&quot;", "'q' \"r\" \"s\""),
+    ("[![alt](i.png)](https://x.test) a\\.b \\[c\\]", "alt a.b [c]"),
+    ("&amp;lt; # A > b", "&lt; a b"),
+    ("", ""),
+    (None, None),
+]
+
+
+def test_plain_text(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PLAIN)], "i INT, t STRING")
+    assert [r[0] for r in df.orderBy("i").select(text.plain(F.col("t"))).collect()] == [w for _, w in PLAIN]
+
+
+def test_nearest_ranks_against_sorting(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice("abc") if i % 3 else "a", rng.choice([float(rng.randint(0, 40)), rng.random(), None])) for i in range(900)] + [("z", None)]
+    df = spark.createDataFrame(rows, "k STRING, v DOUBLE")
+    got = {r["k"]: (r["p50"], r["p95"]) for r in stats.nearest_ranks(df, ["k"], "v", {"p50": 0.5, "p95": 0.95}).collect()}
+    want = {}
+    for k in "abc":
+        values = sorted(v for g, v in rows if g == k and v is not None)
+        want[k] = tuple(values[math.ceil(p * len(values)) - 1] for p in (0.5, 0.95))
+    assert got == want
+    assert stats.nearest_ranks(df.limit(0), ["k"], "v", {"p50": 0.5}).count() == 0
+
+
+def test_pairs_of_repeated_rows(spark):
+    df = spark.createDataFrame([("l", 1, 2.0), ("l", 1, 4.0), ("r", 1, 1.0), ("r", 2, 5.0)], "s STRING, k INT, v DOUBLE")
+    assert sorted(tuple(r) for r in stats.paired(df, "s", "l", "r", ["k"], "v").select("k", "a", "b").collect()) == [(1, 3.0, 1.0), (2, None, 5.0)]
+    with pytest.raises(Exception, match="several rows of l for 1"):
+        stats.paired(df, "s", "l", "r", ["k"], "v", repeated="error").collect()
+
+
 def test_urls(spark):
     df = spark.createDataFrame([(u,) for u, _ in URLS], "u STRING")
     assert [r[0] for r in df.select(urls.normalize_url(F.col("u"))).collect()] == [w for _, w in URLS]

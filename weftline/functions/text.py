@@ -45,11 +45,19 @@ def parse_ref(ref: Column) -> Column:
     return F.when(ref.rlike(pattern), F.struct(part(1).alias("doc_id"), part(2).cast("int").alias("version"), part(3).alias("block_id")))
 
 
+# Entities and what they stand for.
+_ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "#39": "'", "nbsp": " "}
+
+
 def plain(markdown: Column) -> Column:
-    """Markdown as comparable lower-case text: images and links by their words, markup and quotes levelled."""
-    out = F.regexp_replace(markdown, r"!\[([^\]]*)\]\([^)]*\)", "$1")
-    out = F.regexp_replace(out, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " ")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    out = F.regexp_replace(out, r"[*_`#>|~]+", " ")
-    return F.lower(F.trim(F.regexp_replace(out, r"\s+", " ")))
+    """Markdown as comparable lower-case text: links and images by their words, escapes and markup gone, curly quotes straight."""
+    out = markdown
+    for _ in range(2):  # an image may stand inside a link
+        out = F.regexp_replace(out, r"!?\[([^\[\]]*)\]\([^)]*\)", "$1")
+    # an entity makes no new one, so the ampersand comes last
+    for name, char in reversed(_ENTITIES.items()):
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    # an escaped mark is still a mark, other escaped signs stay without their backslash
+    out = F.regexp_replace(out, r"\\?[*_`#>|~]", " ")
+    out = F.regexp_replace(out, r"\\([\\{}\[\]()+\-.!])", "$1")
+    return F.lower(F.trim(F.regexp_replace(F.translate(out, "‘’“”", "''\"\""), r"\s+", " ")))

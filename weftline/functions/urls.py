@@ -14,22 +14,33 @@ def site_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-# Query parameters that only track.
-TRACKING = r"^(?:utm_[^=]*|fbclid|gclid|mc_cid|mc_eid|_hsenc|_hsmi|ref_src)(?:=|$)"
+# Query parameters that only track, whatever their letter case.
+TRACKING = r"(?i)^(?:utm_[a-z]+|fbclid|gclid|mc_cid|mc_eid|_hsenc|_hsmi|ref_src)$"
 _PARTS = r"^\s*([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 # Extensions of files that are no pages.
 ASSET = r"(?i)\.(?:png|jpe?g|gif|webp|svg|ico|bmp|tiff?|mp[34]|m4a|webm|ogg|wav|avi|mov|mkv|zip|gz|tgz|bz2|xz|7z|rar|tar|exe|dmg|msi|deb|rpm|apk|iso|woff2?|ttf|otf|eot|css|js|mjs|map|wasm)$"
 
 
+def _rewritten(part: Column) -> Column:
+    """A query part as form encoding writes it: ``key=value``, both decoded and encoded again; a part that cannot be decoded stays."""
+    key, value = F.regexp_extract(part, "^([^=]*)", 1), F.regexp_extract(part, "^[^=]*=?(.*)$", 1)
+    return F.coalesce(F.concat(F.url_encode(F.try_url_decode(key)), F.lit("="), F.url_encode(F.try_url_decode(value))), part)
+
+
 def normalize_url(url: Column) -> Column:
-    """A URL in its normal form: scheme and host in lower case, no default port, fragment or tracking parameters, ``/`` for an empty path."""
+    """A URL in its normal form: scheme and host in lower case, no default port or fragment, ``/`` for an empty path.
+
+    A query with tracking parameters loses them, and what is left is written anew; any other query stays as it is, but for one that is empty.
+    """
     scheme = F.lower(F.regexp_extract(url, _PARTS, 1))
     host = F.lower(F.regexp_extract(url, _PARTS, 2))
     host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
-    path = F.regexp_extract(url, _PARTS, 3)
-    kept = F.filter(F.split(F.regexp_extract(url, _PARTS, 4), "&"), lambda p: (p != "") & ~p.rlike(TRACKING))
-    query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
-    return F.when(scheme != "", F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), query))
+    path, query = F.regexp_extract(url, _PARTS, 3), F.regexp_extract(url, _PARTS, 4)
+    parts = F.filter(F.split(query, "&"), lambda p: p != "")
+    tracks = lambda p: F.coalesce(F.try_url_decode(F.regexp_extract(p, "^([^=]*)", 1)), p).rlike(TRACKING)
+    kept = F.array_join(F.transform(F.filter(parts, lambda p: ~tracks(p)), _rewritten), "&")
+    left = F.when(F.exists(parts, tracks), kept).otherwise(query)
+    return F.when(scheme != "", F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(left != "", F.concat(F.lit("?"), left)).otherwise("")))
 
 
 def origin_of(url: Column) -> Column:

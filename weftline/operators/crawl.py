@@ -37,7 +37,7 @@ def counters(frontier: DataFrame) -> DataFrame:
     )
 
 
-def _numbered(rows: DataFrame, start: int) -> tuple[DataFrame, int]:
+def numbered(rows: DataFrame, start: int) -> tuple[DataFrame, int]:
     """``rows`` (node, at) with seq: their place by (at, node) after ``start``; and the last place.
 
     Rows are sorted into ranges and numbered within each; one count a range comes to the driver. No level goes through one task.
@@ -68,7 +68,7 @@ def breadth_first(edges: DataFrame, root: object, max_depth: int, max_pages: int
         if depth:
             near = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node"), F.col("seq").alias("parent"), "pos")
             near = near.join(known.select("node"), "node", "left_anti").groupBy("node").agg(F.min(F.struct("parent", "pos")).alias("at"))
-        new, last = _numbered(near, last)
+        new, last = numbered(near, last)
         new = new.select("node", F.lit(depth).alias("depth"), "seq")
         if max_pages is not None:
             new = new.where(F.col("seq") <= max_pages)

@@ -14,9 +14,6 @@ from weftline.session import cut
 from weftline.sources import pages as P
 from weftline.sources.tables import table
 
-_URL = r"^\s*([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
-
-
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "blocks").select("doc_id", "version", "idx", "block_id", "block_type", "level", "text", "markdown", "hash", "char_offset", "title").dropDuplicates(["doc_id", "version", "idx"])
 
@@ -252,14 +249,17 @@ def page_outlinks(spark, d):
     return pages.select("arrival", F.explode("outlinks").alias("target")).select("arrival", "target", U.site_of(F.col("target")).alias("site"))
 
 
+# The SQL has literals of its own: it checks the constants of the library, too.
+_URL = "^\\s*([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\\?([^#]*))?"
 _NORMALIZED = f"""
     SELECT url, CASE WHEN scheme <> '' THEN scheme || '://' ||
-        CASE WHEN scheme = 'http' THEN regexp_replace(host, ':80$', '') WHEN scheme = 'https' THEN regexp_replace(host, ':443$', '') ELSE host END ||
-        CASE WHEN path = '' THEN '/' ELSE path END ||
-        CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS normalized
-    FROM (SELECT url, lower(regexp_extract(url, '{_URL}', 1)) AS scheme, lower(regexp_extract(url, '{_URL}', 2)) AS host, regexp_extract(url, '{_URL}', 3) AS path,
-        list_filter(string_split(regexp_extract(url, '{_URL}', 4), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '{U.TRACKING}')) AS kept
-        FROM (SELECT DISTINCT url FROM crawl_urls))"""
+        CASE WHEN scheme = 'http' AND suffix(host, ':80') THEN host[:-4] WHEN scheme = 'https' AND suffix(host, ':443') THEN host[:-5] ELSE host END ||
+        CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN rest <> '' THEN '?' || rest ELSE '' END END AS normalized
+    FROM (SELECT *, CASE WHEN len(list_filter(parts, lambda p: tracked(p))) > 0
+            THEN array_to_string(list_transform(list_filter(parts, lambda p: NOT tracked(p)), lambda p: CASE WHEN contains(p, '=') THEN p ELSE p || '=' END), '&') ELSE query END AS rest
+        FROM (SELECT url, lower(regexp_extract(url, '{_URL}', 1)) AS scheme, lower(regexp_extract(url, '{_URL}', 2)) AS host, regexp_extract(url, '{_URL}', 3) AS path,
+            regexp_extract(url, '{_URL}', 4) AS query, list_filter(string_split(regexp_extract(url, '{_URL}', 4), '&'), lambda p: p <> '') AS parts
+            FROM (SELECT DISTINCT url FROM crawl_urls)))""".replace("tracked(p)", "(lower(split_part(p, '=', 1)) IN ('fbclid', 'gclid', 'mc_cid', 'mc_eid', '_hsenc', '_hsmi', 'ref_src') OR regexp_matches(split_part(p, '=', 1), '^(?i:utm)_[A-Za-z]+$'))")
 _B = "(SELECT DISTINCT doc_id, version, idx, block_id, block_type, level, text, markdown, hash, char_offset, title FROM blocks)"
 _V = "(SELECT DISTINCT doc_id, version, requested_url, final_url, http_status, content_type, title, content_hash, raw_hash, strategy, backend, markdown FROM versions)"
 _C = "(SELECT DISTINCT * FROM crawl_urls)"
@@ -300,16 +300,16 @@ SQL = {
         t AS (SELECT r.*, markdown, length(markdown)::BIGINT AS total, least(length(markdown), greatest(1, max_chars))::BIGINT AS hard FROM r JOIN {_V} v USING (doc_id, version)),
         e AS (SELECT request_id, markdown, total, CASE WHEN hard < total THEN coalesce((SELECT max(char_offset) FROM blocks b WHERE b.doc_id = t.doc_id AND b.version = t.version AND char_offset > 0 AND char_offset <= hard), hard) ELSE hard END AS stop FROM t)
         SELECT request_id, regexp_replace(substr(markdown, 1, stop), '\\n+$', '') AS slice, CASE WHEN stop < total THEN stop END AS next_offset, total AS total_chars, stop < total AS truncated FROM e""",
-    "window_blocks": f"SELECT request_id, block_id, char_offset FROM (SELECT DISTINCT request_id, doc_id, version, coalesce(max_chars, 24000) AS stop FROM slices WHERE version IS NOT NULL) JOIN {_B} USING (doc_id, version) WHERE char_offset + length(markdown) > 0 AND char_offset < stop",
+    "window_blocks": f"SELECT request_id, block_id, char_offset FROM (SELECT DISTINCT request_id, doc_id, version, coalesce(max_chars, 24000) AS stop FROM slices) s JOIN {_B} b ON b.doc_id = s.doc_id AND b.version = coalesce(s.version, (SELECT max(v.version) FROM versions v WHERE v.doc_id = s.doc_id AND v.markdown IS NOT NULL)) WHERE char_offset + length(markdown) > 0 AND char_offset < stop",
     "content_classify": f"SELECT arrival, CASE WHEN content_type ILIKE '%html%' THEN 'html' WHEN content_type ILIKE '%pdf%' THEN 'pdf' WHEN regexp_matches(content_type, '(?i)^text/|json|xml|javascript|markdown') THEN 'text' END AS kind, nullif(lower(regexp_extract(content_type_header, '(?i)charset\\s*=\\s*\"?([^\\s;\"]+)', 1)), '') AS header_charset FROM {_F}",
     "status_gate": f"SELECT arrival, http_status, CASE WHEN http_status NOT BETWEEN 200 AND 299 THEN 'http_error' END AS error, CASE WHEN http_status NOT BETWEEN 200 AND 299 THEN http_status = 429 OR http_status >= 500 END AS retryable FROM {_F}",
     "byte_limit": f"SELECT arrival, octet_length(body)::BIGINT AS bytes, octet_length(body) > 4096 AS truncated, least(octet_length(body), 4096)::BIGINT AS kept FROM {_F} WHERE body IS NOT NULL",
     "redirect_hops": f"SELECT arrival, i::INT AS hop, redirects[i].url AS url, redirects[i].status AS status FROM (SELECT arrival, redirects, unnest(generate_series(1, len(redirects))) AS i FROM {_F})",
     "markdown_links": f"SELECT doc_id, version, count(*) AS links, count(DISTINCT target) AS targets FROM (SELECT doc_id, version, unnest(regexp_extract_all(markdown, '\\[[^\\]\\n]*\\]\\(([^)\\s]+)\\)', 1)) AS target FROM {_V}) GROUP BY ALL",
     "heading_lines": f"SELECT doc_id, version, nth, heading FROM (SELECT doc_id, version, unnest(generate_series(1, len(h)))::INT AS nth, trim(regexp_replace(unnest(h), '^#{{1,6}} +| +#+ *$', '', 'g')) AS heading FROM (SELECT doc_id, version, list_filter(string_split(markdown, chr(10)), lambda x: regexp_matches(x, '^#{{1,6}} ')) AS h FROM {_V}))",
-    "quote_spans": f"SELECT b.doc_id, b.version, block_id, substr(v.markdown, char_offset + 1, 40) = substr(b.markdown, 1, 40) AS verified FROM {_B} b JOIN {_V} v ON b.doc_id = v.doc_id AND b.version = v.version WHERE length(b.markdown) >= 40",
+    "quote_spans": f"SELECT b.doc_id, b.version, block_id, substr(v.markdown, char_offset + 1, length(b.markdown)) = b.markdown AS verified FROM {_B} b JOIN {_V} v ON b.doc_id = v.doc_id AND b.version = v.version",
     "crawl_counters": f"SELECT crawl_id, count(*) FILTER (state IN ('done', 'failed')) AS fetched, count(*) FILTER (state = 'done') AS saved, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'skipped' AND reason = 'robots') AS skipped_robots, count(*) FILTER (state = 'skipped' AND reason = 'scope') AS skipped_scope, count(*) FILTER (state = 'queued') AS queued, count(*) AS known FROM {_C} GROUP BY crawl_id",
-    "crawl_scope": f"SELECT crawl_id, url, CASE WHEN NOT regexp_matches(url, '(?i)^\\s*https?://') THEN 'scheme' WHEN regexp_matches(regexp_extract(url, '{_URL}', 3), '{U.ASSET}') THEN 'asset' WHEN regexp_matches(regexp_extract(url, '{_URL}', 3) || regexp_extract(url, '(\\?[^#]*)', 1), '^/old/.*$') THEN 'exclude' END AS why, depth > 3 AS beyond_depth FROM {_C}",
+    "crawl_scope": f"SELECT crawl_id, url, CASE WHEN NOT regexp_matches(url, '(?i)^\\s*https?://') THEN 'scheme' WHEN regexp_matches(regexp_extract(url, '{_URL}', 3), '(?i)\\.(avi|apk|bmp|bz2|css|deb|dmg|eot|exe|gif|gz|ico|iso|jpe?g|js|m4a|map|mjs|mkv|mov|mp3|mp4|msi|ogg|otf|png|rar|rpm|svg|tar|tgz|tiff?|ttf|wasm|wav|webm|webp|woff2?|xz|zip|7z)$') THEN 'asset' WHEN regexp_matches(regexp_extract(url, '{_URL}', 3) || regexp_extract(url, '(\\?[^#]*)', 1), '^/old/.*$') THEN 'exclude' END AS why, depth > 3 AS beyond_depth FROM {_C}",
     "crawl_duplicates": f"SELECT crawl_id, url, first_url FROM (SELECT crawl_id, url, first_value(url) OVER (PARTITION BY crawl_id, content_hash ORDER BY seq, url) AS first_url FROM {_C} WHERE content_hash IS NOT NULL) WHERE url <> first_url",
     "crawl_frontier": f"SELECT crawl_id, url, turn::INT AS turn FROM (SELECT crawl_id, url, row_number() OVER (PARTITION BY crawl_id ORDER BY depth, seq, url) AS turn FROM {_C} WHERE state = 'queued') WHERE turn <= 10",
     "crawl_pacing": f"SELECT crawl_id, url, ((row_number() OVER (PARTITION BY crawl_id, lower(regexp_extract(url, '^\\s*([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) ORDER BY seq, url) - 1) * 500)::BIGINT AS start_ms FROM {_C}",
@@ -318,7 +318,6 @@ SQL = {
         SELECT crawl_id, count(e) AS expected, count(r) AS returned, count(*) FILTER (e = 1 AND r = 1) AS covered, count(*) FILTER (e = 1 AND r IS NULL) AS missing, count(*) FILTER (e IS NULL AND r = 1) AS unexpected, count(*) FILTER (f = 1 AND r = 1) AS forbidden_returned, round(CASE WHEN count(e) > 0 THEN count(*) FILTER (e = 1 AND r = 1) / count(e) END, 6) AS coverage
         FROM e FULL JOIN r USING (crawl_id, url) FULL JOIN f USING (crawl_id, url) GROUP BY crawl_id""",
     "crawl_dangling": f"SELECT crawl_id, url, doc_id FROM {_C} WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM versions)",
-    "crawl_breadth_first": "WITH RECURSIVE b(node, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT x, depth + 1 FROM (SELECT unnest([(node * 7 + 3) % 25, (node + 1) % 25]) AS x, depth FROM b WHERE depth < 3)) SELECT node, min(depth)::INT AS depth FROM b GROUP BY node",
     "site_documents": f"SELECT site, documents, locale, time_zone FROM (SELECT site, count(*) AS documents FROM (SELECT DISTINCT doc_id, {_SITE} AS site FROM versions) WHERE site IS NOT NULL GROUP BY site) LEFT JOIN (SELECT host AS site, locale, time_zone FROM sites) USING (site)",
     "citations": f"SELECT 'fk:' || b.doc_id || '@' || b.version || '#' || block_id AS ref, final_url, v.title AS version_title, text AS quote FROM {_B} b JOIN {_V} v ON b.doc_id = v.doc_id AND b.version = v.version WHERE block_type = 'heading'",
 }

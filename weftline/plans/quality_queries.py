@@ -72,7 +72,9 @@ def duplicate_texts(spark, d):
 
 
 def latency_ranks(spark, d):
-    return _events(spark, d).groupBy("event_type").agg(*[A.nearest_rank("value", p).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))], F.count("*").alias("n"))
+    e = _events(spark, d)
+    counts = e.groupBy("event_type").agg(F.count("*").alias("n"))
+    return A.nearest_ranks(e, ["event_type"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}).join(counts, "event_type")
 
 
 def outcome_rates(spark, d):
@@ -83,7 +85,8 @@ def outcome_rates(spark, d):
 def first_vs_warm(spark, d):
     by = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
     e = _events(spark, d).withColumn("rep", F.row_number().over(by))
-    return e.groupBy("event_type").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value) FILTER (WHERE rep = 1)").alias("first_p50"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value) FILTER (WHERE rep >= 2)").alias("warm_p50"))
+    ranks = A.nearest_ranks(e.withColumn("first", F.col("rep") == 1), ["event_type", "first"], "value", {"p50": 0.5})
+    return ranks.groupBy("event_type").agg(F.max(F.when(F.col("first"), F.col("p50"))).alias("first_p50"), F.max(F.when(~F.col("first"), F.col("p50"))).alias("warm_p50"))
 
 
 def split_groups(spark, d):
@@ -159,7 +162,9 @@ def task_generation(spark, d):
 
 def strategy_rates(spark, d):
     v = table(spark, d, "versions").select("doc_id", "version", "strategy", "backend", "http_status", F.length("markdown").alias("chars")).distinct()
-    return v.groupBy("strategy", "backend").agg(F.count("*").alias("n"), F.round(F.avg((F.col("http_status") < 300).cast("double")), 6).alias("ok_rate"), A.nearest_rank("chars", 0.5).alias("median_chars"))
+    v = v.fillna("", ["strategy", "backend"])
+    rates = v.groupBy("strategy", "backend").agg(F.count("*").alias("n"), F.round(F.avg((F.col("http_status") < 300).cast("double")), 6).alias("ok_rate"))
+    return rates.join(A.nearest_ranks(v, ["strategy", "backend"], "chars", {"median_chars": 0.5}), ["strategy", "backend"], "left")
 
 
 def stemmed_terms(spark, d):
@@ -223,10 +228,10 @@ SQL = {
         WITH g AS (SELECT k, event_type, count(*) AS n FROM {_E} GROUP BY ALL), r AS (SELECT *, max(n) OVER (PARTITION BY k) AS best, nth_value(n, 2) OVER (PARTITION BY k ORDER BY n DESC, event_type ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM g)
         SELECT k, string_agg(event_type, ',' ORDER BY event_type) AS leaders, max(best) AS best, max(best - second) AS margin FROM r WHERE n = best GROUP BY k""",
     "bootstrap_interval": f"""
-        WITH o AS (SELECT user_id % 20 AS case_id, floor(value * 100)::DOUBLE AS value FROM events WHERE event_type = 'purchase'),
+        WITH o AS (SELECT user_id AS case_id, floor(value * 100)::DOUBLE AS value FROM events WHERE event_type = 'purchase'),
         s AS (SELECT case_id, sum(value) AS total, count(*) AS n, row_number() OVER (ORDER BY case_id) - 1 AS pick FROM o GROUP BY case_id),
         c AS (SELECT count(*)::BIGINT AS cases FROM s),
-        r AS (SELECT id // cases AS draw, cases, ((424242 + (id + 1) * 1831565813) & 4294967295)::BIGINT AS s FROM c, (SELECT unnest(range(0, 200 * 20)) AS id) WHERE id < 200 * cases),
+        r AS (SELECT id // cases AS draw, cases, ((424242 + (id + 1) * 1831565813) & 4294967295)::BIGINT AS s FROM c, (SELECT unnest(range(0, 2000 * (SELECT count(*) FROM s))) AS id)),
         t1 AS (SELECT draw, cases, {_mul("xor(s, s >> 15)", "(s | 1)")} AS t FROM r),
         t2 AS (SELECT draw, cases, xor(t, (t + {_mul("xor(t, t >> 7)", "(t | 61)")}) & 4294967295) AS t FROM t1),
         p AS (SELECT draw, floor(xor(t, t >> 14) / 4294967296.0::DOUBLE * cases)::BIGINT AS pick FROM t2),
@@ -243,5 +248,5 @@ SQL = {
         u AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id, version ORDER BY idx) AS until FROM l),
         b AS (SELECT *, until - length(line) - 1 AS before FROM u)
         SELECT doc_id, version, count(*) AS lines, sum(least(length(line), 1000 - before))::BIGINT AS chars FROM b WHERE until <= 1001 OR (1000 - before > length(block_id) + 3 AND before <= 1000) GROUP BY ALL""",
-    "strategy_rates": "SELECT strategy, backend, count(*) AS n, round(avg((http_status < 300)::INT), 6) AS ok_rate, quantile_disc(chars, 0.5)::INT AS median_chars FROM (SELECT DISTINCT doc_id, version, strategy, backend, http_status, length(markdown) AS chars FROM versions) GROUP BY ALL",
+    "strategy_rates": "SELECT coalesce(strategy, '') AS strategy, coalesce(backend, '') AS backend, count(*) AS n, round(avg((http_status < 300)::INT), 6) AS ok_rate, quantile_disc(chars, 0.5)::INT AS median_chars FROM (SELECT DISTINCT doc_id, version, strategy, backend, http_status, length(markdown) AS chars FROM versions) GROUP BY ALL",
 }
