@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,9 +53,71 @@ def resolve(urls: DataFrame, versions: DataFrame, aliases: DataFrame) -> DataFra
     return joined.select("url", F.coalesce("direct", "alias").alias("doc_id"), how.alias("how"))
 
 
-def retained(versions: DataFrame, keep: int) -> DataFrame:
-    """Versions that stay when the newest ``keep`` version numbers of each document do."""
-    return versions.join(latest(versions), "doc_id").where(F.col("version") > F.col("latest_version") - keep)
+def retained(versions: DataFrame, keep: int | None = None, older_than: str | None = None) -> DataFrame:
+    """Versions that stay: the newest ``keep`` version numbers of each document (one at least), and of the others none fetched before
+    ``older_than``; both texts are compared as they are. The latest version stays whatever its age."""
+    j = versions.join(latest(versions), "doc_id")
+    if keep is not None:
+        j = j.where(F.col("version") > F.col("latest_version") - max(1, keep))
+    if older_than is not None:
+        j = j.where((F.col("version") == F.col("latest_version")) | F.coalesce(F.col("fetched_at") >= older_than, F.lit(True)))
+    return j
+
+
+def dropped_snapshots(versions: DataFrame, mode: str) -> DataFrame:
+    """Versions with ``snapshot_hash`` nulled: of ``all`` versions or of the ``old`` ones, which are not the latest."""
+    if mode not in ("all", "old"):
+        raise ValueError("invalid_argument: mode must be all or old")
+    j = versions.join(latest(versions), "doc_id")
+    gone = F.lit(True) if mode == "all" else F.col("version") < F.col("latest_version")
+    return j.withColumn("snapshot_hash", F.when(~gone, F.col("snapshot_hash"))).drop("latest_version", "versions")
+
+
+def deleted(tables: dict[str, DataFrame], targets: DataFrame) -> dict[str, DataFrame]:
+    """Each table without the rows of the target documents (doc_id), and snapshots (``raw_hash``) without those that no version is left of."""
+    gone = targets.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    out = {name: t.join(gone, "doc_id", "left_anti") for name, t in tables.items() if name != "snapshots"}
+    if "snapshots" in tables:
+        out["snapshots"] = tables["snapshots"].join(out["versions"].where("raw_hash IS NOT NULL").select("raw_hash").distinct(), "raw_hash", "left_semi")
+    return out
+
+
+def upserted(fetches: DataFrame, keep_snapshots: str = "all") -> dict[str, DataFrame]:
+    """The stored tables after all fetches in order of arrival: versions (numbered by change), aliases (requested addresses that led elsewhere, first
+    wins) and snapshots (one body a hash, first wins; ``latest`` keeps those of each document's last version only, ``none`` none)."""
+    own = fetches.dropDuplicates(["arrival"])
+    versions = version_islands(own.select("final_url", "raw_hash", "arrival"), "final_url", "raw_hash", "arrival")
+    aliases = first_wins(own.where("requested_url <> final_url").select(F.col("requested_url").alias("url"), F.col("final_url").alias("target"), "arrival"), ["url"], "arrival").select("url", "target")
+    bodies = own.where("raw_hash IS NOT NULL AND body IS NOT NULL").select("raw_hash", "content_type", "body", "arrival")
+    snapshots = first_wins(bodies, ["raw_hash"], "arrival").drop("arrival")
+    if keep_snapshots == "latest":
+        last = versions.groupBy("final_url").agg(F.max_by("raw_hash", "version").alias("raw_hash")).select("raw_hash").distinct()
+        snapshots = snapshots.join(last, "raw_hash", "left_semi")
+    elif keep_snapshots == "none":
+        snapshots = snapshots.limit(0)
+    return {"versions": versions, "aliases": aliases, "snapshots": snapshots}
+
+
+def selection(text: str) -> list[tuple[int, int]]:
+    """Ranges of block numbers of a selection such as ``b3``, ``b3-b7`` or ``b2,b5,b10-b9``; anything else is an error."""
+    out = []
+    for part in text.split(","):
+        m = re.fullmatch(r"\s*b?(\d+)\s*(?:-\s*b?(\d+))?\s*", part)
+        if not m:
+            raise ValueError(f"invalid_argument: no block selection: {part!r}")
+        a = int(m.group(1))
+        b = int(m.group(2) or a)
+        out.append((min(a, b), max(a, b)))
+    return out
+
+
+def selected_blocks(blocks: DataFrame, text: str) -> DataFrame:
+    """Blocks whose number is in a selection, by range tests."""
+    number = F.regexp_extract("block_id", r"^b(\d+)$", 1).try_cast("bigint")
+    inside = F.lit(False)
+    for a, b in selection(text):
+        inside = inside | number.between(a, b)
+    return blocks.where(inside)
 
 
 def orphans(snapshots: DataFrame, versions: DataFrame, key: str = "raw_hash") -> DataFrame:
@@ -69,14 +133,20 @@ def export_nested(versions: DataFrame, blocks: DataFrame) -> DataFrame:
     return versions.join(nested, ["doc_id", "version"], "left")
 
 
+def raw_text(body: Column) -> Column:
+    """A body in base64, on one line."""
+    return F.translate(F.base64(body), "\r\n", "")
+
+
 def slice_bounds(requests: DataFrame, texts: DataFrame, blocks: DataFrame) -> DataFrame:
-    """First slice of each request: its end snaps back to the last block boundary inside the window, where there is one."""
-    total = F.length("markdown").cast("bigint")
-    r = requests.join(texts, ["doc_id", "version"]).withColumn("total_chars", total).withColumn("hard_end", F.least("total_chars", F.greatest(F.lit(1), F.col("max_chars")).cast("bigint")))
+    """The slice of each request from its ``offset`` on (0 where there is no such column or it is null): its end snaps back to the last block boundary
+    inside the window, where there is one. Offsets are kept within the text; a slice is truncated when anything stands before or after it."""
+    offset = F.coalesce(F.col("offset"), F.lit(0)) if "offset" in requests.columns else F.lit(0)
+    r = requests.join(texts, ["doc_id", "version"]).withColumn("total_chars", F.length("markdown").cast("bigint"))
+    r = r.withColumn("start", F.greatest(F.lit(0), F.least(offset, F.col("total_chars"))).cast("bigint")).withColumn("hard_end", F.least(F.col("total_chars"), F.col("start") + F.greatest(F.lit(1), F.col("max_chars"))))
     starts = blocks.groupBy("doc_id", "version").agg(F.collect_set("char_offset").alias("offsets"))
     r = r.join(starts, ["doc_id", "version"], "left")
-    inside = F.array_max(F.filter("offsets", lambda o: (o > 0) & (o <= F.col("hard_end"))))
-    end = F.when(F.col("hard_end") < F.col("total_chars"), F.coalesce(inside, F.col("hard_end"))).otherwise(F.col("hard_end"))
-    r = r.withColumn("end", end)
-    text = F.regexp_replace(F.expr("substring(markdown, 1, cast(end AS int))"), r"\n+$", "")
-    return r.select("request_id", text.alias("slice"), F.when(F.col("end") < F.col("total_chars"), F.col("end")).alias("next_offset"), "total_chars", (F.col("end") < F.col("total_chars")).alias("truncated"))
+    inside = F.array_max(F.filter("offsets", lambda o: (o > F.col("start")) & (o <= F.col("hard_end"))))
+    r = r.withColumn("end", F.when(F.col("hard_end") < F.col("total_chars"), F.coalesce(inside, F.col("hard_end"))).otherwise(F.col("hard_end")))
+    text = F.regexp_replace(F.expr("substring(markdown, cast(start + 1 AS int), cast(end - start AS int))"), r"\n+$", "")
+    return r.select("request_id", text.alias("slice"), F.when(F.col("end") < F.col("total_chars"), F.col("end")).alias("next_offset"), "total_chars", ((F.col("start") > 0) | (F.col("end") < F.col("total_chars"))).alias("truncated"))

@@ -79,6 +79,133 @@ def breadth_first(edges: DataFrame, root: object, max_depth: int, max_pages: int
     return known
 
 
+def crawled(
+    pages: DataFrame,
+    links: DataFrame,
+    root: str | None,
+    sitemap: DataFrame | None = None,
+    rules: DataFrame | None = None,
+    *,
+    max_pages: int = 100,
+    max_depth: int = 3,
+    same_origin: bool = True,
+    include: tuple[str, ...] = (),
+    exclude: tuple[str, ...] = (),
+    resume: DataFrame | None = None,
+) -> tuple[DataFrame, dict[str, int | str]]:
+    """(frontier, counts and stop reason) of a bounded breadth-first crawl over stored pages.
+
+    ``pages`` has url, ok, error, final_url, doc_id and content_hash (one row each), ``links`` src, dst and pos, ``sitemap`` url and position,
+    ``rules`` what ``robots.rules`` gives; all URLs are in normal form. The frontier has url, depth, seq, source, state, reason, doc_id and
+    content_hash. The start has depth 0 and pages of the sitemap depth 1; pages are taken by (depth, seq) while the budget lasts; a link is considered
+    once, in the order of its page and place: out of scope and too deep ones are counted, those that robots refuse are kept as skipped. The target of
+    a redirect is the same page and is not taken again. With ``resume``, a frontier, the same budget goes on where it stopped.
+    """
+    from weftline.sources.robots import allowed
+
+    spark = pages.sparkSession
+    row = "url STRING, depth INT, seq BIGINT, source STRING, state STRING, reason STRING, doc_id STRING, content_hash STRING"
+    counts = {"skipped_scope": 0, "beyond_depth": 0}
+    frontier = cut(resume.select(*[c.split()[0] for c in row.split(", ")])) if resume is not None else spark.createDataFrame([], row)
+    last = (frontier.agg(F.max("seq")).first()[0] or 0) if resume is not None else 0
+    start = root if root is not None else frontier.orderBy("seq").first()["url"]
+
+    def considered(found: DataFrame, depth: int) -> None:
+        """Adds (url, at, source) to the frontier."""
+        nonlocal frontier, last
+        new = found.where("url IS NOT NULL").join(frontier.select("url"), "url", "left_anti")
+        why = scope_reason(F.col("url"), start if same_origin else None, include, exclude)
+        new = cut(new.withColumn("why", why))
+        counts["skipped_scope"] += new.where("why IS NOT NULL").count()
+        new = new.where("why IS NULL")
+        if depth > max_depth:
+            counts["beyond_depth"] += new.count()
+            return
+        one = new.groupBy("url").agg(F.min(F.struct("at", "source")).alias("x")).select(F.col("url").alias("node"), "x.at", "x.source")
+        if rules is not None:
+            one = allowed(one.withColumnRenamed("node", "url"), rules).withColumnRenamed("url", "node")
+        else:
+            one = one.withColumn("allowed", F.lit(True))
+        placed, last = numbered(one, last)
+        state = F.when(F.col("allowed"), "queued").otherwise("skipped")
+        none = F.lit(None).cast("string")
+        frontier = cut(frontier.unionByName(placed.select(F.col("node").alias("url"), F.lit(depth).alias("depth"), "seq", "source", state.alias("state"), F.when(~F.col("allowed"), "robots").alias("reason"), none.alias("doc_id"), none.alias("content_hash"))))
+
+    if resume is None:
+        considered(spark.range(1).select(F.lit(root).alias("url"), F.struct(F.lit(0).cast("bigint").alias("parent"), F.lit(0).alias("pos")).alias("at"), F.lit("start").alias("source")), 0)
+        if sitemap is not None:
+            considered(sitemap.select("url", F.struct(F.lit(0).cast("bigint").alias("parent"), F.col("position").cast("int").alias("pos")).alias("at"), F.lit("sitemap").alias("source")), 1)
+    budget = max_pages - frontier.where("(state = 'done' AND source <> 'redirect') OR state = 'failed'").count()
+    page = pages.select(F.col("url").alias("p_url"), F.col("ok").alias("p_ok"), F.col("error").alias("p_error"), F.col("final_url").alias("p_final"), F.col("doc_id").alias("p_doc"), F.col("content_hash").alias("p_hash"))
+    for depth in range(max_depth + 1):
+        waiting = frontier.where((F.col("state") == "queued") & (F.col("depth") == depth))
+        if budget <= 0:
+            break
+        level, n = numbered(waiting.select(F.col("url").alias("node"), F.col("seq").alias("at")), 0)
+        level = level.where(F.col("seq") <= budget).select(F.col("node").alias("url"), F.col("at").alias("from"))
+        got = cut(level.join(page, F.col("url") == F.col("p_url"), "left"))
+        budget -= min(n, budget)
+        if n == 0:
+            continue
+        # the target of a redirect is done, too, unless it was taken already
+        target = got.where("p_ok AND p_final IS NOT NULL AND p_final <> url").groupBy(F.col("p_final").alias("t_url")).agg(F.min_by(F.struct("url", "p_doc", "p_hash"), "from").alias("t"), F.min("from").alias("t_from"))
+        f = frontier.join(got.select(F.col("url").alias("g_url"), "p_ok", "p_error", "p_doc", "p_hash"), F.col("url") == F.col("g_url"), "left").join(target, F.col("url") == F.col("t_url"), "left")
+        taken, led = F.col("g_url").isNotNull(), F.col("t_url").isNotNull() & (F.col("state") == "queued") & F.col("g_url").isNull()
+        f = f.select(
+            "url", "depth", "seq", "source",
+            F.when(taken, F.when(F.coalesce("p_ok", F.lit(False)), "done").otherwise("failed")).when(led, "done").otherwise(F.col("state")).alias("state"),
+            F.when(taken, F.when(~F.coalesce("p_ok", F.lit(False)), F.coalesce("p_error", F.lit("not_found")))).when(led, F.concat(F.lit("redirect_from "), F.col("t.url"))).otherwise(F.col("reason")).alias("reason"),
+            F.when(taken, F.when(F.col("p_ok"), F.col("p_doc"))).when(led, F.col("t.p_doc")).otherwise(F.col("doc_id")).alias("doc_id"),
+            F.when(taken, F.when(F.col("p_ok"), F.col("p_hash"))).when(led, F.col("t.p_hash")).otherwise(F.col("content_hash")).alias("content_hash"),
+        )
+        frontier = cut(f)
+        unknown = target.join(frontier.select(F.col("url").alias("t_url")), "t_url", "left_anti")
+        placed, last = numbered(unknown.select(F.col("t_url").alias("node"), F.col("t_from").alias("at"), "t"), last)
+        frontier = cut(frontier.unionByName(placed.select(F.col("node").alias("url"), F.lit(depth).alias("depth"), "seq", F.lit("redirect").alias("source"), F.lit("done").alias("state"), F.concat(F.lit("redirect_from "), F.col("t.url")).alias("reason"), F.col("t.p_doc").alias("doc_id"), F.col("t.p_hash").alias("content_hash"))))
+        found = got.where("p_ok").join(links, F.coalesce("p_final", "url") == F.col("src"))
+        considered(found.select(F.col("dst").alias("url"), F.struct(F.col("from").alias("parent"), F.col("pos").cast("int").alias("pos")).alias("at"), F.col("url").alias("source")), depth + 1)
+    # the same content under another document is a duplicate of the first that had it
+    first = frontier.where("state = 'done' AND content_hash IS NOT NULL AND source <> 'redirect'").groupBy("content_hash").agg(F.min_by(F.struct("url", "doc_id"), "seq").alias("first"))
+    frontier = frontier.join(first, "content_hash", "left")
+    copy = (F.col("state") == "done") & (F.col("source") != "redirect") & (F.col("first.doc_id") != F.col("doc_id"))
+    frontier = cut(frontier.withColumn("reason", F.when(F.coalesce(copy, F.lit(False)), F.concat(F.lit("duplicate_of "), F.col("first.url"))).otherwise(F.col("reason"))).select(*[c.split()[0] for c in row.split(", ")]))
+    tally = {r["k"]: r["n"] for r in frontier.select(F.when(F.col("reason") == "robots", "skipped_robots").when(F.col("reason").startswith("duplicate_of "), "duplicates").otherwise(F.col("state")).alias("k")).groupBy("k").agg(F.count("*").alias("n")).collect()}
+    failed_root = frontier.where("depth = 0 AND source = 'start' AND state = 'failed'").count() > 0
+    queued = tally.get("queued", 0)
+    stop = "root_failed" if failed_root else "page_limit" if queued else "depth_limit" if counts["beyond_depth"] else "exhausted"
+    return frontier, {**counts, "skipped_robots": tally.get("skipped_robots", 0), "duplicates": tally.get("duplicates", 0), "failed": tally.get("failed", 0), "queued": queued, "stop_reason": stop}
+
+
+def resolved_redirects(hops: DataFrame, most: int = 10) -> DataFrame:
+    """(url, final, hops, error) of each address that redirects: followed over redirects(src, dst), at most ``most`` times.
+
+    ``error`` is ``loop`` for a chain that comes back to an address it passed, ``too_many`` for one that is longer; ``final`` is null then.
+    """
+    step = cut(hops.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").groupBy("src").agg(F.min("dst").alias("dst")))
+    at = step.select(F.col("src").alias("url"), F.col("dst").alias("final"), F.lit(1).alias("hops"), F.array("src").alias("passed"))
+    done = None
+    for _ in range(most):
+        j = cut(at.join(step, F.col("final") == F.col("src"), "left").withColumn("loop", F.array_contains("passed", F.col("final"))))
+        none = F.lit(None).cast("string")
+        ended = j.where("src IS NULL OR loop").select("url", F.when(~F.col("loop"), F.col("final")).alias("final"), "hops", F.when(F.col("loop"), "loop").alias("error"))
+        done = ended if done is None else done.unionByName(ended)
+        at = j.where("src IS NOT NULL AND NOT loop").select("url", F.col("dst").alias("final"), (F.col("hops") + 1).alias("hops"), F.concat("passed", F.array("src")).alias("passed"))
+        if at.isEmpty():
+            return done
+    return done.unionByName(at.select("url", none.alias("final"), "hops", F.lit("too_many").alias("error")))
+
+
+def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node) of all nodes below the roots in parent(node, parent), the roots included; whatever the depth, cycles end."""
+    known = cut(roots.select("node").where("node IS NOT NULL").distinct())
+    front = known
+    while True:
+        new = cut(edges.join(front.select(F.col("node").alias("parent")), "parent", "left_semi").select("node").distinct().join(known, "node", "left_anti"))
+        if new.isEmpty():
+            return known
+        known, front = cut(known.unionByName(new)), new
+
+
 def redirect_hops(fetches: DataFrame) -> DataFrame:
     """(arrival, hop, url, status): the redirects of each fetch in order."""
     one = fetches.select("arrival", "redirects").dropDuplicates(["arrival"])

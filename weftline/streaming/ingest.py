@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def append_versions(batch: DataFrame, path: str) -> None:
-    """Appends the batch's new versions to the Parquet table at ``path``, numbered after the stored ones; unchanged content adds nothing.
+def append_versions(batch: DataFrame, path: str, batch_id: int = 0) -> None:
+    """Writes the batch's new versions below ``path``, numbered after the stored ones; unchanged content adds nothing.
 
-    The batch is read once for its documents and once to be written; the stored table is reduced to each document's latest version first.
+    Each batch has a folder of its own, which a second delivery of the same batch writes again, so nothing is counted twice. Of the stored table
+    only the rows of the batch's documents are reduced to their latest version.
     """
     spark = batch.sparkSession
     rows = batch.where("final_url IS NOT NULL AND raw_hash IS NOT NULL").select("final_url", "raw_hash", "arrival").dropDuplicates(["arrival"])
     try:
-        stored = spark.read.parquet(path)
+        stored = spark.read.parquet(path).where(F.col("batch") < batch_id).join(rows.select("final_url").distinct(), "final_url", "left_semi")
         last = stored.groupBy("final_url").agg(F.max_by("raw_hash", "version").alias("last_hash"), F.max("version").alias("last_version"))
         rows = rows.join(last, "final_url", "left")
     except Exception as error:  # the first batch finds no table
@@ -26,11 +27,11 @@ def append_versions(batch: DataFrame, path: str) -> None:
     before = F.coalesce(F.lag("raw_hash").over(by), F.col("last_hash"))
     rows = rows.withColumn("new", F.coalesce((F.col("raw_hash") != before).cast("int"), F.lit(1)))
     number = F.coalesce(F.col("last_version"), F.lit(0)) + F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))
-    rows.withColumn("version", number.cast("int")).where("new = 1").select("final_url", "version", "raw_hash", "arrival").write.mode("append").parquet(path)
+    rows.withColumn("version", number.cast("int")).where("new = 1").select("final_url", "version", "raw_hash", "arrival").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(lambda batch, _: append_versions(batch, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda batch, number: append_versions(batch, path, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
