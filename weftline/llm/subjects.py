@@ -35,28 +35,21 @@ _DENSE = "぀-ヿ㐀-鿿"
 _TOKEN = re.compile(f"[{_DENSE}]+|[^\\W\\d_{_DENSE}]{{2,}}")
 _IS_DENSE = re.compile(f"[{_DENSE}]")
 _SENTENCE = re.compile(r"[^.!?。！？…]+[.!?。！？…]+[\"”’»)*_`]*")
+_END = re.compile(r"[.!?。！？…]")
 _FENCE = re.compile(r"(?ms)^[ \t]*(?:```|~~~).*?(?:^[ \t]*(?:```|~~~)[ \t]*$|\Z)")
 _TARGET = re.compile(r"\]\([^)\s]*\)")
 _PLACES: dict[str, int] = {}
 
 
-def _place(word: str) -> int:
-    got = _PLACES.get(word)
-    if got is None:
-        if len(_PLACES) > 500_000:
-            _PLACES.clear()
-        got = _PLACES[word] = xxhash.xxh32_intdigest(word) % FEATURES
-    return got
-
-
 def features(text: str) -> list[int]:
-    out = []
-    for w in _TOKEN.findall(text.lower()):
-        if _IS_DENSE.match(w):
-            out += [_place(w[i : i + 2]) for i in range(max(1, len(w) - 1))]
-        else:
-            out.append(_place(w))
-    return out
+    words = _TOKEN.findall(text.lower())
+    if not text.isascii() and _IS_DENSE.search(text):
+        words = [x for w in words for x in ([w[i : i + 2] for i in range(max(1, len(w) - 1))] if _IS_DENSE.match(w) else (w,))]
+    if len(_PLACES) > 500_000:
+        _PLACES.clear()
+    for w in set(words).difference(_PLACES):
+        _PLACES[w] = xxhash.xxh32_intdigest(w) % FEATURES
+    return [_PLACES[w] for w in words]
 
 
 def sentences(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,7 +61,7 @@ def sentences(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids: list[int] = []
     starts, lines = [], []
     for n, line in enumerate(text.split("\n")):
-        if not line or line[0] in "|#":
+        if not line or line[0] in "|#" or not _END.search(line):
             continue
         for s in _SENTENCE.findall(NAME.sub(" ", line)):
             got = features(s)
