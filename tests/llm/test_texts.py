@@ -64,7 +64,7 @@ def test_replacement_characters_are_found_but_not_restored():
 @given(st.text(alphabet="ab .\n#-|`é̀‍漢\t1", max_size=400), st.integers(1, 60), st.integers(0, 70))
 @settings(max_examples=300)
 def test_pieces_fit_and_make_up_the_text(text, limit, overlap):
-    got = splitter.pieces_of(text, limit, overlap)
+    got = list(splitter.pieces_of(text, limit, overlap))
     keep = min(overlap, limit - 1)
     assert all(len(p) <= limit for p, _, _ in got)
     assert "".join(p[min(keep, a) :] for p, a, _ in got) == text
@@ -77,8 +77,35 @@ def test_pieces_fit_and_make_up_the_text(text, limit, overlap):
 def test_cuts_fall_on_the_highest_boundary():
     text = "# A\n\nOne. Two.\n\n# B\n\nThree. Four.\n"
     assert [p for p, _, _ in splitter.pieces_of(text, 22, 0)] == ["# A\n\nOne. Two.\n\n", "# B\n\nThree. Four.\n"]
-    assert splitter.pieces_of(text, None, None) == [(text, 0, None)]
-    assert splitter.pieces_of("", 5, 0) == [("", 0, None)]
+    assert list(splitter.pieces_of(text, None, None)) == [(text, 0, None)]
+    assert list(splitter.pieces_of("", 5, 0)) == [("", 0, None)]
+
+
+def test_large_sections_are_not_mixed_with_their_neighbours():
+    section = lambda name, n: f"## {name}\n\n" + "\n\n".join(f"{name} block {i} with a few words." for i in range(n)) + "\n\n"
+    text = section("A", 2) + section("B", 8) + section("C", 1) + section("D", 1)
+    got = [p for p, _, _ in splitter.pieces_of(text, 100, 0)]
+    assert got[0] == section("A", 2) and got[-1] == section("C", 1) + section("D", 1)
+    assert got[1].startswith("## B\n\nB block 0") and all(p.startswith("B block") for p in got[2:-1])
+
+
+def test_nested_lists_are_cut_between_items():
+    items = [f"- item {i} of the list\n" + "".join(f"  - part {j} of item {i}\n" for j in range(5)) for i in range(3)]
+    got = [p for p, _, _ in splitter.pieces_of("".join(items), 130, 0)]
+    assert got == items
+    parts = [p for p, _, _ in splitter.pieces_of(items[0], 60, 0)]
+    assert all(p.lstrip().startswith("- ") for p in parts) and "".join(parts) == items[0] and len(parts) == 3
+
+
+def test_pieces_with_much_overlap_are_streamed():
+    text = "word " * 100_000
+    got = splitter.pieces_of(text, 1_000, 999)
+    assert len(next(got)[0]) == 1_000 and len(next(got)[0]) <= 1_000
+    import pandas as pd
+
+    batch = pd.DataFrame([(1, "d", 1, "word " * 4_000, 1_000, 999)], columns=["request_id", "doc_id", "version", "markdown", "max_chars", "overlap_chars"])
+    frames = list(splitter._batches(iter([batch])))
+    assert len(frames) > 2 and sum(map(len, frames)) == len(list(splitter.pieces_of("word " * 4_000, 1_000, 999)))
 
 
 def test_forms_level_names_dates_and_case():

@@ -1,7 +1,8 @@
 """Cut items above a size limit at natural boundaries, with a given overlap.
 
-A text is parsed into a tree: sections by heading level, blocks, list items or table rows or lines, sentences, words. Sibling subtrees are merged
-bottom-up while they fit; only a node above the limit is descended into, so a cut falls on the highest boundary that is possible. Words above the
+A text is a tree: sections by heading level, blocks, list items with the lists nested in them, lines, sentences, words. Only a node above the limit is
+descended into; its small children are merged with their siblings, bottom-up and under their own parent, while they fit. So a cut falls on the highest
+boundary that is possible, and the parts of a large section are not mixed with its neighbours. A heading goes with the text after it. Words above the
 limit are cut between characters, but not before a combining mark or around a joiner.
 
 A piece is the last ``overlap`` characters of the piece before it followed by new text; joined without their overlaps the pieces are the text.
@@ -10,16 +11,18 @@ A piece is the last ``overlap`` characters of the piece before it followed by ne
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_LIMIT = 24_000
+DEFAULT_LIMIT, BATCH_CHARS = 24_000, 4_000_000
 _HEADING = re.compile(r"^(#{1,6})[ \t]", re.M)
 _FENCE = re.compile(r"^(?:```|~~~)")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+|(?<=[。！？])")
+_LINE = re.compile(r"\n")
 _WORD = re.compile(r"\s+")
 _JOINS = re.compile("[̀-ͯ‍︀-️\U0001f3fb-\U0001f3ff]")
 
@@ -49,30 +52,43 @@ def _blocks(text: str, a: int, b: int) -> list[Span]:
     return list(zip(starts, [*starts[1:], b]))
 
 
-def _sections(text: str, a: int, b: int, level: int) -> list[Span]:
-    """Spans that begin at a heading of ``level`` outside code fences."""
-    starts = [a]
-    for s, _ in _blocks(text, a, b):
-        m = _HEADING.match(text, s, b)
-        if m and len(m.group(1)) == level and s > a:
-            starts.append(s)
-    return list(zip(starts, [*starts[1:], b]))
+_MARKER = re.compile(r"^([ \t]*)(?:[-*+]|\d+[.)])[ \t]", re.M)
+ITEMS, LINES, SENTENCES, WORDS = 8, 9, 10, 11
+#: lists nested deeper than this are cut between lines
+NESTED = 40
 
 
-def _at(text: str, a: int, b: int, pattern: re.Pattern) -> list[Span]:
-    starts = [a] + [m.end() for m in pattern.finditer(text, a, b) if a < m.end() < b]
-    return list(zip(starts, [*starts[1:], b]))
+def _spans(a: int, b: int, starts: list[int]) -> list[Span]:
+    cuts = [a, *(x for x in starts if a < x < b)]
+    return list(zip(cuts, [*cuts[1:], b]))
+
 
+class _Tree:
+    """Children of spans of one text; blocks and headings are found once."""
 
-def _children(text: str, a: int, b: int, depth: int) -> list[Span]:
-    """Children of a node at a depth: 1 to 6 headings, 7 blocks, 8 items, rows and lines, 9 sentences, 10 words."""
-    if depth <= 6:
-        return _sections(text, a, b, depth)
-    if depth == 7:
-        return _blocks(text, a, b)
-    if depth == 8:
-        return _at(text, a, b, re.compile(r"\n"))
-    return _at(text, a, b, _SENTENCE if depth == 9 else _WORD)
+    def __init__(self, text: str):
+        self.text = text
+        self.blocks = [a for a, _ in _blocks(text, 0, len(text))]
+        self.levels = [len(m.group(1)) if (m := _HEADING.match(text, a)) else 0 for a in self.blocks]
+
+    def children(self, a: int, b: int, depth: int) -> list[Span]:
+        """Children of a node at a depth: 1 to 6 headings, 7 blocks, 8 list items, 9 lines and rows, 10 sentences, 11 words."""
+        text = self.text
+        if depth < ITEMS:
+            i, j = bisect_right(self.blocks, a), bisect_left(self.blocks, b)
+            return _spans(a, b, [x for x, level in zip(self.blocks[i:j], self.levels[i:j]) if depth == 7 or level == depth])
+        if depth == ITEMS:
+            # items of the least indent below the node: its own list's, or those of the list inside an item
+            below = [(m.start(), len(m.group(1).expandtabs(4))) for m in _MARKER.finditer(text, a, b) if m.start() > a]
+            least = min((n for _, n in below), default=0)
+            return _spans(a, b, [at for at, n in below if n == least])
+        pattern = {LINES: _LINE, SENTENCES: _SENTENCE}.get(depth, _WORD)
+        return _spans(a, b, [m.end() for m in pattern.finditer(text, a, b)])
+
+    def heading_only(self, a: int, b: int) -> bool:
+        """Whether a span of blocks holds headings alone."""
+        i, j = bisect_left(self.blocks, a), bisect_left(self.blocks, b)
+        return i < j and self.blocks[i] == a and all(self.levels[i:j])
 
 
 def _cut_characters(text: str, a: int, b: int, size: int) -> int:
@@ -90,63 +106,76 @@ def boundaries(text: str, limit: int, overlap: int) -> list[Span]:
     overlap = min(max(0, overlap), limit - 1)
     if len(text) <= limit:
         return [(0, len(text))]
+    tree = _Tree(text)
     out: list[Span] = []
-    start = end = 0
-
-    def room() -> int:
-        return limit if not out else limit - min(overlap, start)
 
-    def close() -> None:
-        nonlocal start
-        if end > start:
-            out.append((start, end))
-            start = end
-
-    def visit(a: int, b: int, depth: int) -> None:
-        nonlocal end
-        if b - start <= room():  # fits the piece that is open
-            end = b
-            return
-        later = limit - min(overlap, end)
-        if b - a <= later and end > start:  # fits a piece of its own
-            close()
-            end = b
+    def room(start: int) -> int:
+        return limit - min(overlap, start)
+
+    def pack(start: int, a: int, b: int, depth: int, nested: int = 0) -> None:
+        """Pieces of the node from a to b, which is too large; what stands between start and a (a heading) goes with the first of them."""
+        if depth > WORDS:
+            while b - start > room(start):
+                # what leads a word is no reason to cut off less than a character of it
+                end = _cut_characters(text, start, b, room(start))
+                out.append((start, end))
+                start = end
+            out.append((start, b))
             return
-        if depth > 10:
-            while b - start > room():
-                end = _cut_characters(text, start, b, room())
-                close()
-            end = b
+        kids = tree.children(a, b, depth)
+        if len(kids) == 1:
+            pack(start, a, b, depth + 1)
             return
-        for x, y in _children(text, a, b, depth):
-            visit(x, y, depth + 1)
-
-    visit(0, len(text), 1)
-    close()
+        held = start  # siblings from here on are merged
+        for x, y in kids:
+            if y - held <= room(held):
+                continue
+            leads = held < x and depth <= 7 and tree.heading_only(held, x) and x - held < room(held) // 2
+            if not leads:
+                if held < x:
+                    out.append((held, x))
+                held = x
+                if y - x <= room(x):
+                    continue
+            deeper = depth == ITEMS and nested < NESTED
+            pack(held, x, y, depth if deeper else depth + 1, nested + deeper)
+            held = y
+        if held < b:
+            out.append((held, b))
+
+    pack(0, 0, len(text), 1)
     return out
 
 
-def pieces_of(text: str | None, limit: int | None, overlap: int | None) -> list[tuple[str, int, int | None]]:
-    """(piece, start of its new text, offset of the next piece's new text or null). Null text has no pieces, empty text one empty piece."""
+def pieces_of(text: str | None, limit: int | None, overlap: int | None) -> Iterator[tuple[str, int, int | None]]:
+    """(piece, start of its new text, offset of the next piece's new text or null), one at a time: overlaps near the limit make many times the text.
+
+    Null text has no pieces, empty text one empty piece.
+    """
     if text is None:
-        return []
+        return
     limit = max(1, DEFAULT_LIMIT if limit is None else limit)
     overlap = min(max(0, overlap or 0), limit - 1)
     spans = boundaries(text, limit, overlap)
-    out = []
     for i, (a, b) in enumerate(spans):
-        back = min(overlap, a)
-        out.append((text[a - back : b], a, b if i + 1 < len(spans) else None))
-    return out
+        yield text[a - min(overlap, a) : b], a, b if i + 1 < len(spans) else None
 
 
 def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["request_id", "doc_id", "version", "piece_no", "text", "start_offset", "next_offset", "total_chars"]
+    rows: list[tuple] = []
+    size = 0
+    frame = lambda: pd.DataFrame(rows, columns=columns).astype({"next_offset": "Int64"})
     for batch in batches:
-        for r in batch.itertuples(index=False):  # one request's pieces at a time: a batch of long texts stays small
+        for r in batch.itertuples(index=False):
             limit, overlap = (None if pd.isna(x) else int(x) for x in (r.max_chars, r.overlap_chars))
-            rows = [(r.request_id, r.doc_id, r.version, i, t, a, n, len(r.markdown)) for i, (t, a, n) in enumerate(pieces_of(r.markdown, limit, overlap), 1)]
-            yield pd.DataFrame(rows, columns=columns).astype({"next_offset": "Int64"})
+            for i, (t, a, n) in enumerate(pieces_of(r.markdown, limit, overlap), 1):
+                rows.append((r.request_id, r.doc_id, r.version, i, t, a, n, len(r.markdown)))
+                size += len(t)
+                if size > BATCH_CHARS:  # whatever a request's pieces come to, a batch stays small
+                    yield frame()
+                    rows, size = [], 0
+    yield frame()
 
 
 def requested(slices: DataFrame, versions: DataFrame) -> DataFrame:
@@ -164,7 +193,8 @@ def requested(slices: DataFrame, versions: DataFrame) -> DataFrame:
 def pieces(slices: DataFrame, versions: DataFrame) -> DataFrame:
     """Every piece of every request. A text within its limit is one piece; repeated requests count once; null limits take the defaults."""
     schema = "request_id BIGINT, doc_id STRING, version INT, piece_no INT, text STRING, start_offset BIGINT, next_offset BIGINT, total_chars BIGINT"
-    return requested(slices, versions).mapInPandas(_batches, schema)
+    # requests of one document are spread over tasks
+    return requested(slices, versions).repartition("request_id").mapInPandas(_batches, schema)
 
 
 def found(slices: DataFrame, versions: DataFrame) -> DataFrame:
