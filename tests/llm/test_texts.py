@@ -364,6 +364,19 @@ def test_lists_and_garbled_blocks_are_compared_with_their_page(spark):
     assert got == {"b0": (False, "title"), "b1": (False, "page"), "b2": (False, "page"), "b3": (True, "page"), "b4": (False, "slogan")}
 
 
+def test_confidence_is_calibrated_on_lines_of_its_own():
+    rng = random.Random(5)
+    common, own = "a o e de que um la".split(), {"es": "muy pero donde hasta".split(), "pt": "muito mas onde ainda".split()}
+    line = lambda lang, k: " ".join(rng.choices(common, k=6 - k) + rng.choices(own[lang], k=k))
+    train = [(lang, line(lang, 2)) for lang in own for _ in range(200)]
+    # the labels of a fifth of the held-out lines are wrong: what the model is sure of is right four times in five
+    held = [(lang if rng.random() < 0.8 else other, line(lang, 2)) for lang, other in (("es", "pt"), ("pt", "es")) for _ in range(300)]
+    model = langid.Model(train).calibrate(held)
+    p = [float(model.posterior(model.score(line("es", 2))[0]).max()) for _ in range(200)]
+    assert model.temperature > 1 and 0.6 < sum(p) / len(p) < 0.97
+    assert langid.Model(train).calibrate([]).temperature == 1.0
+
+
 def test_languages_with_held_out_text():
     train = {
         "en": "the cat sat on the mat and then it ran to the house with the dog because they were both very happy about the food",

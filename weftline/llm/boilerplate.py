@@ -239,16 +239,18 @@ def main_bodies(fetch_log: DataFrame) -> DataFrame:
     return rows.mapInPandas(_body, "arrival BIGINT, raw_hash STRING, main_text STRING")
 
 
+def byline(text: str) -> bool:
+    """Whether a text is a date with hardly any words besides it and names."""
+    # no form of a date is longer than 30 characters before or after its year
+    dated = any(_DATE.search(text, max(0, m.start() - 30), m.end() + 30) for m in _YEAR.finditer(text))
+    return dated and len(_TOKEN.findall(NAME.sub(" ", _DATE.sub(" ", text)))) <= BYLINE
+
+
 def kind(block: str, block_type: str | None, level: float | None) -> str | None:
     """``title`` and ``byline`` are content whatever the page says; null for all others."""
     if block_type == "heading" and level == 1 or re.match(r"#[ \t]", block):
         return "title"
-    if block_type in ("table", "quote", "list"):
-        return None
-    # no form of a date is longer than 30 characters before or after its year
-    if any(_DATE.search(block, max(0, m.start() - 30), m.end() + 30) for m in _YEAR.finditer(block)) and len(_TOKEN.findall(NAME.sub(" ", _DATE.sub(" ", block)))) <= BYLINE:
-        return "byline"
-    return None
+    return "byline" if block_type not in ("table", "quote", "list") and byline(block) else None
 
 
 def wording(block: str) -> int:

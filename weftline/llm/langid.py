@@ -4,7 +4,7 @@ A known word scores its log frequency in each language; an unseen word scores it
 ones after (single letters last). Sums over a sentence give a posterior. Sentences of one language in a row are a segment.
 
 Both models are fitted on bounded samples: words and n-grams on at most ``PER_LANGUAGE`` expected documents a language, whose paragraphs are
-relabelled once by the first fit so that wrong labels do no harm; a word model of page furniture on the blocks of at most ``FURNITURE_SAMPLE``
+relabelled once by the first fit so that wrong labels do no harm, every ``HELD_OUT``-th of them set aside to calibrate the confidence; a word model of page furniture on the blocks of at most ``FURNITURE_SAMPLE``
 expected versions, labelled by the density operator. They are applied to whole texts of all versions. Code, tables, furniture and bylines do not
 count, filler has no language; null and empty texts and texts without words have none either.
 """
@@ -21,11 +21,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from weftline.llm import boilerplate, mojibake, residue
 
 PER_LANGUAGE, VOCABULARY, NGRAMS, FURNITURE_SAMPLE = 300, 20_000, 30_000, 2_000
 FOREIGN, MARGIN, SEEN = 60, 6.0, 100_000
+TEMPERATURES, HELD_OUT = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0), 10
 _DENSE = "぀-ヿ㐀-鿿가-힯ｦ-ﾟ"
 _TOKEN = re.compile(f"[{_DENSE}]+|[^\\W\\d_{_DENSE}]+(?:['’][^\\W\\d_{_DENSE}]+)?")
 _IS_DENSE = re.compile(f"[{_DENSE}]")
@@ -87,6 +89,7 @@ class Model:
         for lang, text in texts:
             counts[lang].update(tokens(text))
         self.languages = sorted(counts)
+        self.temperature = 1.0
         words, grams = {}, {}
         vocabulary = {w for c in counts.values() for w, n in c.most_common(VOCABULARY) if n > 1}
         for lang in self.languages:
@@ -131,6 +134,19 @@ class Model:
                 return np.mean(hits, axis=0)
         return np.zeros(len(self.languages), np.float32)
 
+    def posterior(self, score: np.ndarray) -> np.ndarray:
+        p = np.exp((score - score.max()) / self.temperature)
+        return p / p.sum()
+
+    def calibrate(self, held: list[tuple[str, str]]) -> Model:
+        """Sets the temperature of the posterior by the log loss of labelled lines that the model was not fitted on."""
+        scored = [(self.languages.index(lang), s) for lang, line in held if lang in self.languages for s, n in [self.score(line)] if n]
+        losses = {}
+        for self.temperature in TEMPERATURES:
+            losses[self.temperature] = -sum(math.log(max(1e-12, float(self.posterior(s)[i]))) for i, s in scored)
+        self.temperature = min(losses, key=lambda t: (losses[t], t)) if scored else 1.0
+        return self
+
     def score(self, text: str) -> tuple[np.ndarray, int]:
         ws = tokens(text)
         if not ws:
@@ -171,7 +187,7 @@ def content_lines(text: str, furniture: Furniture | None) -> list[str]:
     out = []
     for raw in plain(text).split("\n"):
         line = raw.strip()
-        if not line or line.startswith("|") or (len(line) < 160 and boilerplate._DATE.search(line)):
+        if not line or line.startswith("|") or boilerplate.byline(line):
             continue
         line = _MARKS.sub("", line).strip()
         if line and not (furniture and furniture.odd(line) > 0):
@@ -201,7 +217,7 @@ def segments(model: Model, furniture: Furniture | None, text: str | None) -> lis
         home = int(whole.argmax())
         for sentence, (s, n) in zip(sentences, scored):
             best = int(s.argmax())
-            at = best if n >= 4 and s[best] - s[home] > MARGIN else home
+            at = best if n and s[best] - s[home] > MARGIN else home
             if out and out[-1][0] == at:
                 out[-1][1] += len(sentence.strip())
                 out[-1][2] = out[-1][2] + s
@@ -210,8 +226,8 @@ def segments(model: Model, furniture: Furniture | None, text: str | None) -> lis
                 out.append([at, len(sentence.strip()), s, sentence.strip()])
     done = []
     for at, chars, s, piece in out:
-        p = np.exp(s - s.max())
-        done.append((langs[at], chars, float(p[at] / p.sum()), piece))
+        p = model.posterior(s)
+        done.append((langs[at], chars, float(p[at]), piece))
     return done
 
 
@@ -225,20 +241,28 @@ def languages_of(found: list[tuple[str, int, float, str]]) -> list[tuple[str, in
     return [(x, chars[x], weight[x] / chars[x]) for i, x in enumerate(order) if i == 0 or chars[x] > FOREIGN]
 
 
+@F.pandas_udf(StringType())
+def _named(labels: pd.Series) -> pd.Series:
+    return labels.map(named_language)
+
+
 def fit(documents: DataFrame) -> Model:
-    """The language model from an expected ``PER_LANGUAGE`` documents of each label that names a language."""
-    sizes = {r[0]: (label_, r[1]) for r in documents.where("lang IS NOT NULL").groupBy("lang").count().collect() if (label_ := named_language(r[0]))}
-    total = Counter()
-    for code, n in sizes.values():
-        total[code] += n
+    """The language model from an expected ``PER_LANGUAGE`` documents of each language that labels name; of these every ``HELD_OUT``-th calibrates it.
+
+    Labels are reduced to the languages they name before anything comes to the driver.
+    """
+    labels = documents.where("lang IS NOT NULL").groupBy("lang").count().withColumn("code", _named("lang")).where("code IS NOT NULL")
+    total = {r["code"]: r["n"] for r in labels.groupBy("code").agg(F.sum("count").alias("n")).collect()}  # one row for each language there is a name for
     rate = F.lit(0)
-    for raw, (code, _) in sizes.items():
-        rate = F.when(F.col("lang") == raw, int(10**6 * min(1.0, PER_LANGUAGE / total[code]))).otherwise(rate)
-    rows = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(10**6)) < rate).select("lang", "text").where("text IS NOT NULL").collect()
-    parts = [(sizes[lang][0], line) for lang, text in rows for line in content_lines(text, None)]
+    for code, n in sorted(total.items()):
+        rate = F.when(F.col("code") == code, int(10**6 * min(1.0, PER_LANGUAGE / n))).otherwise(rate)
+    some = documents.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", _named("lang").alias("code")).where("code IS NOT NULL")
+    rows = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(10**6)) < rate).select("doc_id", "code", "text").collect()
+    parts = [(r["code"], line) for r in rows if r["doc_id"] % HELD_OUT for line in content_lines(r["text"], None)]
     first = Model(parts)
     again = [(first.languages[int(s.argmax())] if n >= 6 else lang, line) for lang, line in parts for s, n in [first.score(line)]]
-    return Model(again)
+    held = [(r["code"], line) for r in rows if not r["doc_id"] % HELD_OUT for line in content_lines(r["text"], None)]
+    return Model(again).calibrate(held)
 
 
 def fit_furniture(versions: DataFrame, fetch_log: DataFrame, blocks: DataFrame) -> Furniture:
@@ -246,7 +270,9 @@ def fit_furniture(versions: DataFrame, fetch_log: DataFrame, blocks: DataFrame)
     n = versions.count()
     part = F.pmod(F.xxhash64("doc_id"), F.lit(10**6)) < int(10**6 * min(1.0, FURNITURE_SAMPLE / max(1, n)))
     some = versions.where(part).where("raw_hash IS NOT NULL").select("doc_id", "version", "raw_hash")
-    pages = fetch_log.join(F.broadcast(some.select("raw_hash").distinct()), "raw_hash", "left_semi")  # at most FURNITURE_SAMPLE expected hashes
+    hashes = some.select("raw_hash").distinct()
+    # FURNITURE_SAMPLE hashes are expected; a document of very many versions may bring more
+    pages = fetch_log.join(F.broadcast(hashes) if hashes.count() <= 10 * FURNITURE_SAMPLE else hashes, "raw_hash", "left_semi")
     own = blocks.where(part)
     rows = boilerplate.judged(some, pages, own).where("furniture IS NOT NULL").join(own.select("doc_id", "version", "block_id", "markdown"), ["doc_id", "version", "block_id"]).select("markdown", "furniture").distinct().collect()
     return Furniture([(_MARKS.sub("", line).strip(), f) for text, f in rows for line in plain(text).split("\n") if line.strip() and not line.startswith("|")])
