@@ -244,6 +244,29 @@ def test_page_blocks():
     assert pages.extract("", "")["blocks"] == []
 
 
+def test_parts_of_pages():
+    page = """<html><head><meta name=author content=Ann><meta property="og:site_name" content=S></head><body><div id=__next>x</div><noscript>Please enable JavaScript</noscript>
+    <article><h1>Top<a class=headerlink href="#top">¶</a></h1><dl><dt>Term<dd>Meaning <b>here</b></dl><figure><img src=i.png alt=pic><figcaption>Shown</figcaption></figure><address>Street 1</address>
+    <menu><li>one<li>two</menu><table><caption>Sizes</caption><tr><td>a*b<td><table><tr><td>in</table></table><p>see <a href="/x">that</a> and <code>a_b*c</code> or a_b*c</p><span>loose<p>inner</p></span></article></body></html>"""
+    out = pages.extract(page, "https://a.example/p")
+    md = [b["markdown"] for b in out["blocks"]]
+    assert md[:3] == ["# Top", "Term\n:   Meaning **here**", "![pic](https://a.example/i.png)Shown"]
+    assert md[3] == "Street 1" and md[4] == "- one\n- two" and [b["type"] for b in out["blocks"]][:5] == ["heading", "list", "paragraph", "paragraph", "list"]
+    assert "see [that](https://a.example/x) and `a_b*c` or a\\_b\\*c" in md and md[-2:] == ["loose", "inner"]
+    assert (out["author"], out["site_name"], out["app_root_empty"], out["noscript_warning"], out["semantic"]) == ("Ann", "S", True, True, True)
+    assert out["links"] == [{"href": "https://a.example/x", "text": "that"}]
+    caption = pages.extract("<main><table><caption>Sizes</caption><tr><td>a<td>b</table></main>", "")["blocks"][0]
+    assert caption["markdown"].startswith("Sizes\n\n| a | b |") and caption["text"] == "a\tb"
+
+
+def test_density_candidate():
+    text = "Quiet frogs and old reeds share one pond, and nobody minds the water there at all. " * 4
+    page = f"<body><div class=side><p>Some other short words of a side column here.</p></div><div id=c><div><p>{text}</p><p>{text}</p></div></div></body>"
+    out = pages.extract(page, "https://a.example/")
+    assert out["strategy"] == "density" and len(out["blocks"]) == 2
+    assert pages.extract(f"<body><p>{text}</p><table><tr><td>1</table></body>", "")["strategy"] == "structural"
+
+
 def test_deep_pages():
     assert pages.extract("<body>" + "<div>" * 10_000 + "deep text", "")["blocks"][0]["markdown"] == "deep text"
     assert pages.extract("<body>" + "<b>" * 5_000 + "x", "")["blocks"][0]["text"] == "x"

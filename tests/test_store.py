@@ -257,3 +257,59 @@ def test_retention(spark):
     assert key(corpus.retained(v, None, "2023-02-01")) == [("a", 2), ("a", 4), ("b", 1)]
     assert key(corpus.dropped_snapshots(v, "old").where("snapshot_hash IS NOT NULL")) == [("a", 4), ("b", 1)]
     assert corpus.dropped_snapshots(v, "all").where("snapshot_hash IS NOT NULL").count() == 0
+
+
+def test_encodings_are_cut_before_they_are_whole():
+    import gzip
+    import zlib
+
+    import zstandard
+
+    from weftline.sources import records
+
+    bomb = gzip.compress(b"\0" * 50_000_000)
+    body, error = records.decode_content(bomb, "gzip", 1_000)
+    assert body == b"\0" * 1_000 and error == "decompressed_limit"
+    assert records.decode_content(zlib.compress(b"abc"), "deflate") == records.decode_content(zlib.compress(b"abc")[2:-4], "deflate") == (b"abc", None)
+    assert records.decode_content(zstandard.compress(gzip.compress(b"abc")), "gzip, zstd") == (b"abc", None)
+    assert records.decode_content(b"no", "zstd")[1].startswith("decode_failed") and records.decode_content(b"no", "gzip")[1].startswith("decode_failed")
+
+
+def test_sinks(spark, tmp_path):
+    from weftline.sources import records
+
+    one = spark.createDataFrame([(1, "x", ["partial: cut"])], "id INT, t STRING, w ARRAY<STRING>")
+    records.append_records(one, str(tmp_path / "run"))
+    records.append_records(one.withColumn("id", F.lit(2)), str(tmp_path / "run"))
+    assert sorted(r["id"] for r in records.json_lines(spark, str(tmp_path / "run"), "id INT, t STRING").collect()) == [1, 2]
+    records.write_reports({"summary": one.drop("w").coalesce(1), "cases": one.drop("w").coalesce(1)}, str(tmp_path / "report"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "report/summary")).first()["t"] == "x"
+    files = records.manifest(spark, str(tmp_path / "report")).where("path LIKE '%.csv'").collect()
+    assert {f["path"].split("/")[0] for f in files} == {"summary", "cases"} and len({f["sha256"] for f in files}) == 1
+    status, reasons = outcome.envelope_status(F.lit(None).cast("string"), F.col("w"))
+    line = one.select(records.envelope(status, "read", F.struct("id"), F.col("w"), F.lit(None).cast("map<string,double>")).alias("e"), records.exit_code(status).alias("x"), F.size(reasons).alias("n")).first()
+    assert line["e"] == '{"status":"partial","tool":"read","data":{"id":1},"warnings":["partial: cut"]}' and (line["x"], line["n"]) == (3, 0)
+
+
+def test_headings_and_recall(spark):
+    from weftline.operators import score
+
+    df = spark.createDataFrame([("k", "# One\n\nTwo\n===\n\nThree\n---\n\n- item\n---\ntext here", ["one", "Four"], ["TEXT **here**"], [])], "k STRING, m STRING, h ARRAY<STRING>, p ARRAY<STRING>, none ARRAY<STRING>")
+    assert df.select(score.heading_texts(F.col("m"))).first()[0] == ["One", "Two", "Three"]
+    got = score.recall_fractions(df, "k", "m", {"headings": "h", "passages": "p", "codes": "none"}).first()
+    assert (got["headings"], got["passages"], got["codes"]) == (0.5, 1.0, None)
+    c = spark.createDataFrame([("r", 1, "h", "b", "a  big dog", 3, "big dog")], "ref STRING, version INT, content_hash STRING, block_hash STRING, text STRING, offset INT, quote STRING")
+    cols = {n: F.col(n) for n in c.columns}
+    assert c.select(score.citation_verified(cols, cols), score.citation_verified(cols, {**cols, "version": F.lit(2)})).first() == (True, False)
+
+
+def test_crawl_state(spark):
+    f = spark.createDataFrame([("c", "u1", 0, 1, "done", "seed", "d", 1), ("c", "u2", 1, 2, "queued", "link", None, None)], "crawl_id STRING, url STRING, depth INT, seq BIGINT, state STRING, source STRING, doc_id STRING, version INT")
+    new = spark.createDataFrame([("c", "u2", 1, "link", 5), ("c", "u4", 2, "link", 7), ("c", "u3", 2, "link", 6), ("e", "u1", 0, "seed", 1)], "crawl_id STRING, url STRING, depth INT, source STRING, at INT")
+    more = crawl.added(f, new)
+    assert sorted((r["crawl_id"], r["url"], r["seq"], r["state"]) for r in more.collect()) == [("c", "u1", 1, "done"), ("c", "u2", 2, "queued"), ("c", "u3", 3, "queued"), ("c", "u4", 4, "queued"), ("e", "u1", 1, "queued")]
+    done = crawl.updated(more, spark.createDataFrame([("c", "u2", "done", "d2", 3)], "crawl_id STRING, url STRING, state STRING, doc_id STRING, version INT"))
+    assert done.where("url = 'u2'").first().asDict()["doc_id"] == "d2" and done.where("state = 'queued'").count() == 3
+    v = spark.createDataFrame([("d2", 3, "text")], "doc_id STRING, version INT, markdown STRING")
+    assert [(r["url"], r["markdown"]) for r in crawl.materialized(done, v).orderBy("url").collect()] == [("u2", "text")] or crawl.materialized(done, v).count() == 1
+    assert len(spark.range(1).select(crawl.crawl_id()).first()[0]) == 14

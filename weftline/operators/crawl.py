@@ -33,6 +33,7 @@ def counters(frontier: DataFrame) -> DataFrame:
         F.count_if((F.col("state") == "skipped") & (F.col("reason") == "robots")).alias("skipped_robots"),
         F.count_if((F.col("state") == "skipped") & (F.col("reason") == "scope")).alias("skipped_scope"),
         F.count_if(F.col("state") == "queued").alias("queued"),
+        F.count_if(F.coalesce(F.col("reason").startswith("duplicate_of "), F.lit(False))).alias("duplicates"),
         F.count("*").alias("known"),
     )
 
@@ -176,6 +177,34 @@ def crawled(
     return frontier, {**counts, "skipped_robots": tally.get("skipped_robots", 0), "duplicates": tally.get("duplicates", 0), "failed": tally.get("failed", 0), "queued": queued, "stop_reason": stop}
 
 
+def materialized(frontier: DataFrame, versions: DataFrame) -> DataFrame:
+    """(crawl_id, doc_id, version, url, markdown) of the pages that a crawl stored, each once whatever addresses led to it."""
+    done = frontier.where("state = 'done' AND doc_id IS NOT NULL AND version IS NOT NULL").groupBy("crawl_id", "doc_id", "version").agg(F.min_by("url", "seq").alias("url"))
+    return done.join(versions.select("doc_id", "version", "markdown").dropDuplicates(["doc_id", "version"]), ["doc_id", "version"]).select("crawl_id", "doc_id", "version", "url", "markdown")
+
+
+def added(frontier: DataFrame, rows: DataFrame) -> DataFrame:
+    """The frontier with new rows (crawl_id, url, depth, source, at): known addresses of a crawl are left out, others are queued after its last."""
+    last = frontier.groupBy("crawl_id").agg(F.max("seq").alias("last"))
+    new = rows.join(frontier.select("crawl_id", "url"), ["crawl_id", "url"], "left_anti").groupBy("crawl_id", "url").agg(F.min_by(F.struct("at", "depth", "source"), "at").alias("x"))
+    by = Window.partitionBy("crawl_id").orderBy("x.at", "url")
+    new = new.join(last, "crawl_id", "left").select("crawl_id", "url", "x.depth", (F.coalesce("last", F.lit(0)) + F.row_number().over(by)).cast("bigint").alias("seq"), F.lit("queued").alias("state"), "x.source")
+    return frontier.unionByName(new, allowMissingColumns=True)
+
+
+def updated(frontier: DataFrame, changes: DataFrame) -> DataFrame:
+    """The frontier with the state, reason, doc_id, version and content_hash of changes (crawl_id, url, ...) put in; one change for each address."""
+    columns = [c for c in ("state", "reason", "doc_id", "version", "content_hash") if c in changes.columns and c in frontier.columns]
+    c = changes.select("crawl_id", "url", F.struct(*columns).alias("__new"))
+    j = frontier.join(c, ["crawl_id", "url"], "left")
+    return j.select(*[F.when(F.col("__new").isNotNull(), F.col("__new")[x]).otherwise(F.col(x)).alias(x) if x in columns else F.col(x) for x in frontier.columns])
+
+
+def crawl_id() -> Column:
+    """A new crawl id of twelve random hexadecimal digits."""
+    return F.concat(F.lit("c_"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 12))
+
+
 def resolved_redirects(hops: DataFrame, most: int = 10) -> DataFrame:
     """(url, final, hops, error) of each address that redirects: followed over redirects(src, dst), at most ``most`` times.
 

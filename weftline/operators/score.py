@@ -31,6 +31,41 @@ def headings(markdown: Column) -> Column:
     return F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"^#{1,6} +| +#+ *$", "")))
 
 
+def heading_texts(markdown: Column) -> Column:
+    """Texts of headings of both kinds: marked lines, and lines that are underlined. List items and blank lines are none."""
+    lines = F.split(markdown, "\n")
+    marked = lambda x: x.rlike(r"^#{1,6} ")
+    after = lambda i: F.coalesce(F.try_element_at(lines, i + 2), F.lit(""))
+    under = lambda x, i: after(i).rlike(r"^(?:=+|-+) *$") & (F.trim(x) != "") & ~x.rlike(r"^\s*(?:[-*+]|\d+[.)]) |^(?:=+|-+) *$")
+    found = F.filter(F.transform(lines, lambda x, i: F.when(marked(x), F.regexp_replace(x, r"^#{1,6} +| +#+ *$", "")).when(under(x, i), x)), lambda x: x.isNotNull())
+    return F.transform(found, lambda x: F.trim(x))
+
+
+def recall_fractions(cases: DataFrame, key: str, output: str, expected: dict[str, str]) -> DataFrame:
+    """For each kind (name to an array column: passages or headings) the share of what is expected that a case's output holds; null for nothing expected.
+
+    ``headings`` are looked for among the output's headings, everything else in its plain text.
+    """
+    out = cases.select(key)
+    text = plain(F.col(output))
+    heads = F.transform(heading_texts(F.col(output)), lambda h: plain(h))
+    columns = {}
+    for name, column in expected.items():
+        hit = (lambda x: F.array_contains(heads, plain(x))) if name == "headings" else (lambda x: F.contains(text, plain(x)))
+        n = F.size(F.coalesce(F.col(column), F.array().cast("array<string>")))
+        columns[name] = F.when(n > 0, F.size(F.filter(column, hit)) / n)
+    return cases.select(key, *[c.alias(n) for n, c in columns.items()]) if columns else out
+
+
+def citation_verified(claim: dict[str, Column], stored: dict[str, Column]) -> Column:
+    """Whether a citation still holds: same reference, version, content hash and block hash, and its quote, white space levelled, at its offset."""
+    same = F.lit(True)
+    for name in ("ref", "version", "content_hash", "block_hash"):
+        same = same & claim[name].eqNullSafe(stored[name])
+    level = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    return same & (level(F.substring(stored["text"], claim["offset"] + 1, F.length(claim["quote"]))) == level(claim["quote"]))
+
+
 def citation_holds(text: Column, offset: Column, quote: Column) -> Column:
     """Whether the quote stands at its offset (from 0)."""
     return F.substring(text, offset + 1, F.length(quote)) == quote

@@ -12,6 +12,7 @@ from weftline.operators import crawl as W
 from weftline.operators import score as S
 from weftline.session import cut
 from weftline.sources import pages as P
+from weftline.sources import records
 from weftline.sources.tables import table
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -145,8 +146,8 @@ def status_gate(spark, d):
 
 
 def byte_limit(spark, d):
-    n = F.octet_length("body")
-    return _fetches(spark, d).where("body IS NOT NULL").select("arrival", n.cast("bigint").alias("bytes"), (n > 4096).alias("truncated"), F.octet_length(F.expr("substring(body, 1, 4096)")).cast("bigint").alias("kept"))
+    kept, cut = records.limited(F.col("body"))
+    return _fetches(spark, d).where("body IS NOT NULL").select("arrival", F.octet_length("body").cast("bigint").alias("bytes"), cut.alias("cut"), F.octet_length(kept).cast("bigint").alias("kept"))
 
 
 def redirect_hops(spark, d):
@@ -176,7 +177,7 @@ def crawl_counters(spark, d):
 
 def crawl_scope(spark, d):
     c = _crawl(spark, d)
-    reason = W.scope_reason(F.col("url"), exclude=("/old/**",))
+    reason = W.scope_reason(F.col("url"), "https://news.antelen.test/", include=("/**",), exclude=("/old/**",))
     return c.select("crawl_id", "url", reason.alias("why"), (F.col("depth") > 3).alias("beyond_depth"))
 
 
@@ -303,13 +304,13 @@ SQL = {
     "window_blocks": f"SELECT request_id, block_id, char_offset FROM (SELECT DISTINCT request_id, doc_id, version, coalesce(max_chars, 24000) AS stop FROM slices) s JOIN {_B} b ON b.doc_id = s.doc_id AND b.version = coalesce(s.version, (SELECT max(v.version) FROM versions v WHERE v.doc_id = s.doc_id AND v.markdown IS NOT NULL)) WHERE char_offset + length(markdown) > 0 AND char_offset < stop",
     "content_classify": f"SELECT arrival, CASE WHEN content_type ILIKE '%html%' THEN 'html' WHEN content_type ILIKE '%pdf%' THEN 'pdf' WHEN regexp_matches(content_type, '(?i)^text/|json|xml|javascript|markdown') THEN 'text' END AS kind, nullif(lower(regexp_extract(content_type_header, '(?i)charset\\s*=\\s*\"?([^\\s;\"]+)', 1)), '') AS header_charset FROM {_F}",
     "status_gate": f"SELECT arrival, http_status, CASE WHEN http_status NOT BETWEEN 200 AND 299 THEN 'http_error' END AS error, CASE WHEN http_status NOT BETWEEN 200 AND 299 THEN http_status = 429 OR http_status >= 500 END AS retryable FROM {_F}",
-    "byte_limit": f"SELECT arrival, octet_length(body)::BIGINT AS bytes, octet_length(body) > 4096 AS truncated, least(octet_length(body), 4096)::BIGINT AS kept FROM {_F} WHERE body IS NOT NULL",
+    "byte_limit": f"SELECT arrival, octet_length(body)::BIGINT AS bytes, CASE WHEN octet_length(body) > 10485760 THEN 'compressed_limit' END AS cut, least(octet_length(body), 10485760)::BIGINT AS kept FROM {_F} WHERE body IS NOT NULL",
     "redirect_hops": f"SELECT arrival, i::INT AS hop, redirects[i].url AS url, redirects[i].status AS status FROM (SELECT arrival, redirects, unnest(generate_series(1, len(redirects))) AS i FROM {_F})",
     "markdown_links": f"SELECT doc_id, version, count(*) AS links, count(DISTINCT target) AS targets FROM (SELECT doc_id, version, unnest(regexp_extract_all(markdown, '\\[[^\\]\\n]*\\]\\(([^)\\s]+)\\)', 1)) AS target FROM {_V}) GROUP BY ALL",
     "heading_lines": f"SELECT doc_id, version, nth, heading FROM (SELECT doc_id, version, unnest(generate_series(1, len(h)))::INT AS nth, trim(regexp_replace(unnest(h), '^#{{1,6}} +| +#+ *$', '', 'g')) AS heading FROM (SELECT doc_id, version, list_filter(string_split(markdown, chr(10)), lambda x: regexp_matches(x, '^#{{1,6}} ')) AS h FROM {_V}))",
     "quote_spans": f"SELECT b.doc_id, b.version, block_id, substr(v.markdown, char_offset + 1, length(b.markdown)) = b.markdown AS verified FROM {_B} b JOIN {_V} v ON b.doc_id = v.doc_id AND b.version = v.version",
-    "crawl_counters": f"SELECT crawl_id, count(*) FILTER (state IN ('done', 'failed')) AS fetched, count(*) FILTER (state = 'done') AS saved, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'skipped' AND reason = 'robots') AS skipped_robots, count(*) FILTER (state = 'skipped' AND reason = 'scope') AS skipped_scope, count(*) FILTER (state = 'queued') AS queued, count(*) AS known FROM {_C} GROUP BY crawl_id",
-    "crawl_scope": f"SELECT crawl_id, url, CASE WHEN NOT regexp_matches(url, '(?i)^\\s*https?://') THEN 'scheme' WHEN regexp_matches(regexp_extract(url, '{_URL}', 3), '(?i)\\.(avi|apk|bmp|bz2|css|deb|dmg|eot|exe|gif|gz|ico|iso|jpe?g|js|m4a|map|mjs|mkv|mov|mp3|mp4|msi|ogg|otf|png|rar|rpm|svg|tar|tgz|tiff?|ttf|wasm|wav|webm|webp|woff2?|xz|zip|7z)$') THEN 'asset' WHEN regexp_matches(regexp_extract(url, '{_URL}', 3) || regexp_extract(url, '(\\?[^#]*)', 1), '^/old/.*$') THEN 'exclude' END AS why, depth > 3 AS beyond_depth FROM {_C}",
+    "crawl_counters": f"SELECT crawl_id, count(*) FILTER (state IN ('done', 'failed')) AS fetched, count(*) FILTER (state = 'done') AS saved, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'skipped' AND reason = 'robots') AS skipped_robots, count(*) FILTER (state = 'skipped' AND reason = 'scope') AS skipped_scope, count(*) FILTER (state = 'queued') AS queued, count(*) FILTER (reason LIKE 'duplicate_of %') AS duplicates, count(*) AS known FROM {_C} GROUP BY crawl_id",
+    "crawl_scope": f"SELECT crawl_id, url, CASE WHEN NOT regexp_matches(url, '(?i)^\\s*https?://') THEN 'scheme' WHEN lower(regexp_extract(url, '^\\s*([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) <> 'https://news.antelen.test' THEN 'origin' WHEN regexp_matches(regexp_extract(url, '{_URL}', 3), '(?i)\\.(avi|apk|bmp|bz2|css|deb|dmg|eot|exe|gif|gz|ico|iso|jpe?g|js|m4a|map|mjs|mkv|mov|mp3|mp4|msi|ogg|otf|png|rar|rpm|svg|tar|tgz|tiff?|ttf|wasm|wav|webm|webp|woff2?|xz|zip|7z)$') THEN 'asset' WHEN NOT starts_with(regexp_extract(url, '{_URL}', 3) || regexp_extract(url, '(\\?[^#]*)', 1), '/') THEN 'include' WHEN regexp_matches(regexp_extract(url, '{_URL}', 3) || regexp_extract(url, '(\\?[^#]*)', 1), '^/old/.*$') THEN 'exclude' END AS why, depth > 3 AS beyond_depth FROM {_C}",
     "crawl_duplicates": f"SELECT crawl_id, url, first_url FROM (SELECT crawl_id, url, first_value(url) OVER (PARTITION BY crawl_id, content_hash ORDER BY seq, url) AS first_url FROM {_C} WHERE content_hash IS NOT NULL) WHERE url <> first_url",
     "crawl_frontier": f"SELECT crawl_id, url, turn::INT AS turn FROM (SELECT crawl_id, url, row_number() OVER (PARTITION BY crawl_id ORDER BY depth, seq, url) AS turn FROM {_C} WHERE state = 'queued') WHERE turn <= 10",
     "crawl_pacing": f"SELECT crawl_id, url, ((row_number() OVER (PARTITION BY crawl_id, lower(regexp_extract(url, '^\\s*([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) ORDER BY seq, url) - 1) * 500)::BIGINT AS start_ms FROM {_C}",

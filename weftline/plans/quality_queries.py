@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.functions.stem import stems_udf
+from weftline.operators import crawl as W
 from weftline.operators import evidence as V
 from weftline.operators import score as S
 from weftline.operators import search as Q
@@ -174,9 +175,27 @@ def stemmed_terms(spark, d):
 
 def evidence_status(spark, d):
     b = _blocks(spark, d)
-    heads = b.where("level = 2").select("doc_id", "version", F.col("block_id").alias("field"), F.upper("text").alias("value"), F.upper("text").alias("quote"))
+    capitals = F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    heads = b.where("block_type = 'heading'").select("doc_id", "version", F.col("block_id").alias("field"), F.col("text").alias("value"), capitals.alias("quote"))
     titles = b.where("level = 1").select("doc_id", "version", F.lit("title").alias("field"), F.col("title").alias("value"), F.concat("title", F.lit("?")).alias("quote"))
-    return V.evidence(heads.unionByName(titles).dropDuplicates(["doc_id", "version", "field"]), b)
+    return V.evidence(heads.unionByName(titles).groupBy("doc_id", "version", "field").agg(F.max("value").alias("value"), F.max("quote").alias("quote")), b)
+
+
+def heading_texts(spark, d):
+    v = table(spark, d, "versions").select("doc_id", "version", "markdown").dropDuplicates(["doc_id", "version"])
+    return v.select("doc_id", "version", F.posexplode(S.heading_texts(F.col("markdown"))).alias("at", "heading")).select("doc_id", "version", (F.col("at") + 1).alias("nth"), "heading")
+
+
+def heading_recall(spark, d):
+    """Of the headings among a version's blocks, how many its Markdown has as headings."""
+    want = _blocks(spark, d).where("block_type = 'heading'").groupBy("doc_id", "version").agg(F.collect_list("text").alias("wanted"))
+    v = table(spark, d, "versions").select("doc_id", "version", "markdown").where("markdown IS NOT NULL").dropDuplicates(["doc_id", "version"]).join(want, ["doc_id", "version"])
+    out = S.recall_fractions(v.withColumn("key", F.struct("doc_id", "version")), "key", "markdown", {"headings": "wanted", "passages": "wanted"})
+    return out.select("key.doc_id", "key.version", F.round("headings", 6).alias("headings"), F.round("passages", 6).alias("passages"))
+
+
+def crawl_pages(spark, d):
+    return W.materialized(table(spark, d, "crawl_urls"), table(spark, d, "versions")).select("crawl_id", "doc_id", "version", "url", F.length("markdown").alias("chars"))
 
 
 def prompt_budget(spark, d):
@@ -197,9 +216,23 @@ def _mul(a: str, b: str) -> str:
     return f"((((({a}) & 65535) * ({b})) + ((((({a}) >> 16) * ({b})) & 65535) << 16)) & 4294967295)"
 
 
-QUERIES = {f.__name__: f for f in (search_and, search_or, search_phrase, search_prefix, search_bm25, search_latest, term_statistics, title_overlap, passage_recall, duplicate_texts, latency_ranks, outcome_rates, first_vs_warm, split_groups, cost_by_unit, kind_counts, common_cases, paired_deltas, profile_pairs, leader_ties, bootstrap_interval, peak_resources, running_budget, stable_signatures, task_generation, strategy_rates, stemmed_terms, evidence_status, prompt_budget)}
+QUERIES = {f.__name__: f for f in (search_and, search_or, search_phrase, search_prefix, search_bm25, search_latest, term_statistics, title_overlap, passage_recall, duplicate_texts, latency_ranks, outcome_rates, first_vs_warm, split_groups, cost_by_unit, kind_counts, common_cases, paired_deltas, profile_pairs, leader_ties, bootstrap_interval, peak_resources, running_budget, stable_signatures, task_generation, strategy_rates, stemmed_terms, evidence_status, heading_texts, heading_recall, crawl_pages, prompt_budget)}
+
+_LEVEL = "lower(trim(regexp_replace(@, '[\\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+', ' ', 'g'), ' '))"
 
 SQL = {
+    "evidence_status": f"""
+        WITH b AS (SELECT DISTINCT doc_id, version, idx, block_id, text FROM {_B}),
+        h AS (SELECT doc_id, version, block_id AS field, text AS value, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS quote FROM {_B} WHERE block_type = 'heading' UNION ALL SELECT doc_id, version, 'title', title, title || '?' FROM {_B} WHERE level = 1),
+        c AS (SELECT doc_id, version, field, max(value) AS value, max(quote) AS quote FROM h GROUP BY ALL),
+        j AS (SELECT c.*, min(idx) FILTER (value IS NOT NULL AND quote <> '' AND contains({_LEVEL.replace("@", "text")}, {_LEVEL.replace("@", "quote")})) AS at_idx FROM c LEFT JOIN b USING (doc_id, version) GROUP BY ALL)
+        SELECT j.doc_id, j.version, field, CASE WHEN value IS NULL THEN 'missing' WHEN at_idx IS NULL THEN 'unsupported' ELSE 'supported' END AS status, b.block_id FROM j LEFT JOIN b ON b.doc_id = j.doc_id AND b.version = j.version AND b.idx = at_idx""",
+    "heading_texts": """
+        WITH v AS (SELECT DISTINCT doc_id, version, string_split(markdown, chr(10)) AS l FROM versions),
+        h AS (SELECT doc_id, version, list_filter(list_transform(l, lambda x, i: CASE WHEN regexp_matches(x, '^#{1,6} ') THEN trim(regexp_replace(x, '^#{1,6} +| +#+ *$', '', 'g'))
+            WHEN regexp_matches(coalesce(l[i + 1], ''), '^(=+|-+) *$') AND trim(x) <> '' AND NOT regexp_matches(x, '^\\s*([-*+]|\\d+[.)]) |^(=+|-+) *$') THEN trim(x) END), lambda x: x IS NOT NULL) AS h FROM v)
+        SELECT doc_id, version, unnest(generate_series(1, len(h)))::INT AS nth, unnest(h) AS heading FROM h""",
+    "crawl_pages": "SELECT crawl_id, doc_id, version, url, length(markdown)::INT AS chars FROM (SELECT crawl_id, doc_id, version, arg_min(url, seq) AS url FROM crawl_urls WHERE state = 'done' AND doc_id IS NOT NULL AND version IS NOT NULL GROUP BY ALL) JOIN (SELECT DISTINCT doc_id, version, markdown FROM versions) USING (doc_id, version)",
     "search_and": f"SELECT doc_id, version, idx FROM {_B} WHERE contains({_W}, ' settlement ') AND contains({_W}, ' offers ')",
     "search_or": f"SELECT doc_id, version, idx FROM {_B} WHERE contains({_W}, ' dividends ') OR contains({_W}, ' harbour hotels ')",
     "search_phrase": f"SELECT doc_id, version, idx FROM {_B} WHERE contains({_W}, ' settlement offers ')",

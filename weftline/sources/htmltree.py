@@ -88,10 +88,9 @@ def parse(source: str) -> Element:
             continue
         up, stops = node, _STOPS.get(name, set())
         while name in _CLOSES and up is not root and up.tag not in stops:
-            if up.tag in _CLOSES[name]:
+            if up.tag in _CLOSES[name]:  # a row ends an open cell and the row before
                 node = up.parent
-                break
-            if name == "p" and up.tag not in INLINE:
+            elif name == "p" and up.tag not in INLINE:
                 break
             up = up.parent
         if name not in INLINE and name not in VOID:  # a block ends an open paragraph

@@ -15,14 +15,28 @@ from pyspark.sql import functions as F
 
 from weftline.sources.htmltree import INLINE, Element, parse
 
-_DROP = frozenset("script style noscript template iframe object embed canvas svg link meta dialog nav aside form head title".split())
-_NOISE = re.compile(r"(?:^|[-_\s])(?:nav|menu|breadcrumbs?|sidebar|cookie|consent|banner|share|social|related|newsletter|promo|advert|ads?|comments?|footer|header|pagination)(?:$|[-_\s])", re.I)
+# Elements that never hold readable content, and those that the structural extraction leaves out.
+_DROP = frozenset("script style noscript template iframe object embed canvas svg link meta dialog nav aside form button input select textarea head title".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search dialog".split())
+# Words in a class or id that mark page furniture.
+_NOISE_WORDS = "nav navbar navigation menu sidebar side-bar breadcrumb breadcrumbs cookie consent gdpr advert advertisement ads sponsor social share sharing related newsletter subscribe popup modal skip skip-link footer masthead toolbar pagination comment comments toc table-of-contents"
+_NOISE = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(_NOISE_WORDS.split())})(?:$|[\s_-])", re.I)
+# Styles that hide an element.
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+# Notices that scripts are needed, and the elements that applications are drawn into.
+_SCRIPTS_NEEDED = re.compile(r"\b(?:enable|requires?|turn on|activate)\s+javascript|javascript\s+(?:is\s+)?(?:disabled|required|must be enabled)", re.I)
+_APP_IDS = frozenset("root app __next __nuxt svelte".split())
+_APP_ATTRIBUTES = ("data-reactroot", "ng-app", "ng-version")
+# Texts of links that only point to the heading they stand in, and the classes of such links.
+_PERMALINKS = frozenset(("", "¶", "#", "§", "🔗", "⚓", "link"))
+_PERMALINK_CLASSES = frozenset("headerlink anchor hash-link anchorjs-link".split())
+_LISTS, _PARAGRAPHS = frozenset(("ul", "ol", "dl", "menu")), frozenset(("p", "figure", "address"))
+_LEAVES = _LISTS | _PARAGRAPHS | {"pre", "table", "blockquote", *(f"h{i}" for i in range(1, 7))}
 _BOM = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?\s*([\w:.-]+)", re.I)
 SCHEMA = (
     "arrival BIGINT, title STRING, lang STRING, site_name STRING, description STRING, published STRING, canonical STRING, strategy STRING, "
-    "scripts INT, external_scripts INT, inline_script_chars INT, app_root_empty BOOLEAN, noscript_warning BOOLEAN, body_text_chars INT, "
+    "author STRING, elements INT, semantic BOOLEAN, links ARRAY<STRUCT<href: STRING, text: STRING>>, scripts INT, external_scripts INT, inline_script_chars INT, app_root_empty BOOLEAN, noscript_warning BOOLEAN, body_text_chars INT, "
     "outlinks ARRAY<STRING>, blocks ARRAY<STRUCT<type: STRING, level: INT, lang: STRING, text: STRING, markdown: STRING>>"
 )
 
@@ -85,7 +99,9 @@ def inline(node: Element, base: str) -> str:
         element, rest, out = stack[-1]
         for c in rest:
             if isinstance(c, str):
-                out.append(re.sub(r"\s+", " ", c))
+                # signs that Markdown would read as markup are escaped, but not in code
+                plain = re.sub(r"\s+", " ", c)
+                out.append(plain if element.tag in ("code", "kbd", "samp", "tt") else re.sub(r"([\\`*_\[\]])", r"\\\1", plain))
             else:
                 stack.append((c, iter(c.children), []))
                 break
@@ -126,21 +142,40 @@ def list_lines(node: Element, base: str) -> list[str]:
     return lines
 
 
+def table_rows(node: Element) -> list[Element]:
+    """Rows of a table but for those of tables inside it."""
+    out, stack = [], [node]
+    while stack:
+        n = stack.pop()
+        if n.tag == "tr":
+            out.append(n)
+        stack += [c for c in reversed(n.children) if isinstance(c, Element) and c.tag != "table" and n.tag != "tr"]
+    return out
+
+
 def table_markdown(node: Element, base: str) -> str:
+    """A pipe table with its caption before it; cells that span columns are followed by empty ones."""
     rows = []
-    for tr in (n for n in node.walk() if n.tag == "tr"):
+    for tr in table_rows(node):
         cells = []
         for cell in (c for c in tr.children if isinstance(c, Element) and c.tag in ("td", "th")):
-            cells.append(inline(cell, base).strip().replace("|", "\\|").replace("\n", "<br>"))
+            cells.append(re.sub(r"\n+", " <br> ", inline(cell, base).strip()).replace("|", "\\|"))
             span = cell.attributes.get("colspan", "1")
             cells += [""] * (min(50, int(span)) - 1 if span.isdigit() else 0)
         if cells:
             rows.append(cells)
+    caption = next((space(n.text()) for n in node.walk() if n.tag == "caption"), "")
     width = max(map(len, rows), default=0)
     if not width:
-        return ""
+        return caption
     rows = [r + [""] * (width - len(r)) for r in rows]
-    return "\n".join(["| " + " | ".join(rows[0]) + " |", "| " + " | ".join(["---"] * width) + " |", *("| " + " | ".join(r) + " |" for r in rows[1:])])
+    lines = ["| " + " | ".join(rows[0]) + " |", "| " + " | ".join(["---"] * width) + " |", *("| " + " | ".join(r) + " |" for r in rows[1:])]
+    return (f"{caption}\n\n" if caption else "") + "\n".join(lines)
+
+
+def definition_lines(node: Element, base: str) -> list[str]:
+    """Lines of a definition list: terms, and their definitions below them."""
+    return [("" if n.tag == "dt" else ":   ") + space(inline(n, base)) for n in node.walk() if n.tag in ("dt", "dd")]
 
 
 def code_language(*nodes: Element | None) -> str | None:
@@ -174,7 +209,7 @@ def blocks_of(root: Element, base: str) -> list[dict]:
     stack = [iter(root.children)]
     while stack:
         for c in stack[-1]:
-            if isinstance(c, str) or c.tag in INLINE:
+            if isinstance(c, str) or (c.tag in INLINE and not any(n.tag in _LEAVES for n in c.walk())):
                 run.append(c)
                 continue
             flush()
@@ -183,9 +218,12 @@ def blocks_of(root: Element, base: str) -> list[dict]:
             if re.fullmatch(r"h[1-6]", c.tag):
                 level = int(c.tag[1])
                 emit("heading", space(c.text()), "#" * level + " " + space(inline(c, base)), level)
-            elif c.tag == "p":
+            elif c.tag in _PARAGRAPHS:
                 emit("paragraph", space(c.text()), inline(c, base).strip())
-            elif c.tag in ("ul", "ol"):
+            elif c.tag == "dl":
+                lines = definition_lines(c, base)
+                emit("list", "\n".join(re.sub("^:   ", "", x) for x in lines), "\n".join(lines))
+            elif c.tag in _LISTS:
                 lines = list_lines(c, base)
                 emit("list", "\n".join(space(re.sub(r"^\s*(?:-|\d+\.) ", "", x)) for x in lines), "\n".join(lines))
             elif c.tag == "pre":
@@ -196,7 +234,7 @@ def blocks_of(root: Element, base: str) -> list[dict]:
                 emit("code", text, f"{fence}{lang or ''}\n{text}\n{fence}", None, lang)
             elif c.tag == "table" and len([1 for n in c.walk() if n.tag == "table"]) == 1 and not any(n.tag in ("h1", "h2", "h3", "p", "ul", "pre") for n in c.walk()):
                 md = table_markdown(c, base)
-                emit("table", "\n".join("\t".join(space(x.text()) for x in tr.children if isinstance(x, Element)) for tr in c.walk() if tr.tag == "tr"), md)
+                emit("table", "\n".join("\t".join(space(x.text()) for x in tr.children if isinstance(x, Element)) for tr in table_rows(c)), md)
             elif c.tag == "blockquote":
                 emit("quote", space(c.text()), "\n".join("> " + x for x in inline(c, base).strip().split("\n")))
             else:
@@ -208,60 +246,117 @@ def blocks_of(root: Element, base: str) -> list[dict]:
     return out
 
 
-def content_root(root: Element) -> Element:
-    """First main, else the only article, else body; furniture elements inside are dropped."""
+def without_permalinks(root: Element) -> None:
+    """Takes out links in headings, and of the classes for it, that only point into the page."""
+    for node in list(root.walk()):
+        heading = re.fullmatch("h[1-6]", node.tag) is not None
+        for box in list(node.walk()) if heading else [node]:
+            box.children = [c for c in box.children if isinstance(c, str) or not (c.tag == "a" and (heading or _PERMALINK_CLASSES & set(c.attributes.get("class", "").split())) and "#" in c.attributes.get("href", "") and space(c.text()).lower() in _PERMALINKS and not any(n.tag == "img" and n.attributes.get("alt") for n in c.walk()))]
+
+
+def density_root(body: Element) -> Element | None:
+    """The container of the densest text: each paragraph of 25 characters or more gives its characters, less those of links, to its parent and half of
+    them to the parent above. Null where no paragraph has 140 characters."""
+    scores: dict[int, list] = {}
+    readable = False
+    for p in body.walk():
+        if p.tag not in ("p", "pre", "td", "blockquote"):
+            continue
+        text = space(p.text())
+        if len(text) < 25:
+            continue
+        readable = readable or len(text) >= 140
+        own = len(text) - sum(len(space(a.text())) for a in p.walk() if a.tag == "a")
+        up, part = p.parent, 1.0
+        while up is not None and part >= 0.5:
+            scores.setdefault(id(up), [0.0, up])[0] += own * part
+            up, part = up.parent, part / 2
+    return max(scores.values(), key=lambda x: x[0])[1] if readable and scores else None
+
+
+def content_root(root: Element) -> tuple[Element, bool]:
+    """(first main, else the only article, else body; whether it is one of the first two); furniture elements inside are dropped."""
     body = root.first("body") or root
     main = next((n for n in body.walk() if n.tag == "main" or n.attributes.get("role") == "main"), None)
     articles = [n for n in body.walk() if n.tag == "article"]
-    top = main or (articles[0] if len(articles) == 1 else body)
-    whole = max(1, len(top.text()))
+    picked = main or (articles[0] if len(articles) == 1 else None)
+    top = picked or body
+    whole = max(1, len(space(top.text())))
+    kept = frozenset("main article body html pre code table h1 h2 h3 h4 h5 h6".split())
 
     def noisy(node: Element) -> bool:
-        if node.tag in _DROP or node.tag == "footer" or _HIDDEN.search(node.attributes.get("style", "")) or "hidden" in node.attributes or node.attributes.get("role") in ("navigation", "dialog", "banner", "contentinfo", "complementary"):
+        a = node.attributes
+        checkbox = node.tag == "input" and a.get("type") == "checkbox"
+        if (node.tag in _DROP and not checkbox) or node.tag == "footer" or _HIDDEN.search(a.get("style", "")) or "hidden" in a or a.get("aria-hidden") == "true" or a.get("role") in _ROLES:
             return True
         if node.tag == "header":
             return node.first("h1", "h2") is None
-        words = f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}"
-        return bool(_NOISE.search(words)) and node.first("main", "article", "h1") is None and len(node.text()) < 0.4 * whole
+        return node.tag not in kept and bool(_NOISE.search(f"{a.get('class', '')} {a.get('id', '')}")) and node.first("main", "article", "h1") is None and len(space(node.text())) <= 0.4 * whole
 
     for node in list(top.walk()):
         node.children = [c for c in node.children if isinstance(c, str) or not noisy(c)]
-    return top
+    return top, picked is not None
 
 
 def extract(source: str, url: str) -> dict:
-    """Metadata, signals, outlinks and blocks of one page."""
+    """Metadata, signals, links and blocks of one page; of the structural and the density candidate the one that loses less."""
     root = parse(source)
-    metas = {(n.attributes.get("property") or n.attributes.get("name") or "").lower(): n.attributes.get("content", "") for n in root.walk() if n.tag == "meta"}
+    metas: dict[str, str] = {}
+    for n in root.walk():
+        if n.tag == "meta":
+            metas.setdefault((n.attributes.get("property") or n.attributes.get("name") or "").lower(), n.attributes.get("content", "").strip())
     title, h1, page = root.first("title"), root.first("h1"), root.first("html")
     base_tag = root.first("base")
     base = urljoin(url, base_tag.attributes.get("href", "")) if base_tag else url
     scripts = [n for n in root.walk() if n.tag == "script"]
+    active = [n for n in scripts if not n.attributes.get("type") or re.search("javascript|module|json", n.attributes["type"].lower())]
     links = [urljoin(base, n.attributes["href"]).split("#")[0] for n in root.walk() if n.tag == "a" and n.attributes.get("href")]
-    roots = [n for n in root.walk() if n.attributes.get("id") in ("root", "app", "__next", "__nuxt")]
-    notes = " ".join(n.text() for n in root.walk() if n.tag == "noscript")
+    roots = [n for n in root.walk() if n.attributes.get("id") in _APP_IDS or n.tag == "app-root" or any(x in n.attributes for x in _APP_ATTRIBUTES)]
     body = root.first("body") or root
-    body_chars = len(space(body.text()))
+    silent = Element("div", {}, None)
+    silent.children = [c for c in body.children if isinstance(c, str) or c.tag not in ("noscript", "template")]
+    body_text = space(silent.text())
+    needed = any(_SCRIPTS_NEEDED.search(n.text()) for n in root.walk() if n.tag == "noscript") or (len(body_text) < 400 and bool(_SCRIPTS_NEEDED.search(body_text)))
     canonical = next((n.attributes.get("href") for n in root.walk() if n.tag == "link" and n.attributes.get("rel") == "canonical"), None)
-    top = content_root(root)
-    blocks = blocks_of(top, base)
-    name = metas.get("og:title") or (space(title.text()) if title else "") or (space(h1.text()) if h1 else "")
-    if name and not any(b["type"] == "heading" and b["level"] == 1 for b in blocks):
-        blocks.insert(0, {"type": "heading", "level": 1, "lang": None, "text": name, "markdown": f"# {name}"})
+    empty_root = any(len(space(n.text())) < 200 for n in roots)
+    heading = space(h1.text()) if h1 else ""
+    name = metas.get("og:title") or (space(title.text()) if title else "") or heading
+    without_permalinks(root)
+    elements = sum(1 for _ in root.walk())
+    top, semantic = content_root(root)
+    chosen, strategy = top, "structural"
+    dense = density_root(top) if elements <= (5_000 if semantic else 10_000) else None
+    if dense is not None and dense is not top:
+        size = lambda n: (len(space(n.text())), sum(x.tag == "table" for x in n.walk()), sum(x.tag == "pre" for x in n.walk()))
+        a, b = size(dense), size(top)
+        if a[0] >= 200 and a[0] >= (0.7 if semantic else 0.3) * b[0] and a[1:] >= b[1:] and a[2] >= b[2]:
+            chosen, strategy = dense, "density"
+    blocks = blocks_of(chosen, base)
+    first = (heading if strategy == "density" else "") or name
+    if first and not any(b["type"] == "heading" and b["level"] == 1 for b in blocks):
+        blocks.insert(0, {"type": "heading", "level": 1, "lang": None, "text": first, "markdown": f"# {first}"})
+    inner = {}
+    for n in chosen.walk():
+        if n.tag == "a" and n.attributes.get("href") and re.match("(?i)https?:", href := urljoin(base, n.attributes["href"])):
+            inner.setdefault(href, space(n.text()))
     return {
         "title": name or None,
         "lang": (page.attributes.get("lang") if page else None) or None,
         "site_name": metas.get("og:site_name") or None,
+        "author": metas.get("author") or None,
         "description": metas.get("description") or metas.get("og:description") or None,
         "published": metas.get("article:published_time") or metas.get("date") or None,
         "canonical": urljoin(url, canonical) if canonical else None,
-        "strategy": "structural",
+        "strategy": strategy,
+        "elements": elements,
+        "semantic": semantic,
+        "links": [{"href": h, "text": t} for h, t in inner.items()],
         "scripts": len(scripts),
-        "external_scripts": sum("src" in n.attributes for n in scripts),
-        "inline_script_chars": sum(len("".join(c for c in n.children if isinstance(c, str))) for n in scripts),
-        "app_root_empty": any(len(space(n.text())) < 200 for n in roots),
-        "noscript_warning": bool(re.search(r"(?i)javascript|scripts?", notes)),
-        "body_text_chars": body_chars,
+        "external_scripts": sum("src" in n.attributes for n in active),
+        "inline_script_chars": sum(len("".join(c for c in n.children if isinstance(c, str))) for n in active if "src" not in n.attributes),
+        "app_root_empty": empty_root,
+        "noscript_warning": needed,
+        "body_text_chars": len(body_text),
         "outlinks": list(dict.fromkeys(x for x in links if re.match(r"https?://", x))),
         "blocks": blocks,
     }
