@@ -33,7 +33,7 @@ from weftline.functions.urls import site_of
 from weftline.session import cut
 
 SHINGLE, SIMILAR = 5, 0.8
-TABLES, HAMMING, LEAST_BITS = 24, 16, 16
+TABLES, HAMMING, LEAST_BITS = 64, 16, 16
 #: a text that so many documents share and of whose fetches half failed is a message
 FAILED_DOCUMENTS, FAILED_SHARE = 3, 0.5
 #: share of a text's words that stand in sentences of such wording
