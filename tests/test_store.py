@@ -313,3 +313,54 @@ def test_crawl_state(spark):
     v = spark.createDataFrame([("d2", 3, "text")], "doc_id STRING, version INT, markdown STRING")
     assert [(r["url"], r["markdown"]) for r in crawl.materialized(done, v).orderBy("url").collect()] == [("u2", "text")] or crawl.materialized(done, v).count() == 1
     assert len(spark.range(1).select(crawl.crawl_id()).first()[0]) == 14
+
+
+def test_pages_over_http(spark):
+    import gzip
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from weftline.sources.http import fetched
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            there = {"/a": (301, "/b"), "/b": (302, "/page"), "/loop": (302, "/loop2"), "/loop2": (302, "/loop"), "/many": (302, "/many0")} | {f"/many{i}": (302, f"/many{i + 1}") for i in range(12)}
+            if self.path in there:
+                self.send_response(there[self.path][0])
+                self.send_header("Location", there[self.path][1])
+                self.end_headers()
+                return
+            body = gzip.compress(b"<p>hello")
+            self.send_response(200 if self.path == "/page" else 500)
+            self.send_header("Content-Type", "text/html; charset=utf-8")
+            self.send_header("Content-Encoding", "gzip")
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    root = f"http://127.0.0.1:{server.server_port}"
+    try:
+        rows = {r["requested_url"].removeprefix(root): r for r in fetched(spark, [root + x for x in ("/page", "/a", "/loop", "/many", "/gone")] + ["ftp://x", "http://u:p@127.0.0.1/"], batch=2, timeout=10, private=True).collect()}
+        refused = fetched(spark, [root + "/page"], timeout=10).first()
+    finally:
+        server.shutdown()
+    assert rows["/page"]["body"] == b"<p>hello" and rows["/page"]["http_status"] == 200 and rows["/page"]["content_type"] == "text/html" and rows["/page"]["error"] is None
+    assert rows["/a"]["final_url"] == root + "/page" and [(h["url"].removeprefix(root), h["status"]) for h in rows["/a"]["redirects"]] == [("/a", 301), ("/b", 302)]
+    assert (rows["/loop"]["error"], rows["/many"]["error"], rows["/gone"]["error"]) == ("redirect_loop", "too_many_redirects", "http_error")
+    assert (rows["ftp://x"]["error"], rows["http://u:p@127.0.0.1/"]["error"], refused["error"]) == ("invalid_url", "blocked_by_policy", "blocked_by_policy")
+
+
+def test_a_stream_ends_or_is_stopped(spark, tmp_path):
+    schema = "final_url STRING, raw_hash STRING, arrival BIGINT"
+    source = str(tmp_path / "in")
+    for i in range(3):
+        spark.createDataFrame([("u", f"h{i}", i)], schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    assert ingest.ended(ingest.ingest(stream, str(tmp_path / "out"), str(tmp_path / "state")), 120) == "exhausted"
+    assert spark.read.parquet(str(tmp_path / "out")).select("batch").distinct().count() == 3
+    assert ingest.ended(ingest.ingest(stream, str(tmp_path / "out"), str(tmp_path / "state"), every="1 hour"), 1) == "deadline"

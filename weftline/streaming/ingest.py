@@ -30,8 +30,21 @@ def append_versions(batch: DataFrame, path: str, batch_id: int = 0) -> None:
     rows.withColumn("version", number.cast("int")).where("new = 1").select("final_url", "version", "raw_hash", "arrival").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def ingest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(lambda batch, number: append_versions(batch, path, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingest(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Versions of all that is there, and an end; or with ``every`` (such as ``10 seconds``) a batch each time, without end.
+
+    A stopped query goes on where its checkpoint says. How much a batch takes is the stream's own option (``maxFilesPerTrigger``).
+    """
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.foreachBatch(lambda batch, number: append_versions(batch, path, number)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def ended(query: StreamingQuery, seconds: float) -> str:
+    """Waits for a query: ``exhausted`` when it came to its end, ``deadline`` when time was up and it was stopped."""
+    if query.awaitTermination(seconds):
+        return "exhausted"
+    query.stop()
+    return "deadline"
 
 
 def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
