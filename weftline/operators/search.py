@@ -67,16 +67,16 @@ def bm25(units: DataFrame, key: list[str], text: str, title: str, terms: list[st
 
     counts = {t: (held("w", t), held("h", t)) for t in terms}
     u = u.select(*key, (F.size("w") + F.size("h")).alias("dl"), *[c.alias(f"{n}{i}") for i, t in enumerate(terms) for n, c in zip("wh", counts[t])])
-    stats = u.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"), *[F.count_if((F.col(f"w{i}") + F.col(f"h{i}")) > 0).alias(f"df{i}") for i in range(len(terms))])
+    # one row, as a scalar of the plan: nothing is run until an action asks for the scores
+    s = u.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("mean"), *[F.count_if((F.col(f"w{i}") + F.col(f"h{i}")) > 0).alias(f"df{i}") for i in range(len(terms))])).scalar()
     hit = u
     for i in range(len(terms)):
         hit = hit.where(F.col(f"w{i}") + F.col(f"h{i}") > 0)
-    s = stats.first()
     score = F.lit(0.0)
     for i in range(len(terms)):
-        idf = F.greatest(F.log(F.lit((s["n"] - s[f"df{i}"] + 0.5) / (s[f"df{i}"] + 0.5))), F.lit(LEAST_IDF))
+        idf = F.greatest(F.log((s["n"] - s[f"df{i}"] + 0.5) / (s[f"df{i}"] + 0.5)), F.lit(LEAST_IDF))
         tf = F.col(f"w{i}") + TITLE_WEIGHT * F.col(f"h{i}")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(s["mean"] or 1.0)))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.greatest(s["mean"], F.lit(1e-9))))
     return hit.select(*key, score.alias("score"))
 
 
@@ -142,14 +142,14 @@ def search(postings: DataFrame, key: list[str], query: str, columns: tuple[int,
     phrases = list(dict.fromkeys(p for b in branches for p in b))
     exact = sorted({t for words, prefix in phrases for t in (words[:-1] if prefix else words)})
     starts = sorted({words[-1] for words, prefix in phrases if prefix})
-    wanted = F.col("term").isin(exact)
-    if not starts:  # whole terms stand in known buckets
-        spark = postings.sparkSession
-        buckets = sorted({r[0] for r in spark.createDataFrame([(t,) for t in exact], "term STRING").select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).collect()})
-        wanted = F.col("bucket").isin(buckets) & wanted
+    # a whole term stands in a known bucket, so that only the folders of the query's terms are read
+    wanted = F.lit(False)
+    for t in exact:
+        wanted = wanted | ((F.col("bucket") == F.pmod(F.xxhash64(F.lit(t)), F.lit(BUCKETS)).cast("int")) & (F.col("term") == t))
     for t in starts:
         wanted = wanted | F.col("term").startswith(t)
-    size = postings.where("term = '' AND bucket = pmod(xxhash64(''), %d)" % BUCKETS).agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    none = F.pmod(F.xxhash64(F.lit("")), F.lit(BUCKETS)).cast("int")
+    size = postings.where((F.col("bucket") == none) & (F.col("term") == "")).agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("mean"))).scalar()
     hits = postings.where(wanted & (F.col("term") != "")).groupBy(*key).agg(F.first("length").alias("length"), F.collect_list(F.struct("term", "places")).alias("found"))
 
     def places(word: str, prefix: bool) -> Column:
@@ -162,15 +162,15 @@ def search(postings: DataFrame, key: list[str], query: str, columns: tuple[int,
             after = places(word, prefix and j == len(words) - 1)
             own = _followed(own, after, j)
         hits = hits.withColumn(f"tf{i}", F.size(F.filter(own, lambda p: p["col"] == 0)) + TITLE_WEIGHT * F.size(F.filter(own, lambda p: p["col"] == 1)))
-    counts = hits.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(phrases))]).first()
+    counts = hits.agg(F.struct(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])).scalar()
     match, score = F.lit(False), F.lit(0.0)
     for branch in branches:
         every, own = F.lit(True), F.lit(0.0)
         for p in branch:
             i = phrases.index(p)
             tf = F.col(f"tf{i}")
-            idf = F.greatest(F.log(F.lit((size["n"] - counts[f"n{i}"] + 0.5) / (counts[f"n{i}"] + 0.5))), F.lit(LEAST_IDF))
-            every, own = every & (tf > 0), own + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(size["mean"] or 1.0)))
+            idf = F.greatest(F.log((size["n"] - counts[f"n{i}"] + 0.5) / (counts[f"n{i}"] + 0.5)), F.lit(LEAST_IDF))
+            every, own = every & (tf > 0), own + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.greatest(size["mean"], F.lit(1e-9))))
         match, score = match | every, score + F.when(every, own).otherwise(0.0)
     return hits.where(match).select(*key, score.alias("score"))
 

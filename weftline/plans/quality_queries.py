@@ -108,7 +108,7 @@ def kind_counts(spark, d):
 
 def common_cases(spark, d):
     e = _events(spark, d)
-    every = e.agg(F.count_distinct("event_type")).first()[0]
+    every = e.agg(F.count_distinct("event_type")).scalar()
     return e.groupBy("k").agg(F.count_distinct("event_type").alias("kinds")).where(F.col("kinds") == every)
 
 
