@@ -293,8 +293,6 @@ def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 verdict, path = None, None
                 if fixed or b["block_type"] in ("table", "quote"):
                     verdict, path = False, fixed or b["block_type"]
-                elif b["block_type"] in ("paragraph", "other") and _TRAIL.fullmatch(text):  # its words are the page's, but it is a path
-                    verdict, path = True, "trail"
                 elif known is not None:
                     share = shared(fixed_text, bool(garbled), known)
                     verdict, path = (None, None) if share is None else (share < SHARED, "page")
@@ -302,6 +300,9 @@ def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         verdict, path = False, "slogan"
                 elif "](" in text and all(_LINKS.fullmatch(x) for x in text.split("\n") if x.strip()):
                     verdict, path = True, "links"
+                # a path of pages may have words of the main body, and is none of it
+                if not verdict and path in ("page", None) and b["block_type"] in ("paragraph", "other") and _TRAIL.fullmatch(text):
+                    verdict, path = True, "trail"
                 kept, gone = kept + (verdict is False) * len(text), gone + (verdict is True) * len(text)
                 mine_out.append((doc, version, b["block_id"], wording(text), verdict, path, bool(fixed)))
             # a main body that holds less than half of the text is not this version's page: wording decides
