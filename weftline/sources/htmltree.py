@@ -29,6 +29,10 @@ class Element:
             self._attributes = _attributes(self._attributes)
         return self._attributes
 
+    @property
+    def bare(self) -> bool:
+        return not self._attributes
+
     def walk(self) -> Iterator[Element]:
         stack = [self]
         while stack:
@@ -99,7 +103,7 @@ def parse(source: str) -> Element:
                 up = up.parent
             if up is not root and up.tag == "p":
                 node = up.parent
-        new = Element(name, m.group(6), node)
+        new = Element(name, m.group(6).strip(), node)
         node.children.append(new)
         if name not in VOID and not m.group(6).rstrip().endswith("/"):
             node = new

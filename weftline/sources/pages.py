@@ -246,12 +246,16 @@ def blocks_of(root: Element, base: str) -> list[dict]:
     return out
 
 
-def without_permalinks(root: Element) -> None:
+def without_permalinks(links: list[Element]) -> None:
     """Takes out links in headings, and of the classes for it, that only point into the page."""
-    for node in list(root.walk()):
-        heading = re.fullmatch("h[1-6]", node.tag) is not None
-        for box in list(node.walk()) if heading else [node]:
-            box.children = [c for c in box.children if isinstance(c, str) or not (c.tag == "a" and (heading or _PERMALINK_CLASSES & set(c.attributes.get("class", "").split())) and "#" in c.attributes.get("href", "") and space(c.text()).lower() in _PERMALINKS and not any(n.tag == "img" and n.attributes.get("alt") for n in c.walk()))]
+    for a in links:
+        if "#" not in a.attributes.get("href", "") or space(a.text()).lower() not in _PERMALINKS or any(n.tag == "img" and n.attributes.get("alt") for n in a.walk()):
+            continue
+        up = a.parent
+        while up is not None and not re.fullmatch("h[1-6]", up.tag):
+            up = up.parent
+        if up is not None or _PERMALINK_CLASSES & set(a.attributes.get("class", "").split()):
+            a.parent.children = [c for c in a.parent.children if c is not a]
 
 
 def density_root(body: Element) -> Element | None:
@@ -285,6 +289,8 @@ def content_root(root: Element) -> tuple[Element, bool]:
     kept = frozenset("main article body html pre code table h1 h2 h3 h4 h5 h6".split())
 
     def noisy(node: Element) -> bool:
+        if node.bare and node.tag not in _DROP and node.tag not in ("footer", "header"):
+            return False
         a = node.attributes
         checkbox = node.tag == "input" and a.get("type") == "checkbox"
         if (node.tag in _DROP and not checkbox) or node.tag == "footer" or _HIDDEN.search(a.get("style", "")) or "hidden" in a or a.get("aria-hidden") == "true" or a.get("role") in _ROLES:
@@ -301,28 +307,31 @@ def content_root(root: Element) -> tuple[Element, bool]:
 def extract(source: str, url: str) -> dict:
     """Metadata, signals, links and blocks of one page; of the structural and the density candidate the one that loses less."""
     root = parse(source)
+    every = list(root.walk())
+    tags: dict[str, list[Element]] = {}
+    for n in every:
+        tags.setdefault(n.tag, []).append(n)
+    first_of = lambda tag: next(iter(tags.get(tag, [])), None)
     metas: dict[str, str] = {}
-    for n in root.walk():
-        if n.tag == "meta":
-            metas.setdefault((n.attributes.get("property") or n.attributes.get("name") or "").lower(), n.attributes.get("content", "").strip())
-    title, h1, page = root.first("title"), root.first("h1"), root.first("html")
-    base_tag = root.first("base")
+    for n in tags.get("meta", []):
+        metas.setdefault((n.attributes.get("property") or n.attributes.get("name") or "").lower(), n.attributes.get("content", "").strip())
+    title, h1, page, base_tag = (first_of(t) for t in ("title", "h1", "html", "base"))
     base = urljoin(url, base_tag.attributes.get("href", "")) if base_tag else url
-    scripts = [n for n in root.walk() if n.tag == "script"]
+    scripts, anchors = tags.get("script", []), [n for n in tags.get("a", []) if n.attributes.get("href")]
     active = [n for n in scripts if not n.attributes.get("type") or re.search("javascript|module|json", n.attributes["type"].lower())]
-    links = [urljoin(base, n.attributes["href"]).split("#")[0] for n in root.walk() if n.tag == "a" and n.attributes.get("href")]
-    roots = [n for n in root.walk() if n.attributes.get("id") in _APP_IDS or n.tag == "app-root" or any(x in n.attributes for x in _APP_ATTRIBUTES)]
-    body = root.first("body") or root
+    links = [urljoin(base, n.attributes["href"]).split("#")[0] for n in anchors]
+    roots = [n for n in every if n.tag == "app-root" or (not n.bare and (n.attributes.get("id") in _APP_IDS or any(x in n.attributes for x in _APP_ATTRIBUTES)))]
+    body = first_of("body") or root
     silent = Element("div", {}, None)
     silent.children = [c for c in body.children if isinstance(c, str) or c.tag not in ("noscript", "template")]
     body_text = space(silent.text())
-    needed = any(_SCRIPTS_NEEDED.search(n.text()) for n in root.walk() if n.tag == "noscript") or (len(body_text) < 400 and bool(_SCRIPTS_NEEDED.search(body_text)))
-    canonical = next((n.attributes.get("href") for n in root.walk() if n.tag == "link" and n.attributes.get("rel") == "canonical"), None)
+    needed = any(_SCRIPTS_NEEDED.search(n.text()) for n in tags.get("noscript", [])) or (len(body_text) < 400 and bool(_SCRIPTS_NEEDED.search(body_text)))
+    canonical = next((n.attributes.get("href") for n in tags.get("link", []) if n.attributes.get("rel") == "canonical"), None)
     empty_root = any(len(space(n.text())) < 200 for n in roots)
     heading = space(h1.text()) if h1 else ""
     name = metas.get("og:title") or (space(title.text()) if title else "") or heading
-    without_permalinks(root)
-    elements = sum(1 for _ in root.walk())
+    without_permalinks(anchors)
+    elements = len(every)
     top, semantic = content_root(root)
     chosen, strategy = top, "structural"
     dense = density_root(top) if elements <= (5_000 if semantic else 10_000) else None
