@@ -91,7 +91,9 @@ def fetch_errors(spark, d):
     """Codes of failed fetches of crawls, their kinds, and whether to try again."""
     c = _crawl(spark, d).where("state = 'failed'")
     code = F.coalesce("reason", F.lit("unknown"))
-    return c.select("crawl_id", "url", O.error_kind(code).alias("kind"), O.retryable(code, F.lit(503)).alias("again"))
+    # the frontier keeps no status, so that an http_error alone is no reason
+    again = F.coalesce(O.retryable(code, F.lit(None).cast("int")), F.lit(False))
+    return c.select("crawl_id", "url", O.error_kind(code).alias("kind"), again.alias("again"))
 
 
 def envelopes(spark, d):
@@ -251,7 +253,7 @@ SQL = {
         SELECT raw_hash, octet_length(body)::BIGINT AS bytes FROM {_S} WHERE raw_hash IN (SELECT raw_hash FROM l)""",
     "documents_page": "SELECT doc_id, max(version) AS latest_version, count(DISTINCT version) AS versions, max(last_seen_at) AS updated_at FROM versions GROUP BY doc_id ORDER BY updated_at DESC NULLS LAST, doc_id LIMIT 20 OFFSET 10",
     "duplicate_contents": "SELECT DISTINCT doc_id, version, first_doc FROM versions JOIN (SELECT content_hash, min(doc_id) AS first_doc FROM versions GROUP BY 1) USING (content_hash) WHERE doc_id <> first_doc",
-    "fetch_errors": "SELECT DISTINCT crawl_id, url, CASE coalesce(reason, 'unknown') WHEN 'timeout' THEN 'timeout' WHEN 'http_error' THEN 'http_error' WHEN 'dns_failure' THEN 'network' WHEN 'connect_failed' THEN 'network' WHEN 'tls_failure' THEN 'network' WHEN 'blocked_by_policy' THEN 'blocked' WHEN 'robots_disallowed' THEN 'blocked' WHEN 'unsupported_content_type' THEN 'unsupported' WHEN 'unsupported_encoding' THEN 'unsupported' ELSE 'engine_error' END AS kind, coalesce(reason, 'unknown') IN ('timeout', 'dns_failure', 'connect_failed', 'http_error') AS again FROM crawl_urls WHERE state = 'failed'",
+    "fetch_errors": "SELECT DISTINCT crawl_id, url, CASE coalesce(reason, 'unknown') WHEN 'timeout' THEN 'timeout' WHEN 'http_error' THEN 'http_error' WHEN 'dns_failure' THEN 'network' WHEN 'connect_failed' THEN 'network' WHEN 'tls_failure' THEN 'network' WHEN 'blocked_by_policy' THEN 'blocked' WHEN 'robots_disallowed' THEN 'blocked' WHEN 'unsupported_content_type' THEN 'unsupported' WHEN 'unsupported_encoding' THEN 'unsupported' ELSE 'engine_error' END AS kind, coalesce(reason, 'unknown') IN ('timeout', 'dns_failure', 'connect_failed') AS again FROM crawl_urls WHERE state = 'failed'",
     "envelopes": """
         WITH v AS (SELECT DISTINCT doc_id, version, raw_hash, meta.warnings AS w FROM versions), c AS (SELECT raw_hash, max(input_truncated) AS cut FROM fetch_log WHERE raw_hash IS NOT NULL GROUP BY 1)
         SELECT doc_id, version, CASE WHEN cut IS NOT NULL OR len(list_filter(w, lambda x: contains(x, 'cut'))) > 0 THEN 'partial' ELSE 'ok' END AS status, coalesce(cut, '') AS reasons FROM v LEFT JOIN c USING (raw_hash)""",
