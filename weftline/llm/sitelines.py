@@ -81,12 +81,13 @@ def forms(line: str) -> list[str]:
 
 
 def _hashed(words: list[str]) -> list[int]:
-    for w in words:
-        if w not in _WORDS:
-            if len(_WORDS) > 500_000:
-                _WORDS.clear()
-            _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-    return [_WORDS.get(w) or xxhash.xxh3_64_intdigest(w) for w in words]
+    try:
+        return [_WORDS[w] for w in words]
+    except KeyError:
+        if len(_WORDS) > 500_000:
+            _WORDS.clear()
+        _WORDS.update((w, xxhash.xxh3_64_intdigest(w)) for w in set(words).difference(_WORDS))
+        return [_WORDS[w] for w in words]
 
 
 def form_hashes(line: str) -> tuple[int, ...]:
@@ -99,7 +100,8 @@ def form_hashes(line: str) -> tuple[int, ...]:
     hashes = _hashed(words)
     for h in hashes:
         value = (value * _BASE + h) & _MASK
-        before.append(value)
+        if capitals:
+            before.append(value)
     out = [value]
     if capitals and len(words) > 2:
         after, power = 0, 1
@@ -109,7 +111,7 @@ def form_hashes(line: str) -> tuple[int, ...]:
             after = (hashes[i + 1] * power + after) & _MASK
             power = (power * _BASE) & _MASK
         out += less[::-1]
-    return tuple(x - 2**63 for x in dict.fromkeys(out))
+    return tuple(x - 2**63 for x in dict.fromkeys(out)) if len(out) > 1 else (value - 2**63,)
 
 
 def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
