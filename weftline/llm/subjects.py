@@ -45,11 +45,13 @@ def features(text: str) -> list[int]:
     words = _TOKEN.findall(text.lower())
     if not text.isascii() and _IS_DENSE.search(text):
         words = [x for w in words for x in ([w[i : i + 2] for i in range(max(1, len(w) - 1))] if _IS_DENSE.match(w) else (w,))]
-    if len(_PLACES) > 500_000:
-        _PLACES.clear()
-    for w in set(words).difference(_PLACES):
-        _PLACES[w] = xxhash.xxh32_intdigest(w) % FEATURES
-    return [_PLACES[w] for w in words]
+    try:
+        return [_PLACES[w] for w in words]
+    except KeyError:
+        if len(_PLACES) > 500_000:
+            _PLACES.clear()
+        _PLACES.update((w, xxhash.xxh32_intdigest(w) % FEATURES) for w in set(words).difference(_PLACES))
+        return [_PLACES[w] for w in words]
 
 
 def sentences(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
