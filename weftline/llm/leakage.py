@@ -158,6 +158,13 @@ def held(item: np.ndarray, document: np.ndarray) -> tuple[int, int] | None:
     if best_score(item, document) < min(k - (1 + PENALTY) * allowed(k) for k in range(least, n + 1)):
         return None
     column = np.arange(m + 1, dtype=np.int32)
+    row = np.zeros(m + 1, np.int32)
+    for word in item:  # the whole item first: no stretch is longer
+        new = row + 1
+        np.minimum(new[1:], row[:-1] + (document != word), out=new[1:])
+        row = np.minimum.accumulate(new - column) + column
+    if (errors := int(row.min())) <= allowed(n):
+        return n, errors
     # distance[a]: errors between the words from a on and the stretch of the document that ends in each column, wherever that begins
     distance = np.zeros((n - least + 1, m + 1), np.int32)
     found = None
@@ -191,6 +198,8 @@ def leaks(index: Index, text: str | None) -> list[tuple[int, int, int, int]]:
     for a in range(0, max(1, len(seq) - size // 2), size // 2):
         part = seq[a : a + size]
         for i in index.retrieve(np.unique(part), among).tolist():
+            if best.get(i) == (len(index.sequence[i]), 0):
+                continue  # nothing is better than the whole item without an error
             got = held(index.sequence[i], part)
             if got is not None and (i not in best or (-got[0], got[1]) < (-best[i][0], best[i][1])):
                 best[i] = got
