@@ -11,6 +11,7 @@ from weftline.session import cut
 # The generator's increment, the draws and the seed that published intervals use.
 INCREMENT, DRAWS, SEED = 0x6D2B79F5, 2000, 424242
 _MASK = 4294967295
+BROADCAST_CASES = 500_000
 
 
 def nearest_rank(value: str, p: float) -> Column:
@@ -43,10 +44,11 @@ def draws(frame: DataFrame, cases: int, seed: int = SEED, times: int = DRAWS) ->
     """(draw, slot, pick): ``cases`` picks of a case index for each draw, from a counter-based generator."""
     spark = frame.sparkSession
     rows = spark.range(times * cases).selectExpr(f"id DIV {cases} AS draw", f"id % {cases} AS slot", f"(({seed} + (id + 1) * {INCREMENT}) & {_MASK}) AS s")
+    # a pick is never null, and says so: else a join's test for null would write all of this out many times over
     a = "(s ^ (s >> 15))"
     rows = rows.selectExpr("draw", "slot", f"{_times(a, '(s | 1)')} AS t")
     rows = rows.selectExpr("draw", "slot", f"(t ^ ((t + {_times('(t ^ (t >> 7))', '(t | 61)')}) & {_MASK})) AS t")
-    return rows.selectExpr("draw", "slot", f"CAST(FLOOR((t ^ (t >> 14)) / 4294967296.0D * {cases}) AS BIGINT) AS pick")
+    return rows.selectExpr("draw", "slot", f"COALESCE(CAST(FLOOR((t ^ (t >> 14)) / 4294967296.0D * {cases}) AS BIGINT), 0) AS pick")
 
 
 def cluster_bootstrap(observations: DataFrame, case: str, value: str, seed: int = SEED, times: int = DRAWS) -> DataFrame:
@@ -62,6 +64,8 @@ def cluster_bootstrap(observations: DataFrame, case: str, value: str, seed: int
         return whole.select("value", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), "cases", "attempts")
     places, _ = numbered(sums.select(F.col(case).alias("node"), F.col(case).alias("at"), "total", "n"), 0)
     ranked = places.select("total", "n", (F.col("seq") - 1).alias("pick"))
+    # one row a case; up to BROADCAST_CASES of them the picks need not be shuffled
+    ranked = F.broadcast(ranked) if cases <= BROADCAST_CASES else ranked
     means = draws(observations, cases, seed, times).join(ranked, "pick").groupBy("draw").agg((F.sum("total") / F.sum("n")).alias("mean"))
     ends = means.agg(F.expr("percentile_disc(0.025) WITHIN GROUP (ORDER BY mean)").alias("low"), F.expr("percentile_disc(0.975) WITHIN GROUP (ORDER BY mean)").alias("high"))
     return whole.join(ends).select("value", "low", "high", "cases", "attempts")  # one row each
